@@ -279,18 +279,18 @@ def _(spark, sf):
 
 
 @query("j3_maths", f"""
-SELECT {big('o_orderkey')} AS o_orderkey, {rd('sqrt(o_totalprice)')} AS root,
-  {rd('pow(o_totalprice / 1000, 2)')} AS square, {big('floor(o_totalprice / 3)')} AS down,
-  {big('ceil(o_totalprice / 3)')} AS up, {rd('least(o_totalprice, 1000)')} AS smallest,
-  {rd('1 / (1 + exp(-(o_totalprice / 100000 - 2)))')} AS sigmoid,
-  {rd('greatest(0, o_totalprice / 100000 - 2)')} AS relu,
-  {rd('CASE WHEN o_totalprice > 200000 THEN o_totalprice / 100000 - 2 ELSE exp(o_totalprice / 100000 - 2) - 1 END')} AS elu,
-  {rd('abs(o_totalprice - 200000)')} AS distance FROM orders""")
+SELECT {big('o_orderkey')} AS o_orderkey, {rd('sqrt(o_totalprice)', 9)} AS root,
+  {rd('pow(o_totalprice / 100000, 2)', 9)} AS square, {big('floor(o_totalprice / 3)')} AS down,
+  {big('ceil(o_totalprice / 3)')} AS up, {rd('least(o_totalprice, 1000)', 9)} AS smallest,
+  {rd('1 / (1 + exp(-(o_totalprice / 100000 - 2)))', 9)} AS sigmoid,
+  {rd('greatest(0, o_totalprice / 100000 - 2)', 9)} AS relu,
+  {rd('CASE WHEN o_totalprice > 200000 THEN o_totalprice / 100000 - 2 ELSE exp(o_totalprice / 100000 - 2) - 1 END', 9)} AS elu,
+  {rd('abs(o_totalprice - 200000)', 9)} AS distance FROM orders""", digits=9)
 def _(spark, sf):
     price = F.col("o_totalprice")
     z = price / 100000 - 2
     return views.table(spark, sf, "orders").select(
-        "o_orderkey", F.sqrt(price).alias("root"), F.pow(price / 1000, 2).alias("square"),
+        "o_orderkey", F.sqrt(price).alias("root"), F.pow(price / 100000, 2).alias("square"),
         F.floor(price / 3).alias("down"), F.ceil(price / 3).alias("up"),
         F.least(price, F.lit(1000.0)).alias("smallest"), J_maths.sigmoid(z).alias("sigmoid"),
         J_maths.relu(z).alias("relu"), J_maths.elu(z).alias("elu"),

@@ -35,6 +35,5 @@ def is_season(season: str | Column) -> Column:
     """Nine characters, two consecutive years."""
     season = _col(season)
     years = F.split(season, "_")
-    return (F.length(season) == 9) & (
-        years[1].try_cast("int") == years[0].try_cast("int") + 1
-    )
+    first, second = (F.get(years, F.lit(k)).try_cast("int") for k in (0, 1))
+    return (F.length(season) == 9) & F.coalesce(second == first + 1, F.lit(False))

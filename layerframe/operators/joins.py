@@ -48,10 +48,16 @@ def align(
 
 
 def with_point_attrs(df: DataFrame, points: DataFrame) -> DataFrame:
-    """Repeat the static attributes of each grid point over its rows."""
-    keep = [c for c in points.columns if c == "point_id" or c not in df.columns]
+    """Repeat the static attributes of each grid point over its rows.
+
+    Points are numbered per region, so the region joins too where both have it.
+    """
+    keys = ["point_id"]
+    if "geo" in df.columns and "geo" in points.columns:
+        keys.append("geo")
+    keep = [c for c in points.columns if c in keys or c not in df.columns]
     side = broadcast_if_bounded(points.select(*keep), POINT_BROADCAST_ROWS)
-    return df.join(side, "point_id", "inner")
+    return df.join(side, keys, "inner")
 
 
 def with_surface(df: DataFrame, layers: int = DEFAULT_LAYERS) -> DataFrame:

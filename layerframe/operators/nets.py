@@ -12,7 +12,7 @@ from dataclasses import dataclass, replace
 import numpy as np
 
 KERNEL = 3
-SLICE_ROWS = 256
+SLICE_ROWS = 128
 
 
 @dataclass(frozen=True)
@@ -113,57 +113,67 @@ def check_parameters(net: Net, layers: int, parameters) -> None:
 
 
 def _activate(x: np.ndarray, kind: str) -> np.ndarray:
+    """ReLU or ELU; exp(x) - 1 never falls below x, so a maximum selects the branch."""
     if kind == "relu":
         return np.maximum(x, 0)
-    return np.where(x > 0, x, np.expm1(np.minimum(x, 0)))
+    return np.maximum(x, np.exp(np.minimum(x, 0)) - 1)
 
 
-def _convolve(x: np.ndarray, weight: np.ndarray, bias: np.ndarray, stride: int) -> np.ndarray:
-    """Zero-padded convolution of (rows, channels, length) as one matrix product."""
-    padded = np.pad(x, ((0, 0), (0, 0), (1, 1)))
-    windows = np.lib.stride_tricks.sliding_window_view(padded, KERNEL, axis=2)[:, :, ::stride]
-    rows, channels, length, _ = windows.shape
-    columns = windows.transpose(0, 2, 1, 3).reshape(rows * length, channels * KERNEL)
-    out = columns @ weight.reshape(len(weight), -1).T + bias
-    return out.reshape(rows, length, -1).transpose(0, 2, 1)
+def _convolve(x: np.ndarray, taps: np.ndarray, bias: np.ndarray, stride: int) -> np.ndarray:
+    """Zero-padded convolution of (rows, length, channels): one matrix product per tap."""
+    rows, length, channels = x.shape
+    padded = np.zeros((rows, length + 2, channels), x.dtype)
+    padded[:, 1:-1] = x
+    steps = -(-length // stride)
+    out = np.broadcast_to(bias, (rows * steps, len(bias))).copy()
+    for at, tap in enumerate(taps):
+        seen = padded[:, at : at + (steps - 1) * stride + 1 : stride]
+        out += seen.reshape(rows * steps, channels) @ tap
+    return out.reshape(rows, steps, -1)
 
 
 def _pool(x: np.ndarray, width: int) -> np.ndarray:
-    rows, channels, length = x.shape
+    rows, length, channels = x.shape
     kept = length // width
-    return x[:, :, : kept * width].reshape(rows, channels, kept, width).max(axis=3)
+    return x[:, : kept * width].reshape(rows, kept, width, channels).max(axis=2)
 
 
-def forward(net: Net, parameters, snow: np.ndarray | None, scalars: np.ndarray) -> np.ndarray:
+def _arranged(parameters) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Weights laid out for row-major products: taps x inputs x outputs, or inputs x outputs."""
+    return [(np.ascontiguousarray(np.transpose(w)), b) for w, b in parameters]
+
+
+def forward(net: Net, arranged, snow: np.ndarray | None, scalars: np.ndarray) -> np.ndarray:
     """Predictions for one slice of rows; dropout is off at inference."""
-    queue = iter(parameters)
-    x = snow
+    queue = iter(arranged)
+    x = None if snow is None else snow.transpose(0, 2, 1)
     for stage in net.stages:
         if stage[0] == "conv":
-            weight, bias = next(queue)
-            x = _convolve(x, weight, bias, stage[2])
+            taps, bias = next(queue)
+            x = _convolve(x, taps, bias, stage[2])
         elif stage[0] == "act":
             x = _activate(x, net.activation)
         elif stage[0] == "pool":
             x = _pool(x, stage[1])
         else:
-            x = x.max(axis=2, keepdims=True)
+            x = x.max(axis=1, keepdims=True)
     if net.stages:
-        x = np.concatenate([x.reshape(len(x), -1), scalars], axis=1)
+        x = np.concatenate([x.transpose(0, 2, 1).reshape(len(x), -1), scalars], axis=1)
     else:
         x = scalars
     for _ in net.dense:
         weight, bias = next(queue)
-        x = _activate(x @ weight.T + bias, net.activation)
+        x = _activate(x @ weight + bias, net.activation)
     weight, bias = next(queue)
-    x = (x @ weight.T + bias)[:, 0]
+    x = (x @ weight + bias)[:, 0]
     return 1 / (1 + np.exp(-x)) if net.output == "sigmoid" else x
 
 
 def predict(net: Net, parameters, snow: np.ndarray | None, scalars: np.ndarray) -> np.ndarray:
-    """Run :func:`forward` slice by slice so the unfolded windows stay small."""
+    """Run :func:`forward` slice by slice so the intermediate layers stay small."""
+    arranged = _arranged(parameters)
     out = np.empty(len(scalars), dtype=scalars.dtype)
     for start in range(0, len(scalars), SLICE_ROWS):
         part = slice(start, start + SLICE_ROWS)
-        out[part] = forward(net, parameters, None if snow is None else snow[part], scalars[part])
+        out[part] = forward(net, arranged, None if snow is None else snow[part], scalars[part])
     return out

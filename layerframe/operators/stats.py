@@ -25,6 +25,7 @@ def layer_rows(df: DataFrame, by: Sequence[str], layers: int = DEFAULT_LAYERS) -
     )
     return exploded.select(
         *by,
+        "at",
         *[F.get(v, F.col("at")).alias(v) for v in LAYER_VARS],
         *[F.when(F.col("at") == 0, F.col(v)).alias(v) for v in scalars],
     )
@@ -40,7 +41,7 @@ def _long(df: DataFrame, by: Sequence[str]) -> DataFrame:
         )
         for v in STAT_VARS
     ]
-    return df.select(*by, F.inline(F.array(*entries)))
+    return df.select(*by, "n_rows", F.inline(F.array(*entries)))
 
 
 def partial_stats(
@@ -48,10 +49,11 @@ def partial_stats(
 ) -> DataFrame:
     """Count, sum and sum of squares per group and variable, absent layers left out.
 
-    Returns ``by..., variable, n, mean, m2, total, total_sq``.
+    Returns ``by..., n_rows, variable, n, mean, m2, total, total_sq``; ``n_rows``
+    is the number of samples the group was fitted on.
     """
     rows = layer_rows(df, by, layers)
-    moments = []
+    moments = [F.count_if(F.col("at") == 0).alias("n_rows")]
     for v in STAT_VARS:
         moments += [
             F.count(v).alias(f"{v}_n"),

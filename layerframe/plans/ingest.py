@@ -11,6 +11,10 @@ from ..schema import DEFAULT_LAYERS, SAMPLE_SCHEMA
 from ..sources.inputs import read_inputs
 from ..sources.samples import with_metadata, write_samples
 
+# Points are numbered per region, and the hour in which one season ends and the
+# next begins is present in both: region and season belong to the key.
+STORED_KEY = ("time", "point_id", "geo", "season")
+
 
 def build_samples(
     forcing: DataFrame,
@@ -42,5 +46,5 @@ def ingest(
 ) -> None:
     """Read, build and store every season found below ``inputs``."""
     forcing, profile = read_inputs(spark, inputs)
-    samples = build_samples(forcing, profile.drop("geo", "season"), points, layers)
+    samples = build_samples(forcing, profile, points, layers, STORED_KEY)
     write_samples(with_metadata(to_sample_table(samples)), out)

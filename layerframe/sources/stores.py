@@ -61,7 +61,6 @@ def refresh_stats(df: DataFrame, path: str, layers: int = DEFAULT_LAYERS) -> boo
     fresh = df.join(wanted.select(*GROUP_COLS), GROUP_COLS, "left_semi")
     (
         partial_stats(fresh, GROUP_COLS, layers)
-        .join(wanted, GROUP_COLS)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*GROUP_COLS)
