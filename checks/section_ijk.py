@@ -303,7 +303,7 @@ SELECT {big('sample_id')} AS sample_id, {rd(cos_sza_sql('time', 'lat', 'lon'))}
   {rd(cos_sza_sql('time', 'lat', 'lon', 'slope', 'aspect'))} AS tilted,
   {rd(cos_sza_sql('(time + INTERVAL 12 HOUR)', 'lat', 'lon'))} AS noon FROM fx_at"""))
 def _(spark, sf):
-    noon = F.col("time") + F.make_dt_interval(F.lit(0), F.lit(12))
+    noon = "(time + INTERVAL 12 HOURS)"
     return views.forcing_at_points(spark, sf).select(
         "sample_id", cos_sza("time", "lat", "lon").alias("horizontal"),
         cos_sza("time", "lat", "lon", "slope", "aspect").alias("tilted"),

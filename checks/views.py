@@ -97,7 +97,9 @@ def forcing_at_points(spark: SparkSession, sf: str) -> DataFrame:
 
 def samples(spark: SparkSession, sf: str) -> DataFrame:
     """Every order as a sample; orders without line items are bare ground."""
-    joined = forcing_at_points(spark, sf).join(profiles(spark, sf), "sample_id", "left")
+    # Both sides grow with the data, so the smaller one is never worth a broadcast.
+    stacks = profiles(spark, sf).hint("merge")
+    joined = forcing_at_points(spark, sf).join(stacks, "sample_id", "left")
     return with_surface(with_sun_angle(joined), LAYERS)
 
 

@@ -2,12 +2,11 @@
 
 Declination and equation of time follow Spencer (1971); the incidence on a
 tilted plane follows Duffie and Beckman.  Times are UTC, angles in degrees.
+Arguments are SQL expressions, so a whole formula reaches Spark in one piece.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,52 +17,52 @@ EQUATION_OF_TIME = (0.000075, (0.001868, -0.032077), (-0.014615, -0.04089))
 MINUTES_PER_RADIAN = 229.18
 
 
-def _series(coefficients, angle: Column) -> Column:
+def _double(value: float) -> str:
+    return f"{value!r}D"
+
+
+def _series(coefficients, angle: str) -> str:
     constant, *harmonics = coefficients
-    terms = [
-        F.lit(c) * F.cos(angle * k) + F.lit(s) * F.sin(angle * k)
-        for k, (c, s) in enumerate(harmonics, start=1)
-    ]
-    return reduce(lambda a, b: a + b, terms, F.lit(constant))
+    terms = [_double(constant)]
+    for k, (c, s) in enumerate(harmonics, start=1):
+        terms.append(f"{_double(c)} * cos({k} * {angle}) + {_double(s)} * sin({k} * {angle})")
+    return "(" + " + ".join(terms) + ")"
 
 
-def _year_angle(time: Column) -> Column:
-    return (F.dayofyear(time) - 1) * F.lit(2.0) * F.pi() / 365.0
+def _year_angle(time: str) -> str:
+    return f"((dayofyear({time}) - 1) * 2 * pi() / 365)"
 
 
-def declination(time: Column) -> Column:
+def declination(time: str) -> str:
     return _series(DECLINATION, _year_angle(time))
 
 
-def equation_of_time(time: Column) -> Column:
+def equation_of_time(time: str) -> str:
     """Apparent minus mean solar time, in minutes."""
-    return _series(EQUATION_OF_TIME, _year_angle(time)) * MINUTES_PER_RADIAN
+    return f"({_double(MINUTES_PER_RADIAN)} * {_series(EQUATION_OF_TIME, _year_angle(time))})"
 
 
-def hour_angle(time: Column, lon: Column) -> Column:
-    clock = F.hour(time) + F.minute(time) / 60.0
-    solar = clock + (lon * 4.0 + equation_of_time(time)) / 60.0
-    return F.radians((solar - 12.0) * 15.0)
+def hour_angle(time: str, lon: str) -> str:
+    solar = f"hour({time}) + minute({time}) / 60D + (4 * {lon} + {equation_of_time(time)}) / 60D"
+    return f"radians(15 * ({solar} - 12))"
 
 
 def cos_sza(
-    time: str | Column,
-    lat: str | Column,
-    lon: str | Column,
-    slope: str | Column | None = None,
-    aspect: str | Column | None = None,
+    time: str = "time",
+    lat: str = "lat",
+    lon: str = "lon",
+    slope: str | None = None,
+    aspect: str | None = None,
 ) -> Column:
     """Horizontal cosine, or the cosine of incidence when slope and aspect are given."""
-    time, lat, lon, slope, aspect = (
-        F.col(c) if isinstance(c, str) else c for c in (time, lat, lon, slope, aspect)
-    )
-    delta, omega, phi = declination(time), hour_angle(time, lon), F.radians(lat)
+    delta, omega, phi = declination(time), hour_angle(time, lon), f"radians({lat})"
+    upright = f"sin({delta}) * sin({phi}) + cos({delta}) * cos({phi}) * cos({omega})"
     if slope is None or aspect is None:
-        return F.sin(phi) * F.sin(delta) + F.cos(phi) * F.cos(delta) * F.cos(omega)
-    beta, gamma = F.radians(slope), F.radians(aspect - 180.0)
-    upright = F.sin(delta) * F.sin(phi) + F.cos(delta) * F.cos(phi) * F.cos(omega)
-    north_south = F.cos(delta) * F.sin(phi) * F.cos(omega) - F.sin(delta) * F.cos(phi)
-    east_west = F.cos(delta) * F.sin(omega)
-    return upright * F.cos(beta) + F.sin(beta) * (
-        north_south * F.cos(gamma) + east_west * F.sin(gamma)
+        return F.expr(upright)
+    beta, gamma = f"radians({slope})", f"radians({aspect} - 180)"
+    north_south = f"cos({delta}) * sin({phi}) * cos({omega}) - sin({delta}) * cos({phi})"
+    east_west = f"cos({delta}) * sin({omega})"
+    return F.expr(
+        f"({upright}) * cos({beta})"
+        f" + sin({beta}) * (({north_south}) * cos({gamma}) + {east_west} * sin({gamma}))"
     )

@@ -22,9 +22,12 @@ def broadcast_if_bounded(df: DataFrame, max_rows: int) -> DataFrame:
 
 
 def localise_if_bounded(df: DataFrame, max_rows: int = PLAN_ROWS) -> DataFrame:
-    """Replace a small plan table by its rows; leave anything larger distributed."""
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
+    """Replace a small plan table by its rows; leave anything larger distributed.
+
+    Rows come back as a local relation, whose size the optimizer knows.
+    """
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schema import GROUP_COLS
+from .joins import localise_if_bounded
 from .ordering import shuffle_units
 
 PLAN_SCHEMA = "geo string, season string, split string"
@@ -17,7 +18,8 @@ Group = tuple[str, str]
 
 
 def _groups(catalog: DataFrame) -> DataFrame:
-    return catalog.select(*GROUP_COLS).distinct()
+    """The stored groups, held as a local table so the catalog is scanned once."""
+    return localise_if_bounded(catalog.select(*GROUP_COLS).distinct())
 
 
 def split_explicit(
@@ -36,9 +38,9 @@ def split_explicit(
     return plan
 
 
-def _by_position(catalog: DataFrame, seed: int | None, train: int, test: int, val: int) -> DataFrame:
+def _by_position(groups: DataFrame, seed: int | None, train: int, test: int, val: int) -> DataFrame:
     # The catalog has one row per stored season: one window over it is enough.
-    shuffled = shuffle_units(_groups(catalog), 0 if seed is None else seed)
+    shuffled = shuffle_units(groups, 0 if seed is None else seed)
     place = F.row_number().over(W.orderBy("digest", *GROUP_COLS))
     label = (
         F.when(F.col("place") <= train, "train")
@@ -53,10 +55,11 @@ def split_counts(
     catalog: DataFrame, train: int, test: int, val: int | None = None, seed: int | None = None
 ) -> DataFrame:
     """Plan with the given numbers of groups in a seeded random order."""
-    total, asked = _groups(catalog).count(), train + test + (val or 0)
+    groups = _groups(catalog)
+    total, asked = groups.count(), train + test + (val or 0)
     if asked > total:
         raise ValueError(f"{asked} groups requested, {total} available")
-    return _by_position(catalog, seed, train, test, val or 0)
+    return _by_position(groups, seed, train, test, val or 0)
 
 
 def split_ratio(
@@ -65,9 +68,10 @@ def split_ratio(
     """Plan by shares.  Train and test round down; validation takes all the rest."""
     if Decimal(str(train)) + Decimal(str(test)) + Decimal(str(val or 0)) > 1:
         raise ValueError("Total ratio requested > 1")
-    total = _groups(catalog).count()
+    groups = _groups(catalog)
+    total = groups.count()
     n_train, n_test = floor(train * total), floor(test * total)
-    return _by_position(catalog, seed, n_train, n_test, total - n_train - n_test)
+    return _by_position(groups, seed, n_train, n_test, total - n_train - n_test)
 
 
 def train_test_split(

@@ -186,7 +186,7 @@ def test_sun_stands_overhead_at_the_equator(spark):
         rows, "time timestamp_ntz, lat double, lon double, slope double, aspect double"
     ).select(
         cos_sza("time", "lat", "lon").alias("flat"),
-        cos_sza("time", "lat", "lon", F.lit(0.0), "aspect").alias("level"),
+        cos_sza("time", "lat", "lon", "0D", "aspect").alias("level"),
         cos_sza("time", "lat", "lon", "slope", "aspect").alias("tilted"),
     ).collect()
     assert df[0]["flat"] == pytest.approx(1.0, abs=1e-3)
