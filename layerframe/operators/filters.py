@@ -1,9 +1,10 @@
 """Row filters and projections.
 
 Each function is ``DataFrame -> DataFrame`` and fits ``df.transform``.  Plain
-comparisons on stored scalars are left as they are so that they reach the
-Parquet scan; a predicate on a NULL is not true, which is why inputs pass
-:func:`clean_missing` once on the way in.
+comparisons on stored columns are separate conjuncts so that they reach the
+Parquet scan.  Spark orders NaN above every number, so a sign test must rule it
+out; where NaN can occur at all, :func:`clean_missing` turns it into NULL once,
+after these filters have cut the rows.
 """
 
 from __future__ import annotations
@@ -61,11 +62,15 @@ def first_patch(df: DataFrame) -> DataFrame:
 
 
 def has_snow(df: DataFrame, swe: str = "swe") -> DataFrame:
-    return df.where(F.col(swe) > 0)
+    return df.where((F.col(swe) > 0) & ~F.isnan(swe))
 
 
 def is_daytime(df: DataFrame, direct: str = "direct_sw", diffuse: str = "diffuse_sw") -> DataFrame:
-    return df.where((F.col(direct) > 0) | (F.col(diffuse) > 0))
+    """Any radiation at all.  The first condition is the part a scan can apply."""
+    a, b = F.col(direct), F.col(diffuse)
+    return df.where((a > 0) | (b > 0)).where(
+        ((a > 0) & ~F.isnan(a)) | ((b > 0) & ~F.isnan(b))
+    )
 
 
 def at_site(

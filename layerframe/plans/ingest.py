@@ -25,13 +25,13 @@ def build_samples(
 ) -> DataFrame:
     """Daytime rows with snow on the ground, sun angle and surface scalars added.
 
-    Both inputs are filtered before they meet.  The join on (time, point) also
+    Both inputs are filtered at the scan and cleaned before they meet.  The join on (time, point) also
     keeps only times that occur on both sides, so no separate synchronisation
     pass is needed.  The month is the month of the time stamp, the season comes
     from the input.
     """
-    lit = is_daytime(clean_missing(forcing))
-    snowy = first_patch(has_snow(clean_missing(profile))).drop("patch")
+    lit = clean_missing(is_daytime(forcing))
+    snowy = clean_missing(first_patch(has_snow(profile))).drop("patch")
     joined = with_point_attrs(align(lit, snowy, on), clean_missing(points))
     return with_surface(with_sun_angle(joined), layers).withColumn("month", F.month("time"))
 
@@ -45,6 +45,6 @@ def ingest(
     spark: SparkSession, inputs: str, points: DataFrame, out: str, layers: int = DEFAULT_LAYERS
 ) -> None:
     """Read, build and store every season found below ``inputs``."""
-    forcing, profile = read_inputs(spark, inputs)
+    forcing, profile = read_inputs(spark, inputs, clean=False)
     samples = build_samples(forcing, profile, points, layers, STORED_KEY)
     write_samples(with_metadata(to_sample_table(samples)), out)

@@ -12,9 +12,13 @@ from ..operators.filters import clean_missing
 from ..schema import FORCING_SCHEMA, GROUP_COLS, PROFILE_SCHEMA
 
 
+# Hashing the hour along with the point keeps buckets even.
+BUCKET_COLS = ["time", "point_id"]
+
+
 def _open(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     try:
-        return clean_missing(spark.read.schema(schema).parquet(path))
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as error:
         raise FileNotFoundError(f"{path} doesn't exist") from error
 
@@ -24,15 +28,16 @@ def read_inputs(
     root: str,
     forcing_schema: T.StructType = FORCING_SCHEMA,
     profile_schema: T.StructType = PROFILE_SCHEMA,
+    clean: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """Forcing and profile tables below ``root``; both must exist.
 
-    The schema is declared, so nothing is inferred and NaN becomes NULL here,
-    once, for everything downstream.
+    The schema is declared, so nothing is inferred.  NaN becomes NULL unless
+    ``clean`` is off; the ingest plan filters first and cleans what is left.
     """
     forcing = _open(spark, f"{root}/forcing", forcing_schema)
     profile = _open(spark, f"{root}/profile", profile_schema)
-    return forcing, profile
+    return (clean_missing(forcing), clean_missing(profile)) if clean else (forcing, profile)
 
 
 def write_inputs(forcing: DataFrame, profile: DataFrame, root: str) -> None:
@@ -47,6 +52,27 @@ def write_inputs(forcing: DataFrame, profile: DataFrame, root: str) -> None:
         )
 
 
+def write_bucketed_inputs(
+    forcing: DataFrame, profile: DataFrame, tables: tuple[str, str], buckets: int
+) -> None:
+    """Store both inputs as catalog tables bucketed alike on time and point.
+
+    The join of the ingest plan then reads matching buckets side by side and
+    shuffles neither input.  Joining on more columns than the buckets use needs
+    ``spark.sql.requireAllClusterKeysForCoPartition`` off, as in
+    :data:`layerframe.session.SETTINGS`.
+    """
+    for name, df in zip(tables, (forcing, profile)):
+        (
+            df.repartition(buckets, *BUCKET_COLS)
+            .write.mode("overwrite")
+            .partitionBy(*GROUP_COLS)
+            .bucketBy(buckets, *BUCKET_COLS)
+            .sortBy(*BUCKET_COLS)
+            .saveAsTable(name)
+        )
+
+
 def pair_inputs(files: DataFrame) -> DataFrame:
     """Work list from file names: ``geo, season, forcing, profile``.
 

@@ -9,7 +9,7 @@ from layerframe.functions import names
 from layerframe.operators import joins, ordering
 from layerframe.operators.filters import at_site, clean_missing
 from layerframe.operators.stats import fit_stats
-from layerframe.plans.ingest import STORED_KEY, build_samples, ingest
+from layerframe.plans.ingest import STORED_KEY, build_samples, ingest, to_sample_table
 from layerframe.schema import LAYER_VARS, LOG_CURRENT, LOG_FOUR_METRICS, LOG_SHORT
 from layerframe.session import scratch_path
 from layerframe.sources import inputs, logs, samples
@@ -170,6 +170,33 @@ def test_counting_units_reads_no_column(spark, stored):
     assert "ReadSchema: struct<>" in plan_of(samples.scan_units(samples.read_samples(spark, stored)))
 
 
+def test_ingest_filters_reach_both_scans(spark, tmp_path):
+    forcing, profile = raw(spark)
+    inputs.write_inputs(forcing, profile, str(tmp_path))
+    stored = inputs.read_inputs(spark, str(tmp_path), clean=False)
+    plan = plan_of(to_sample_table(build_samples(*stored, points(spark), 5, STORED_KEY)))
+    assert "GreaterThan(swe,0.0)" in plan and "EqualTo(patch,0)" in plan
+    assert "Or(GreaterThan(direct_sw,0.0),GreaterThan(diffuse_sw,0.0))" in plan
+    assert "imp_dry1" not in plan, "unused inputs are not read"
+
+
+def test_bucketed_inputs_join_without_a_shuffle(spark, tmp_path):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    before = spark.conf.get("spark.sql.warehouse.dir")
+    try:
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS bucketed LOCATION '{tmp_path}'")
+        tables = ("bucketed.forcing", "bucketed.profile")
+        inputs.write_bucketed_inputs(*raw(spark), tables, 4)
+        built = build_samples(*[spark.table(t) for t in tables], points(spark), 5, STORED_KEY)
+        plan = plan_of(built)
+        assert "SortMergeJoin" in plan and "Exchange hashpartitioning" not in plan
+        assert built.count() == 2 * 2 * 2 * 3 * 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP DATABASE IF EXISTS bucketed CASCADE")
+    assert spark.conf.get("spark.sql.warehouse.dir") == before
+
+
 def test_statistics_take_one_shuffle_and_one_scan(spark, stored):
     plan = plan_of(fit_stats(samples.read_samples(spark, stored), layers=5))
     assert plan.count("Exchange") == 1 and plan.count("FileScan") == 1
