@@ -89,12 +89,13 @@ def _(spark, sf):
 # --- aggregates ---
 
 @query("d1_partial_stats", sql(f"""
-SELECT geo, season, variable, {big('count(x)')} AS n, {rd('sum(x)', 3)} AS total,
-  {rd('avg(x * x)', 3)} AS mean_sq FROM fx_value GROUP BY geo, season, variable"""), digits=3)
+SELECT geo, season, variable, {big('count(x)')} AS n, {rd('sum(x)', 8)} AS total,
+  {rd('avg(x * x)', 3)} AS mean_sq FROM fx_value GROUP BY geo, season, variable"""), digits=8)
 def _(spark, sf):
     partials = D_stats.partial_stats(views.samples(spark, sf), layers=L)
     return partials.select(
-        "geo", "season", "variable", "n", "total", (F.col("total_sq") / F.col("n")).alias("mean_sq")
+        "geo", "season", "variable", "n", "total",
+        F.round(F.col("total_sq") / F.col("n"), 3).alias("mean_sq"),
     )
 
 

@@ -328,7 +328,7 @@ def _(spark, sf):
 
 # The published depth and strides with narrow layers, so that SQL can follow.
 _NARROW = nets.Net(
-    stages=nets._convs(True, (4, 1), (6, 1), (6, 1), (6, 2), (6, 2), (6, 2)),
+    stages=nets.convs(True, (4, 1), (6, 1), (6, 1), (6, 2), (6, 2), (6, 2)),
     dense=(8, 8, 6, 4),
     activation="elu",
 )

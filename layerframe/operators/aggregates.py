@@ -31,4 +31,4 @@ def check_complete(catalog: DataFrame) -> DataFrame:
 def require_complete(catalog: DataFrame) -> None:
     short = check_complete(catalog).limit(5).collect()
     if short:
-        raise ValueError(f"Missing files: {[tuple(r) for r in short]}")
+        raise ValueError(f"seasons without twelve months: {[tuple(r) for r in short]}")

@@ -53,7 +53,7 @@ def drop_unneeded(df: DataFrame, needed: list[str]) -> DataFrame:
 
 def by_month(df: DataFrame, month: int, ts: str = "time") -> DataFrame:
     if month not in range(1, 13):
-        raise ValueError("month must be between 1 and 12")
+        raise ValueError(f"no such month: {month}")
     return df.where(F.month(ts) == month)
 
 

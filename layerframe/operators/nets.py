@@ -31,7 +31,7 @@ class Net:
     output: str = "sigmoid"
 
 
-def _convs(activated: bool, *plan: tuple[int, int]) -> tuple[tuple, ...]:
+def convs(activated: bool, *plan: tuple[int, int]) -> tuple[tuple, ...]:
     stages = []
     for width, stride in plan:
         stages.append(("conv", width, stride))
@@ -42,14 +42,14 @@ def _convs(activated: bool, *plan: tuple[int, int]) -> tuple[tuple, ...]:
 
 # Layer sizes of the published networks.
 CONV_NET = Net(
-    stages=_convs(True, (32, 1), (64, 1), (64, 1), (64, 2), (64, 2), (64, 2)),
+    stages=convs(True, (32, 1), (64, 1), (64, 1), (64, 2), (64, 2), (64, 2)),
     dense=(512, 512, 256, 128),
     activation="elu",
 )
 CONV_NET_LINEAR = replace(CONV_NET, output="linear")
 MAX_POOL_NET = Net(
     stages=(
-        *_convs(True, (32, 1), (64, 1), (128, 1), (256, 1), (256, 1), (256, 1)),
+        *convs(True, (32, 1), (64, 1), (128, 1), (256, 1), (256, 1), (256, 1)),
         ("global_max",),
     ),
     dense=(512, 512, 256, 128),
@@ -57,11 +57,11 @@ MAX_POOL_NET = Net(
 )
 INITIAL_NET = Net(
     stages=(
-        *_convs(False, (32, 1), (32, 1)),
+        *convs(False, (32, 1), (32, 1)),
         ("pool", 2),
-        *_convs(False, (64, 1), (128, 1), (128, 1)),
+        *convs(False, (64, 1), (128, 1), (128, 1)),
         ("pool", 5),
-        *_convs(False, (256, 1), (256, 1)),
+        *convs(False, (256, 1), (256, 1)),
         ("global_max",),
     ),
     dense=(512,) * 10 + (256, 128),

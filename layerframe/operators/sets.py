@@ -29,7 +29,7 @@ def assert_disjoint(**sets: DataFrame) -> None:
     """Raise when any two of the named sets share a row."""
     for (left, a), (right, b) in combinations(sets.items(), 2):
         if not overlap(a, b).isEmpty():
-            raise ValueError(f"Sets {left} and {right} have common samples")
+            raise ValueError(f"{left} and {right} share rows")
 
 
 def difference(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from ..schema import GROUP_COLS
 from .joins import localise_if_bounded
 from .ordering import shuffle_units
 
+TYPES = "train, test and val must all be sets, all integers or all floats"
 PLAN_SCHEMA = "geo string, season string, split string"
 Group = tuple[str, str]
 
@@ -29,7 +30,7 @@ def split_explicit(
     named = {"train": set(train), "test": set(test), "val": set(val or ())}
     for a, b in (("train", "test"), ("train", "val"), ("test", "val")):
         if named[a] & named[b]:
-            raise ValueError(f"Sets {a} and {b} have common samples")
+            raise ValueError(f"{a} and {b} share groups: {sorted(named[a] & named[b])}")
     rows = [(geo, season, name) for name, groups in named.items() for geo, season in sorted(groups)]
     plan = catalog.sparkSession.createDataFrame(rows, PLAN_SCHEMA)
     unknown = plan.join(_groups(catalog), GROUP_COLS, "left_anti").limit(5).collect()
@@ -67,7 +68,7 @@ def split_ratio(
 ) -> DataFrame:
     """Plan by shares.  Train and test round down; validation takes all the rest."""
     if Decimal(str(train)) + Decimal(str(test)) + Decimal(str(val or 0)) > 1:
-        raise ValueError("Total ratio requested > 1")
+        raise ValueError("the shares add up to more than 1")
     groups = _groups(catalog)
     total = groups.count()
     n_train, n_test = floor(train * total), floor(test * total)
@@ -80,11 +81,11 @@ def train_test_split(
     """Pick the kind of plan from the type of the arguments."""
     given = [a for a in (train, test, val) if a is not None]
     if any(isinstance(a, bool) for a in given):
-        raise TypeError("train, test and val must be sets, integers or floats")
+        raise TypeError(TYPES)
     if all(isinstance(a, (set, frozenset)) for a in given):
         return split_explicit(catalog, train, test, val)
     if all(isinstance(a, int) for a in given):
         return split_counts(catalog, train, test, val, seed)
     if all(isinstance(a, float) for a in given):
         return split_ratio(catalog, train, test, val, seed)
-    raise TypeError("Args train, test, val must be of the same type")
+    raise TypeError(TYPES)

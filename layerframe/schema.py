@@ -20,7 +20,6 @@ SUN_VARS = ["direct_sw", "diffuse_sw", "cos_sza"]
 TARGET = "albedo"
 STAT_VARS = LAYER_VARS + SUN_VARS + [TARGET]
 ID_VARS = ["time", "ZS", "aspect", "slope", "massif_number"]
-GEOS = ["Alpes", "Pyrenees"]
 SEASON_START_MONTH = 8
 
 ID_LABELS = {

@@ -20,7 +20,7 @@ def _open(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException as error:
-        raise FileNotFoundError(f"{path} doesn't exist") from error
+        raise FileNotFoundError(f"nothing stored at {path}") from error
 
 
 def read_inputs(
@@ -104,7 +104,7 @@ def require_pairs(pairs: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("profile").isNull()).alias("alone")
     ).first()
     if not state["n"]:
-        raise FileNotFoundError("No files found")
+        raise FileNotFoundError("the work list is empty")
     if state["alone"]:
         raise FileNotFoundError(f"{state['alone']} forcing files have no profile file")
     return pairs

@@ -24,9 +24,14 @@ def _read(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def save_stats(stats: DataFrame, inputs: DataFrame, path: str) -> None:
-    """Store the statistics with the groups they cover and the date of the fit."""
-    stats.repartition(1).write.mode("overwrite").parquet(f"{path}/stats")
+    """Store the statistics with the groups they cover and the date of the fit.
+
+    The list of groups is emptied first and written last, so statistics of an
+    interrupted run are never taken for those of an earlier selection.
+    """
     dated = inputs.withColumn("fitted_at", F.current_timestamp().cast("timestamp_ntz"))
+    dated.limit(0).write.mode("overwrite").parquet(f"{path}/inputs")
+    stats.repartition(1).write.mode("overwrite").parquet(f"{path}/stats")
     dated.repartition(1).write.mode("overwrite").parquet(f"{path}/inputs")
 
 
@@ -45,8 +50,7 @@ def refresh_stats(df: DataFrame, path: str, layers: int = DEFAULT_LAYERS) -> boo
 
     Partial moments are kept per (geo, season): only groups that are new, or
     whose number of rows changed, are scanned; everything else is merged from
-    what is stored.  The list of inputs is written last, so an interrupted run
-    is simply repeated.  Returns whether anything was computed.
+    what is stored.  Returns whether anything was computed.
     """
     spark = df.sparkSession
     groups = localise_if_bounded(group_sizes(df))
@@ -103,7 +107,9 @@ def cached_features(
     built = _read(spark, f"{path}/fingerprint")
     valid = built is not None and built.where(F.col("fingerprint") == wanted).count() == 1
     if force_rebuild or not valid:
-        build_features(df, norm, keys, layers).write.mode("overwrite").parquet(f"{path}/features")
+        # The mark is emptied first: a half-written table must not look valid.
         mark = spark.createDataFrame([(wanted,)], "fingerprint string")
-        mark.repartition(1).write.mode("overwrite").parquet(f"{path}/fingerprint")
+        mark.limit(0).write.mode("overwrite").parquet(f"{path}/fingerprint")
+        build_features(df, norm, keys, layers).write.mode("overwrite").parquet(f"{path}/features")
+        mark.write.mode("overwrite").parquet(f"{path}/fingerprint")
     return spark.read.parquet(f"{path}/features")

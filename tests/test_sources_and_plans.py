@@ -84,7 +84,7 @@ def test_pairing(spark):
     }
     with pytest.raises(FileNotFoundError, match="no profile"):
         inputs.require_pairs(pairs)
-    with pytest.raises(FileNotFoundError, match="No files"):
+    with pytest.raises(FileNotFoundError, match="empty"):
         inputs.require_pairs(pairs.where("geo = 'x'"))
 
 
