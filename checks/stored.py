@@ -46,11 +46,8 @@ def inputs(spark: SparkSession, sf: str) -> str:
 
 
 def keyed_samples(spark: SparkSession, sf: str) -> DataFrame:
-    table = to_sample_table_with_key(views.samples(spark, sf))
-    return table
-
-
-def to_sample_table_with_key(df: DataFrame) -> DataFrame:
+    """The sample table plus the order number, which the comparisons need."""
+    df = views.samples(spark, sf)
     return df.select(*[F.col(f.name).cast(f.dataType) for f in KEYED_SAMPLES])
 
 

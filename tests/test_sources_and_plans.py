@@ -209,6 +209,24 @@ def test_writing_rebalances_on_the_unit(spark):
     assert "REBALANCE_PARTITIONS_BY_COL" in plan_of(hinted)
 
 
+def test_a_unit_that_dominates_becomes_many_files(spark, tmp_path):
+    root = str(tmp_path / "hot")
+    df = spark.range(200_000, numPartitions=6).select(
+        F.lit("Alpes").alias("geo"), F.lit("1979_1980").alias("season"),
+        F.when(F.col("id") % 10 == 0, F.col("id") % 7 + 1).otherwise(8).cast("int").alias("month"),
+        F.rand(1).alias("zs"), F.rand(2).alias("slope"),
+    )
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256KB")
+    try:
+        samples.write_samples(df, root)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    stored = spark.read.parquet(root)
+    files = [f for f in stored.inputFiles() if "month=8/" in f]
+    assert len(files) >= 4, "the hot unit was written by several tasks"
+    assert stored.count() == 200_000
+
+
 def test_large_point_tables_are_not_broadcast_by_hint(spark):
     points_many = spark.range(50)
     assert "ResolvedHint" not in joins.broadcast_if_bounded(points_many, 10)._jdf.queryExecution().analyzed().toString()
