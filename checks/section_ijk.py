@@ -326,77 +326,115 @@ def _(spark, sf):
     return K_scoring.score_dense(vector, "x", _WEIGHTS, 0.1).select("sample_id", "yhat")
 
 
-# The published depth and strides with narrow layers, so that SQL can follow.
-_NARROW = nets.Net(
-    stages=nets.convs(True, (4, 1), (6, 1), (6, 1), (6, 2), (6, 2), (6, 2)),
-    dense=(8, 8, 6, 4),
-    activation="elu",
-)
+# The published stacks with narrow layers, so that SQL can follow the arithmetic.
+_CONVS = nets.convs(True, (4, 1), (6, 1), (6, 1), (6, 2), (6, 2), (6, 2))
+_NARROW = {
+    "k1_score_narrow_net": nets.Net(_CONVS, (8, 8, 6, 4), "elu"),
+    "k1_score_narrow_linear_net": nets.Net(_CONVS, (8, 8, 6, 4), "elu", output="linear"),
+    "k1_score_narrow_max_pool_net": nets.Net(
+        (*nets.convs(True, (4, 1), (4, 1), (6, 1), (6, 1), (6, 1), (6, 1)), ("global_max",)),
+        (8, 8, 6, 4), "elu",
+    ),
+    "k1_score_narrow_initial_net": nets.Net(
+        (
+            *nets.convs(False, (4, 1), (4, 1)), ("pool", 2),
+            *nets.convs(False, (4, 1), (6, 1), (6, 1)), ("pool", 3),
+            *nets.convs(False, (6, 1), (6, 1)), ("global_max",),
+        ),
+        (8, 8, 8, 6, 4), "relu", scalars=3,
+    ),
+    "k1_score_narrow_flat_net": nets.Net((), (8, 8, 8, 6, 6, 4), "relu"),
+}
+
+
+def _numbers(name: str, count: int) -> str:
+    return f"(SELECT unnest(generate_series(0, {count - 1})) AS {name})"
 
 
 def _net_sql(net: nets.Net) -> str:
-    """The forward pass as joins with the weight formula, one table per layer."""
-    shapes = nets.parameter_shapes(net, L)
+    """The forward pass as joins with the weight formula, one table per step."""
+    shapes = iter(nets.parameter_shapes(net, L))
+    scaled = " ".join(
+        f"WHEN {k} THEN coalesce(({v}[p + 1] - {v}_mean) / {v}_std, 0)"
+        for k, v in enumerate(LAYER_VARS, start=1)
+    )
     ctes = [f"""
-net_in AS (
-  SELECT sample_id, c, i AS p, CASE c WHEN 0 THEN CASE WHEN dz[i + 1] IS NULL THEN CAST(0 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END
-    {" ".join(f"WHEN {k} THEN coalesce(({v}[i + 1] - {v}_mean) / {v}_std, 0)" for k, v in enumerate(LAYER_VARS, start=1))}
-    END AS x
-  FROM fx_sample, fx_norm, (SELECT unnest(generate_series(0, 5)) AS c), (SELECT unnest(generate_series(0, {L - 1})) AS i))"""]
-    source, length, at = "net_in", L, 0
+t0 AS (
+  SELECT sample_id, c, p, CASE c WHEN 0 THEN CAST(dz[p + 1] IS NOT NULL AS INTEGER)::DOUBLE {scaled} END AS x
+  FROM fx_sample, fx_norm, {_numbers('c', 6)}, {_numbers('p', L)})"""]
+    length, channels, number = L, 6, 0
 
-    def elu(x: str) -> str:
-        return f"CASE WHEN {x} > 0 THEN {x} ELSE exp({x}) - 1 END"
+    def step(body: str) -> None:
+        ctes.append(f"t{len(ctes)} AS ({body})")
+
+    def weight(flat: str, inputs: int) -> str:
+        return f"sin(CAST({flat} + {number + 1} AS DOUBLE)) / sqrt(CAST({inputs} AS DOUBLE))"
+
+    def bias() -> str:
+        return f"sin(CAST(o + {number + 1} AS DOUBLE)) / 10"
+
+    def activate() -> None:
+        lower = "0" if net.activation == "relu" else "exp(x) - 1"
+        step(f"SELECT sample_id, c, p, CASE WHEN x > 0 THEN x ELSE {lower} END AS x FROM t{len(ctes) - 1}")
 
     for stage in net.stages:
-        if stage[0] != "conv":
-            continue
-        (width, channels, kernel), stride = shapes[at][0], stage[2]
-        inputs = channels * kernel
-        ctes.append(f"""
-w{at} AS (
-  SELECT o, c, k, sin(CAST(o * {inputs} + c * {kernel} + k + {at + 1} AS DOUBLE)) / sqrt(CAST({inputs} AS DOUBLE)) AS w
-  FROM (SELECT unnest(generate_series(0, {width - 1})) AS o), (SELECT unnest(generate_series(0, {channels - 1})) AS c),
-    (SELECT unnest(generate_series(0, {kernel - 1})) AS k)),
-s{at} AS (
-  SELECT sample_id, o, q AS p, sum(x * w) + sin(CAST(o + {at + 1} AS DOUBLE)) / 10 AS z
-  FROM {source} n JOIN w{at} USING (c), (SELECT unnest(generate_series(0, {-(-length // stride) - 1})) AS q)
-  WHERE n.p = q * {stride} + k - 1 GROUP BY sample_id, o, q),
-a{at} AS (SELECT sample_id, o AS c, p, {elu('z')} AS x FROM s{at})""")
-        source, length, at, last = f"a{at}", -(-length // stride), at + 1, width
-    flat = last * length
-    sun = "[(direct_sw - direct_sw_mean) / direct_sw_std, (diffuse_sw - diffuse_sw_mean) / diffuse_sw_std, cos_sza, thickness]"
-    ctes.append(f"""
-net_flat AS (
-  SELECT sample_id, c * {length} + p AS c, x FROM {source}
-  UNION ALL SELECT sample_id, {flat} + j, {sun}[j + 1] FROM fx_sample, fx_norm, (SELECT unnest([0, 1, 2, 3]) AS j))""")
-    source = "net_flat"
-    for width in (*net.dense, 1):
-        inputs = shapes[at][0][1]
-        ctes.append(f"""
-d{at} AS (
-  SELECT sample_id, o, sum(x * sin(CAST(o * {inputs} + c + {at + 1} AS DOUBLE))) / sqrt(CAST({inputs} AS DOUBLE))
-    + sin(CAST(o + {at + 1} AS DOUBLE)) / 10 AS z
-  FROM {source}, (SELECT unnest(generate_series(0, {width - 1})) AS o) GROUP BY sample_id, o),
-b{at} AS (SELECT sample_id, o AS c, {elu('z')} AS x FROM d{at})""")
-        source, at = f"b{at}", at + 1
-    return sql(
-        f"SELECT {big('sample_id')} AS sample_id, {rd('1 / (1 + exp(-z))')} AS yhat FROM d{at - 1}", *ctes
-    )
+        source = f"t{len(ctes) - 1}"
+        if stage[0] == "conv":
+            (width, inputs, kernel), stride = next(shapes)[0], stage[2]
+            after = -(-length // stride)
+            step(f"""
+  SELECT sample_id, o AS c, q AS p, sum(x * w) + {bias()} AS x FROM {source} n JOIN (
+    SELECT o, c, k, {weight(f"o * {inputs * kernel} + c * {kernel} + k", inputs * kernel)} AS w
+    FROM {_numbers('o', width)}, {_numbers('c', inputs)}, {_numbers('k', kernel)}) USING (c), {_numbers('q', after)}
+  WHERE n.p = q * {stride} + k - 1 GROUP BY sample_id, o, q""")
+            length, channels, number = after, width, number + 1
+        elif stage[0] == "act":
+            activate()
+        elif stage[0] == "pool":
+            length //= stage[1]
+            step(f"""
+  SELECT sample_id, c, p // {stage[1]} AS p, max(x) AS x FROM {source} WHERE p < {length * stage[1]}
+  GROUP BY sample_id, c, p // {stage[1]}""")
+        else:
+            step(f"SELECT sample_id, c, 0 AS p, max(x) AS x FROM {source} GROUP BY sample_id, c")
+            length = 1
+    rule = "cos_sza" if net.stages else "(cos_sza - cos_sza_mean) / cos_sza_std"
+    sun = f"""[(direct_sw - direct_sw_mean) / direct_sw_std, (diffuse_sw - diffuse_sw_mean) / diffuse_sw_std, {rule}, thickness]"""
+    scalars = net.scalars if net.stages else 3
+    step(f"""
+  SELECT sample_id, c * {length} + p AS c, 0 AS p, x FROM t{len(ctes) - 1} UNION ALL
+  SELECT sample_id, {channels * length} + j, 0, {sun}[j + 1] FROM fx_sample, fx_norm, {_numbers('j', scalars)}""")
+    for at, width in enumerate((*net.dense, 1)):
+        inputs = next(shapes)[0][1]
+        step(f"""
+  SELECT sample_id, o AS c, 0 AS p, sum(x * {weight(f"o * {inputs} + c", inputs)}) + {bias()} AS x
+  FROM t{len(ctes) - 1}, {_numbers('o', width)} GROUP BY sample_id, o""")
+        number += 1
+        if at < len(net.dense):
+            activate()
+    result = "1 / (1 + exp(-x))" if net.output == "sigmoid" else "x"
+    return sql(f"SELECT {big('sample_id')} AS sample_id, {rd(result)} AS yhat FROM t{len(ctes) - 1}", *ctes)
+
+
+def _register_narrow(name: str, net: nets.Net) -> None:
+    @query(name, _net_sql(net))
+    def _(spark, sf):
+        # Doubles all the way: the comparison is about the arithmetic, not float32.
+        norm, table = train_norm(spark, sf), views.samples(spark, sf)
+        weights = nets.waves(net, L, "float64")
+        if not net.stages:
+            inputs = table.select("sample_id", I_features.normalize_flat(norm).alias("x"))
+            scored = K_scoring.score(inputs, net, weights, L, scalars="x", dtype="float64")
+            return scored.select("sample_id", "yhat")
+        scaled = I_features.normalize_sun(I_features.normalize_layers(table, norm), norm)
+        inputs = scaled.select(
+            "sample_id", I_features.snow_matrix().alias("x_snow"), I_features.sun_vector().alias("x_sun")
+        )
+        return K_scoring.score(inputs, net, weights, L, dtype="float64").select("sample_id", "yhat")
 
 
-@query("k1_score_narrow_net", _net_sql(_NARROW))
-def _(spark, sf):
-    # Doubles all the way: the comparison is about the arithmetic, not float32.
-    norm = train_norm(spark, sf)
-    scaled = I_features.normalize_sun(
-        I_features.normalize_layers(views.samples(spark, sf), norm), norm
-    )
-    inputs = scaled.select(
-        "sample_id", I_features.snow_matrix().alias("x_snow"), I_features.sun_vector().alias("x_sun")
-    )
-    weights = nets.waves(_NARROW, L, "float64")
-    return K_scoring.score(inputs, _NARROW, weights, L, dtype="float64").select("sample_id", "yhat")
+for _name, _net in _NARROW.items():
+    _register_narrow(_name, _net)
 
 
 def _register_net(name: str, net: nets.Net, depth: int) -> None:
@@ -464,3 +502,20 @@ def _(spark, sf):
         {"regParam": [0.0, 0.01, 0.1], "elasticNetParam": [0.0, 0.5]},
     )
     return best_trial(trials)
+
+
+# Ridge on one standardised input: the slope shrinks by 1 + regParam / std(target).
+@query("k4_sweep_trials", sql(f"""
+SELECT {big('trial')} AS trial, {rd('reg')} AS "regParam", {rd('avg(pow(albedo - (y0 + b * (direct_sw - x0)), 2))')} AS value
+FROM (SELECT albedo, direct_sw FROM fx_labelled WHERE split = 'val'),
+  (SELECT trial, reg, x0, y0, slope / (1 + reg / y_std) AS b FROM
+    (SELECT regr_slope(albedo, direct_sw) AS slope, avg(direct_sw) AS x0, avg(albedo) AS y0, stddev_samp(albedo) AS y_std
+     FROM fx_labelled WHERE split = 'train'),
+    (SELECT unnest([0, 1, 2]) AS trial, unnest([0.0, 0.01, 0.1])::DOUBLE AS reg))
+GROUP BY trial, reg"""))
+def _(spark, sf):
+    rows = _labelled_samples(spark, sf)
+    return K_learning.sweep(
+        rows.where("split = 'train'"), rows.where("split = 'val'"), ["direct_sw"],
+        {"regParam": [0.0, 0.01, 0.1]},
+    )
