@@ -82,9 +82,9 @@ def _(spark, sf):
 
 _ROW = f"""geo, season, {big('month')} AS month, {big('sample_id')} AS sample_id, {ts('time')} AS time,
   {rd('albedo', 9)} AS albedo, {rd('thickness', 9)} AS thickness, {big('n_layers')} AS n_layers,
-  {rd('surface_ssa', 9)} AS surface_ssa, {rd('cos_sza', 9)} AS cos_sza"""
+  {rd('surface_ssa', 9)} AS surface_ssa, {rd('cos_sza')} AS cos_sza"""
 _ROW_COLUMNS = ["geo", "season", "month", "sample_id", "time", "albedo", "thickness",
-                "n_layers", "surface_ssa", "cos_sza"]
+                "n_layers", "surface_ssa", "round(cos_sza, 6) AS cos_sza"]
 
 
 def _stored_samples(spark, sf):
@@ -93,7 +93,7 @@ def _stored_samples(spark, sf):
 
 @query("a4_read_samples", sql(f"SELECT {_ROW} FROM fx_sample"), digits=9)
 def _(spark, sf):
-    return _stored_samples(spark, sf).select(*_ROW_COLUMNS)
+    return _stored_samples(spark, sf).selectExpr(*_ROW_COLUMNS)
 
 
 @query("a5_pushed_predicates", sql(f"""
@@ -101,7 +101,7 @@ SELECT {_ROW} FROM fx_sample WHERE massif_number = 3 AND slope = 0 AND aspect =
   AND surface_ssa <= 60 AND season = '1997_1998'"""), digits=9)
 def _(spark, sf):
     site = B.at_site(_stored_samples(spark, sf), 3, slope=0, aspect=-1)
-    return site.where((F.col("surface_ssa") <= 60) & (F.col("season") == "1997_1998")).select(
+    return site.where((F.col("surface_ssa") <= 60) & (F.col("season") == "1997_1998")).selectExpr(
         *_ROW_COLUMNS
     )
 
@@ -172,7 +172,7 @@ def _(spark, sf):
 @query("a10_read_season", sql(f"""
 SELECT {_ROW} FROM fx_sample WHERE geo = 'ASIA' AND season = '1996_1997'"""), digits=9)
 def _(spark, sf):
-    return A_samples.season_units(_stored_samples(spark, sf), "ASIA", "1996_1997").select(
+    return A_samples.season_units(_stored_samples(spark, sf), "ASIA", "1996_1997").selectExpr(
         *_ROW_COLUMNS
     )
 
@@ -353,10 +353,11 @@ def _(spark, sf):
 @query("b12_wide_order", sql("SELECT " + ", ".join([
     _ID,
     *[f"CAST(dz[{i}] IS NOT NULL AS BIGINT) AS snow_layer{i}" for i in range(1, L + 1)],
-    *[f"{rd(c, 9)} AS {c}" for c in ("direct_sw", "diffuse_sw", "cos_sza", "albedo")],
+    *[f"{rd(c, 9)} AS {c}" for c in ("direct_sw", "diffuse_sw", "albedo")],
+    f"{rd('cos_sza')} AS cos_sza",
 ]) + " FROM fx_sample"), digits=9)
 def _(spark, sf):
-    wide = to_wide(views.samples(spark, sf), L)
+    wide = to_wide(views.samples(spark, sf), L).withColumn("cos_sza", F.round("cos_sza", 6))
     return B.drop_unneeded(wide, [
         c for c in wide.columns
         if not c.startswith(("dz", "ssa", "density", "conc_"))

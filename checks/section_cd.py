@@ -44,14 +44,14 @@ _BUILT = [
 @query("c2_build_samples", sql(f"""
 SELECT {big('sample_id')} AS sample_id, geo, season, {big('month')} AS month,
   {big('massif_number')} AS massif_number, {big('n_layers')} AS n_layers,
-  {", ".join(f"{rd(c, 9)} AS {c}" for c in _BUILT[6:])}
+  {", ".join(f"{rd(c, 6 if c == 'cos_sza' else 9)} AS {c}" for c in _BUILT[6:])}
 FROM fx_sample WHERE swe > 0 AND patch = 0 AND (direct_sw > 0 OR diffuse_sw > 0)"""), digits=9)
 def _(spark, sf):
     built = build_samples(
         stored.raw_forcing(spark, sf), stored.raw_profile(spark, sf).drop("geo", "season"),
         views.points(spark, sf), L, ("time", "point_id", "sample_id"),
     )
-    return built.select(*_BUILT)
+    return built.select(*_BUILT).withColumn("cos_sza", F.round("cos_sza", 6))
 
 
 @query("c2_duplicate_keys", sql(f"""
@@ -89,12 +89,14 @@ def _(spark, sf):
 # --- aggregates ---
 
 @query("d1_partial_stats", sql(f"""
-SELECT geo, season, variable, {big('count(x)')} AS n, {rd('sum(x)', 8)} AS total,
-  {rd('avg(x * x)', 3)} AS mean_sq FROM fx_value GROUP BY geo, season, variable"""), digits=8)
+SELECT geo, season, variable, {big('count(x)')} AS n, {rd("sum(x) * CASE variable WHEN 'albedo' THEN 1000 ELSE 1 END")} AS total,
+  {rd('avg(x * x)', 3)} AS mean_sq FROM fx_value GROUP BY geo, season, variable"""))
 def _(spark, sf):
     partials = D_stats.partial_stats(views.samples(spark, sf), layers=L)
     return partials.select(
-        "geo", "season", "variable", "n", "total",
+        "geo", "season", "variable", "n",
+        # Albedo has eight decimals: in thousandths its sums round without ties.
+        (F.col("total") * F.when(F.col("variable") == "albedo", 1000).otherwise(1)).alias("total"),
         F.round(F.col("total_sq") / F.col("n"), 3).alias("mean_sq"),
     )
 

@@ -279,13 +279,13 @@ def _(spark, sf):
 
 
 @query("j3_maths", f"""
-SELECT {big('o_orderkey')} AS o_orderkey, {rd('sqrt(o_totalprice)', 9)} AS root,
-  {rd('pow(o_totalprice / 100000, 2)', 9)} AS square, {big('floor(o_totalprice / 3)')} AS down,
-  {big('ceil(o_totalprice / 3)')} AS up, {rd('least(o_totalprice, 1000)', 9)} AS smallest,
-  {rd('1 / (1 + exp(-(o_totalprice / 100000 - 2)))', 9)} AS sigmoid,
-  {rd('greatest(0, o_totalprice / 100000 - 2)', 9)} AS relu,
-  {rd('CASE WHEN o_totalprice > 200000 THEN o_totalprice / 100000 - 2 ELSE exp(o_totalprice / 100000 - 2) - 1 END', 9)} AS elu,
-  {rd('abs(o_totalprice - 200000)', 9)} AS distance FROM orders""", digits=9)
+SELECT {big('o_orderkey')} AS o_orderkey, {rd('sqrt(o_totalprice)', 7)} AS root,
+  {rd('pow(o_totalprice / 100000, 2)', 7)} AS square, {big('floor(o_totalprice / 3)')} AS down,
+  {big('ceil(o_totalprice / 3)')} AS up, {rd('least(o_totalprice, 1000)', 7)} AS smallest,
+  {rd('1 / (1 + exp(-(o_totalprice / 100000 - 2)))', 7)} AS sigmoid,
+  {rd('greatest(0, o_totalprice / 100000 - 2)', 7)} AS relu,
+  {rd('CASE WHEN o_totalprice > 200000 THEN o_totalprice / 100000 - 2 ELSE exp(o_totalprice / 100000 - 2) - 1 END', 7)} AS elu,
+  {rd('abs(o_totalprice - 200000)', 7)} AS distance FROM orders""", digits=7)
 def _(spark, sf):
     price = F.col("o_totalprice")
     z = price / 100000 - 2
