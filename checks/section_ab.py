@@ -87,20 +87,20 @@ _ROW_COLUMNS = ["geo", "season", "month", "sample_id", "time", "albedo", "thickn
                 "n_layers", "surface_ssa", "round(cos_sza, 6) AS cos_sza"]
 
 
-def _stored_samples(spark, sf):
+def stored_samples(spark, sf):
     return A_samples.read_samples(spark, stored.samples(spark, sf), stored.KEYED_SAMPLES)
 
 
 @query("a4_read_samples", sql(f"SELECT {_ROW} FROM fx_sample"), digits=9)
 def _(spark, sf):
-    return _stored_samples(spark, sf).selectExpr(*_ROW_COLUMNS)
+    return stored_samples(spark, sf).selectExpr(*_ROW_COLUMNS)
 
 
 @query("a5_pushed_predicates", sql(f"""
 SELECT {_ROW} FROM fx_sample WHERE massif_number = 3 AND slope = 0 AND aspect = -1
   AND surface_ssa <= 60 AND season = '1997_1998'"""), digits=9)
 def _(spark, sf):
-    site = B.at_site(_stored_samples(spark, sf), 3, slope=0, aspect=-1)
+    site = B.at_site(stored_samples(spark, sf), 3, slope=0, aspect=-1)
     return site.where((F.col("surface_ssa") <= 60) & (F.col("season") == "1997_1998")).selectExpr(
         *_ROW_COLUMNS
     )
@@ -111,7 +111,7 @@ _UNITS = f"SELECT geo, season, {big('month')} AS month, count(*) AS n FROM fx_at
 
 @query("a6_scan_units", sql(f"{_UNITS} GROUP BY ALL"))
 def _(spark, sf):
-    return A_samples.scan_units(_stored_samples(spark, sf))
+    return A_samples.scan_units(stored_samples(spark, sf))
 
 
 @query("a7_write_samples", sql(f"""
@@ -143,7 +143,7 @@ def _(spark, sf):
 
 @query("a9_catalog_units", sql(f"SELECT geo, season, {big('month')} AS month FROM fx_unit"))
 def _(spark, sf):
-    return A_samples.catalog(_stored_samples(spark, sf))
+    return A_samples.catalog(stored_samples(spark, sf))
 
 
 _MONTHS = """
@@ -154,7 +154,7 @@ fx_months AS (
 
 @query("a9_catalog_seasons", sql("SELECT geo, season, months FROM fx_months", _MONTHS))
 def _(spark, sf):
-    seasons = A_samples.catalog(_stored_samples(spark, sf), "season")
+    seasons = A_samples.catalog(stored_samples(spark, sf), "season")
     return seasons.select("geo", "season", F.array_join("months", ",").alias("months"))
 
 
@@ -165,14 +165,14 @@ def _(spark, sf):
     text = F.transform(
         "seasons", lambda s: F.concat_ws(":", s["season"], F.array_join(s["months"], ","))
     )
-    geos = A_samples.catalog(_stored_samples(spark, sf), "geo")
+    geos = A_samples.catalog(stored_samples(spark, sf), "geo")
     return geos.select("geo", F.array_join(text, ";").alias("seasons"))
 
 
 @query("a10_read_season", sql(f"""
 SELECT {_ROW} FROM fx_sample WHERE geo = 'ASIA' AND season = '1996_1997'"""), digits=9)
 def _(spark, sf):
-    return A_samples.season_units(_stored_samples(spark, sf), "ASIA", "1996_1997").selectExpr(
+    return A_samples.season_units(stored_samples(spark, sf), "ASIA", "1996_1997").selectExpr(
         *_ROW_COLUMNS
     )
 
@@ -180,7 +180,7 @@ def _(spark, sf):
 @query("a11_describe_selection", sql("""
 SELECT DISTINCT geo, split_part(season, '_', 1) AS y1, split_part(season, '_', 2) AS y2 FROM fx_at"""))
 def _(spark, sf):
-    return A_samples.describe_selection(_stored_samples(spark, sf))
+    return A_samples.describe_selection(stored_samples(spark, sf))
 
 
 _STAT_ROWS = f"SELECT variable, {big('n')} AS n, {rd('mean')} AS mean, {rd('std')} AS std FROM fx_stat"
@@ -189,7 +189,7 @@ _STAT_ROWS = f"SELECT variable, {big('n')} AS n, {rd('mean')} AS mean, {rd('std'
 @query("a12_stats_store", sql(_STAT_ROWS))
 def _(spark, sf):
     path = scratch_path(spark, "stats")
-    table = _stored_samples(spark, sf)
+    table = stored_samples(spark, sf)
     A_stores.save_stats(fit_stats(table, layers=L), A_stores.group_sizes(table), path)
     stats, _ = A_stores.load_stats(spark, path)
     return stats
@@ -222,7 +222,7 @@ def weighted_sum(flat):
 SELECT {big('sample_id')} AS sample_id, {rd('CAST(albedo AS FLOAT)', 4)} AS y, {rd('snow_sum', 4)} AS snow_sum
 FROM fx_feature""", FEATURE_SUM), digits=4)
 def _(spark, sf):
-    table, path = _stored_samples(spark, sf), scratch_path(spark, "features")
+    table, path = stored_samples(spark, sf), scratch_path(spark, "features")
     norm = train_norm(spark, sf)
     A_stores.cached_features(table, norm, path, ("sample_id",), L)
     again = A_stores.cached_features(table, norm, path, ("sample_id",), L)

@@ -19,6 +19,7 @@ from layerframe.sources.stores import load_stats, refresh_stats
 
 from . import views
 from .registry import query
+from .section_ab import stored_samples
 from .section_cd import BATCH, BATCHES, batches
 from .sql import L, big, rd, sql, ts
 
@@ -239,7 +240,7 @@ def _(spark, sf):
 SELECT variable, {big('n')} AS n, {rd('mean')} AS mean, {rd('std')} AS std FROM fx_stat"""))
 def _(spark, sf):
     path = scratch_path(spark, "refreshed")
-    labelled = assign_split(views.samples(spark, sf), views.plan(spark, sf))
+    labelled = assign_split(stored_samples(spark, sf), views.plan(spark, sf))
     refresh_stats(labelled.where("split = 'train'"), path, L)
     refresh_stats(labelled, path, L)
     return load_stats(spark, path)[0]
