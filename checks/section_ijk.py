@@ -509,7 +509,7 @@ def _(spark, sf):
 SELECT {big('trial')} AS trial, {rd('reg')} AS "regParam", {rd('avg(pow(albedo - (y0 + b * (direct_sw - x0)), 2))')} AS value
 FROM (SELECT albedo, direct_sw FROM fx_labelled WHERE split = 'val'),
   (SELECT trial, reg, x0, y0, slope / (1 + reg / y_std) AS b FROM
-    (SELECT regr_slope(albedo, direct_sw) AS slope, avg(direct_sw) AS x0, avg(albedo) AS y0, stddev_samp(albedo) AS y_std
+    (SELECT regr_slope(albedo, direct_sw) AS slope, avg(direct_sw) AS x0, avg(albedo) AS y0, stddev_pop(albedo) AS y_std
      FROM fx_labelled WHERE split = 'train'),
     (SELECT unnest([0, 1, 2]) AS trial, unnest([0.0, 0.01, 0.1])::DOUBLE AS reg))
 GROUP BY trial, reg"""))
