@@ -5,8 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from layerframe.llm import bpe, secrets
+from layerframe.llm import (
+    bpe,
+    grace_dedup,
+    language,
+    line_dedup,
+    mixing,
+    near_dedup,
+    revisits,
+    secrets,
+    top_inner,
+    wrappers,
+)
 from layerframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +49,140 @@ def secret_scan(spark: SparkSession, sf: str) -> DataFrame:
 @query("op3_bpe_round_trip")
 def bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf, "documents"), bpe.read_model(tokenizer_path()))
+
+
+@query(
+    "op7_source_mix",
+    r"""
+    WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+    s AS (SELECT source, sum(size)::BIGINT AS words FROM d GROUP BY source),
+    r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM s),
+    w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][(rank % 3 + 1)::INT] AS weight, words::DOUBLE * 2 AS cap FROM r),
+    f AS (SELECT *, cap / weight AS fill, (sum(words) OVER () * 150)::DOUBLE / 100.0 AS budget FROM w),
+    l AS (SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY fill, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+              / sum(weight) OVER (ORDER BY fill, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM f),
+    v AS (SELECT first(level ORDER BY fill, rank) AS level FROM l WHERE level <= fill),
+    t AS (SELECT l.source, l.words, least(l.cap, coalesce(v.level * l.weight, l.cap)) AS target FROM l LEFT JOIN v ON true),
+    o AS (SELECT d.*, t.words, t.target, floor(t.target)::BIGINT AS take,
+              coalesce(sum(d.size) OVER (PARTITION BY d.source
+                  ORDER BY (('0x' || substr(md5('mix:' || d.doc_id || ':1'), 1, 8))::BIGINT % 1024), md5('mix:' || d.doc_id || ':1'), d.doc_id
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+          FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+    SELECT doc_id, size, words AS source_size, target,
+           (greatest(0, least(start + size, take) - start) + greatest(0, least(start + size + words, take) - start - words))::BIGINT AS taken
+    FROM o
+    """,
+)
+def source_mix(spark: SparkSession, sf: str) -> DataFrame:
+    documents, _ = mixing.mix(table(spark, sf, "documents"))
+    return documents.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query(
+    "op9_exact_dedup",
+    """
+    WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+    g AS (SELECT t, max(doc_id) AS keep_id, count(*)::BIGINT AS group_size FROM n GROUP BY t)
+    SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM n JOIN g USING (t)
+    """,
+)
+def exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return grace_dedup.exact_groups(table(spark, sf, "documents"))
+
+
+@query(
+    "op10_line_dedup",
+    """
+    WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+    e AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM d),
+    h AS (SELECT *, ('0x' || substr(md5(line), 1, 7))::BIGINT AS hv FROM e),
+    b AS (SELECT *, (hv + 31 * coalesce(lag(hv) OVER (PARTITION BY doc_id ORDER BY i), 0)) % 4 = 0 AS cut FROM h),
+    c AS (SELECT *, coalesce(sum(cut::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM b),
+    g AS (SELECT doc_id, k, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS content FROM c GROUP BY doc_id, k),
+    r AS (SELECT *, n >= 2 AND row_number() OVER (PARTITION BY content, n >= 2 ORDER BY doc_id, k) > 1 AS gone FROM g)
+    SELECT doc_id, coalesce(string_agg(content, chr(10) ORDER BY k) FILTER (NOT gone), '') AS text,
+           sum(n)::BIGINT AS n_lines, count(*)::BIGINT AS n_chunks,
+           coalesce(sum(n) FILTER (gone), 0)::BIGINT AS removed_lines, count(*) FILTER (gone) AS removed_chunks
+    FROM r GROUP BY doc_id
+    UNION ALL SELECT doc_id, NULL, 0, 0, 0, 0 FROM documents WHERE text IS NULL
+    """,
+)
+def line_dedup_query(spark: SparkSession, sf: str) -> DataFrame:
+    return line_dedup.remove_repeated_chunks(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query("op2_language_id")
+def language_id(spark: SparkSession, sf: str) -> DataFrame:
+    return language.identify(table(spark, sf, "documents"))
+
+
+@query(
+    "op4_top_inner_products",
+    """
+    WITH e AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+               WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+    p AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score
+          FROM e q JOIN e c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+    FROM p QUALIFY rank <= 10
+    """,
+)
+def top_inner_products(spark: SparkSession, sf: str) -> DataFrame:
+    return top_inner.top_inner_products(table(spark, sf, "embeddings"))
+
+
+@query("op5_html_extract")
+def html_extract(spark: SparkSession, sf: str) -> DataFrame:
+    return wrappers.main_texts(table(spark, sf, "pages"))
+
+
+@query(
+    "op6_revisit_resolution",
+    r"""
+    WITH u AS (SELECT page_id AS id, url, md5(coalesce(html, '')) AS digest, regexp_replace(trim(url), '#.*$', '') AS bare FROM pages WHERE page_id IS NOT NULL),
+    k AS (SELECT *, lower(regexp_extract(bare, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?]*)', 1)) AS host,
+              regexp_replace(bare, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?]*', '') AS rest FROM u),
+    a AS (SELECT *, regexp_replace(regexp_replace(regexp_extract(rest, '\?(.*)$', 1), '(?i)(^|&)(utm_[a-z]+|ref|fbclid|gclid)=[^&]*', '', 'g'), '^&+|&+$', '', 'g') AS asked FROM k),
+    c AS (SELECT id, digest, regexp_replace(regexp_replace(host, '^(www|m)\.', ''), ':(80|443)$', '')
+              || regexp_replace(regexp_extract(rest, '^([^?]*)', 1), '(/index\.html?|\.html?|/+)$', '')
+              || CASE WHEN asked <> '' THEN '?' || asked ELSE '' END AS url_key,
+              '"' || substr(digest, 1, 16) || '"' AS tag, 'day ' || (id % 365) AS day FROM a),
+    f AS (SELECT id * 2 AS record_id, url_key, id AS time, CASE WHEN id % 7 <> 0 THEN tag END AS etag, day, digest,
+              'content-type=text/html' AS kind, tag FROM c),
+    g AS (SELECT id * 2 + 1 AS record_id, url_key, id + 1000 AS time,
+              CASE WHEN id % 5 = 0 THEN '"changed"' WHEN id % 7 <> 0 THEN tag END AS etag, day FROM c),
+    j AS (SELECT g.*, f.record_id AS from_id, f.etag AS from_tag, f.day AS from_day, f.digest, f.tag,
+              row_number() OVER (PARTITION BY g.record_id ORDER BY f.time DESC, f.record_id DESC) AS n
+          FROM g LEFT JOIN f ON g.url_key = f.url_key AND (f.time, f.record_id) < (g.time, g.record_id)),
+    o AS (SELECT *, CASE WHEN from_id IS NULL THEN 'unresolved'
+              WHEN etag IS NOT NULL AND from_tag IS NOT NULL THEN CASE WHEN etag = from_tag THEN 'resolved' ELSE 'mismatch' END
+              WHEN day = from_day THEN 'resolved' ELSE 'mismatch' END AS outcome FROM j WHERE n = 1)
+    SELECT record_id, url_key, 'response' AS outcome, NULL::BIGINT AS source_id, digest, kind || ';date=' || day || ';etag=' || tag AS headers FROM f
+    UNION ALL
+    SELECT record_id, url_key, outcome, from_id, CASE WHEN outcome = 'resolved' THEN digest END,
+           CASE WHEN outcome = 'resolved' THEN 'content-type=text/html;date=later;etag=' || tag ELSE 'content-length=0;date=later' END FROM o
+    """,
+)
+def revisit_resolution(spark: SparkSession, sf: str) -> DataFrame:
+    found = revisits.resolve_revisits(revisits.captures_of(table(spark, sf, "pages")))
+    lines = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return found.withColumn("headers", F.array_join(lines, ";"))
+
+
+@query(
+    "op8_near_dedup",
+    r"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 4 THEN list_transform(range(1, len(ws) - 2), lambda i: list_aggregate(ws[i:i + 3], 'string_agg', ' '))
+              WHEN len(ws) > 0 THEN [len(ws) || ':' || list_aggregate(ws, 'string_agg', ' ')] ELSE [] END) AS sh FROM w),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b USING (sh) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+    l AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+    e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+    r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+    c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+    SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
+    """,
+)
+def near_dedup_query(spark: SparkSession, sf: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf, "documents"))
