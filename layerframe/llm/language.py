@@ -224,3 +224,25 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Train on ``df`` and predict every row of it."""
     return predict(df, train(df, id_col, text_col, lang_col), id_col, text_col)
+
+
+def keep_identified(
+    df: DataFrame, model: Model, least: float, text_col: str = "text", lang_col: str = "lang"
+) -> DataFrame:
+    """The rows of ``df`` whose language is known and has a score of ``least`` or more.
+
+    Rows of ``und`` go: null texts, texts without a letter.  A null language is
+    filled with the predicted one; everything else stays as it is.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shared.value.predict(text.as_py() or "") for text in batch.column(text_col)]
+            keep = pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_())
+            at = batch.schema.get_field_index(lang_col)
+            known = batch.column(at)
+            filled = pa.array([old if old is not None else lang for old, (lang, _) in zip(known.to_pylist(), found, strict=True)], known.type)
+            yield batch.set_column(at, batch.schema.field(at), filled).filter(keep)
+
+    return df.mapInArrow(run, df.schema)

@@ -157,16 +157,22 @@ def html_extract(spark: SparkSession, sf: str) -> DataFrame:
     o AS (SELECT *, CASE WHEN from_id IS NULL THEN 'unresolved'
               WHEN etag IS NOT NULL AND from_tag IS NOT NULL THEN CASE WHEN etag = from_tag THEN 'resolved' ELSE 'mismatch' END
               WHEN day = from_day THEN 'resolved' ELSE 'mismatch' END AS outcome FROM j WHERE n = 1)
-    SELECT record_id, url_key, 'response' AS outcome, NULL::BIGINT AS source_id, digest, kind || ';date=' || day || ';etag=' || tag AS headers FROM f
+    SELECT record_id, url_key, 'response' AS outcome, -1::BIGINT AS source_id, digest, kind || ';date=' || day || ';etag=' || tag AS headers FROM f
     UNION ALL
-    SELECT record_id, url_key, outcome, from_id, CASE WHEN outcome = 'resolved' THEN digest END,
+    SELECT record_id, url_key, outcome, coalesce(from_id, -1), CASE WHEN outcome = 'resolved' THEN digest ELSE '' END,
            CASE WHEN outcome = 'resolved' THEN 'content-type=text/html;date=later;etag=' || tag ELSE 'content-length=0;date=later' END FROM o
     """,
 )
 def revisit_resolution(spark: SparkSession, sf: str) -> DataFrame:
     found = revisits.resolve_revisits(revisits.captures_of(table(spark, sf, "pages")))
     lines = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
-    return found.withColumn("headers", F.array_join(lines, ";"))
+    return found.withColumns(
+        {
+            "headers": F.array_join(lines, ";"),
+            "source_id": F.coalesce("source_id", F.lit(-1).cast("long")),
+            "digest": F.coalesce("digest", F.lit("")),
+        }
+    )
 
 
 @query(
@@ -186,3 +192,10 @@ def revisit_resolution(spark: SparkSession, sf: str) -> DataFrame:
 )
 def near_dedup_query(spark: SparkSession, sf: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf, "documents"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf)
