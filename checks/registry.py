@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +31,12 @@ def query(name: str, sql: str | None = None, digits: int = DIGITS):
     return register
 
 
+def placed(df: DataFrame) -> DataFrame:
+    """Adds the position of each row in the order ``df`` has: wrong once its sort is gone."""
+    numbered = df.withColumn("_at", F.monotonically_increasing_id())
+    return numbered.withColumn("position", F.row_number().over(W.orderBy("_at"))).drop("_at")
+
+
 def tidy(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     """Long integers, rounded doubles, times as text, flags as 0/1."""
     def plain(field: T.StructField) -> Column:

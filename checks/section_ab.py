@@ -16,7 +16,7 @@ from layerframe.sources import samples as A_samples
 from layerframe.sources import stores as A_stores
 
 from . import stored, views
-from .registry import query
+from .registry import placed, query
 from .sql import L, big, rd, sql, ts
 
 
@@ -178,9 +178,10 @@ def _(spark, sf):
 
 
 @query("a11_describe_selection", sql("""
-SELECT DISTINCT geo, split_part(season, '_', 1) AS y1, split_part(season, '_', 2) AS y2 FROM fx_at"""))
+SELECT *, row_number() OVER (ORDER BY geo, y1) AS position FROM (
+  SELECT DISTINCT geo, split_part(season, '_', 1) AS y1, split_part(season, '_', 2) AS y2 FROM fx_at)"""))
 def _(spark, sf):
-    return A_samples.describe_selection(stored_samples(spark, sf))
+    return placed(A_samples.describe_selection(stored_samples(spark, sf)))
 
 
 _STAT_ROWS = f"SELECT variable, {big('n')} AS n, {rd('mean')} AS mean, {rd('std')} AS std FROM fx_stat"

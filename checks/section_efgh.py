@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from layerframe.functions.times import DAY, HOUR, season_order
@@ -18,7 +19,7 @@ from layerframe.sources.samples import catalog
 from layerframe.sources.stores import load_stats, refresh_stats
 
 from . import views
-from .registry import query
+from .registry import placed, query
 from .section_ab import stored_samples
 from .section_cd import BATCH, BATCHES, batches
 from .sql import L, big, rd, sql, ts
@@ -100,9 +101,16 @@ _register_shards("e6_more_workers_than_units", 1000)
 # --- sorting and limits ---
 
 @query("f1_season_order", sql(f"""
-SELECT geo, season, {big('month')} AS month, {big('(month + 4) % 12')} AS place FROM fx_unit"""))
+SELECT geo, season, {big('month')} AS month, {big('(month + 4) % 12')} AS place,
+  rank() OVER (ORDER BY (month + 4) % 12) AS first_position,
+  count(*) OVER (ORDER BY (month + 4) % 12) AS last_position FROM fx_unit"""))
 def _(spark, sf):
-    return E.by_season_order(views.units(spark, sf)).withColumn("place", season_order("month"))
+    ordered = placed(E.by_season_order(views.units(spark, sf)).withColumn("place", season_order("month")))
+    month = W.partitionBy("place")
+    return ordered.select(
+        "geo", "season", "month", "place", F.min("position").over(month).alias("first_position"),
+        F.max("position").over(month).alias("last_position"),
+    )
 
 
 @query("f2_first_profile", sql(f"""
@@ -124,10 +132,12 @@ def _(spark, sf):
 
 
 @query("f4_shuffle_units", sql("""
-SELECT geo, season, md5('1209' || geo || season) AS digest FROM (SELECT DISTINCT geo, season FROM fx_unit)"""))
+SELECT geo, season, md5('1209' || geo || season) AS digest,
+  row_number() OVER (ORDER BY md5('1209' || geo || season), geo, season) AS position
+FROM (SELECT DISTINCT geo, season FROM fx_unit)"""))
 def _(spark, sf):
     groups = views.units(spark, sf).select("geo", "season").distinct()
-    return E.shuffle_units(groups, 1209)
+    return placed(E.shuffle_units(groups, 1209))
 
 
 # --- set operations ---
@@ -140,12 +150,12 @@ def _(spark, sf):
 
 
 @query("g2_common_times", sql(f"""
-SELECT {ts('time')} AS time FROM (
+SELECT {ts('time')} AS time, row_number() OVER (ORDER BY time) AS position FROM (
   SELECT time FROM fx_forcing WHERE direct_sw > 0 INTERSECT SELECT time FROM fx_sample WHERE n_layers >= 8)"""))
 def _(spark, sf):
     sunny = views.forcing(spark, sf).where("direct_sw > 0")
     deep = views.layers(spark, sf).where("layer = 8")
-    return G.common_times(sunny, views.forcing(spark, sf).join(deep, "sample_id", "left_semi"))
+    return placed(G.common_times(sunny, views.forcing(spark, sf).join(deep, "sample_id", "left_semi")))
 
 
 @query("g3_overlap", sql("""

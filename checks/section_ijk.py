@@ -327,21 +327,22 @@ def _(spark, sf):
 
 
 # The published stacks with narrow layers, so that SQL can follow the arithmetic.
-_CONVS = nets.convs(True, (4, 1), (6, 1), (6, 1), (6, 2), (6, 2), (6, 2))
+_CONVS = nets.convs(True, (2, 1), (2, 1), (2, 1), (2, 2), (2, 2), (2, 2))
+NARROW_NET = nets.Net(_CONVS, (4, 4, 3, 2), "elu")
 _NARROW = {
-    "k1_score_narrow_net": nets.Net(_CONVS, (8, 8, 6, 4), "elu"),
-    "k1_score_narrow_linear_net": nets.Net(_CONVS, (8, 8, 6, 4), "elu", output="linear"),
+    "k1_score_narrow_net": NARROW_NET,
+    "k1_score_narrow_linear_net": nets.Net(_CONVS, (4, 4, 3, 2), "elu", output="linear"),
     "k1_score_narrow_max_pool_net": nets.Net(
-        (*nets.convs(True, (4, 1), (4, 1), (6, 1), (6, 1), (6, 1), (6, 1)), ("global_max",)),
-        (8, 8, 6, 4), "elu",
+        (*nets.convs(True, (2, 1), (2, 1), (2, 1), (3, 1), (3, 1), (3, 1)), ("global_max",)),
+        (4, 4, 3, 2), "elu",
     ),
     "k1_score_narrow_initial_net": nets.Net(
         (
-            *nets.convs(False, (4, 1), (4, 1)), ("pool", 2),
-            *nets.convs(False, (4, 1), (6, 1), (6, 1)), ("pool", 3),
-            *nets.convs(False, (6, 1), (6, 1)), ("global_max",),
+            *nets.convs(False, (2, 1), (2, 1)), ("pool", 2),
+            *nets.convs(False, (2, 1), (3, 1), (3, 1)), ("pool", 5),
+            *nets.convs(False, (3, 1), (3, 1)), ("global_max",),
         ),
-        (8, 8, 8, 6, 4), "relu", scalars=3,
+        (4, 4, 4, 3, 2), "relu", scalars=3,
     ),
     "k1_score_narrow_flat_net": nets.Net((), (8, 8, 8, 6, 6, 4), "relu"),
 }
@@ -351,8 +352,11 @@ def _numbers(name: str, count: int) -> str:
     return f"(SELECT unnest(generate_series(0, {count - 1})) AS {name})"
 
 
-def _net_sql(net: nets.Net) -> str:
-    """The forward pass as joins with the weight formula, one table per step."""
+def net_steps(net: nets.Net) -> list[str]:
+    """The forward pass as joins with the weight formula, one table per step.
+
+    The last one is ``scored(sample_id, yhat)``.
+    """
     shapes = iter(nets.parameter_shapes(net, L))
     scaled = " ".join(
         f"WHEN {k} THEN coalesce(({v}[p + 1] - {v}_mean) / {v}_std, 0)"
@@ -413,7 +417,11 @@ t0 AS (
         if at < len(net.dense):
             activate()
     result = "1 / (1 + exp(-x))" if net.output == "sigmoid" else "x"
-    return sql(f"SELECT {big('sample_id')} AS sample_id, {rd(result)} AS yhat FROM t{len(ctes) - 1}", *ctes)
+    return [*ctes, f"scored AS (SELECT sample_id, {result} AS yhat FROM t{len(ctes) - 1})"]
+
+
+def _net_sql(net: nets.Net) -> str:
+    return sql(f"SELECT {big('sample_id')} AS sample_id, {rd('yhat')} AS yhat FROM scored", *net_steps(net))
 
 
 def _register_narrow(name: str, net: nets.Net) -> None:
@@ -462,14 +470,17 @@ def _(spark, sf):
     return evaluate(views.labelled_predictions(spark, sf))
 
 
-@query("k2_net_report", digits=4)
+@query("k2_net_report", sql(f"""
+SELECT split, count(*) AS n, {rd('avg(pow(albedo - s.yhat, 2))', 4)} AS mse, {rd('avg(abs(albedo - s.yhat))', 4)} AS mae,
+  {rd('sqrt(avg(pow(albedo - s.yhat, 2)))', 4)} AS rmse FROM fx_labelled JOIN scored s USING (sample_id) GROUP BY split""",
+*net_steps(NARROW_NET)), digits=4)
 def _(spark, sf):
-    weights = nets.waves(nets.CONV_NET, L)
-    return report(views.samples(spark, sf), views.plan(spark, sf), weights, nets.CONV_NET, L)
+    weights = nets.waves(NARROW_NET, L)
+    return report(views.samples(spark, sf), views.plan(spark, sf), weights, NARROW_NET, L)
 
 
 def _labelled_samples(spark, sf):
-    columns = ["split", "thickness", "direct_sw", "diffuse_sw", "cos_sza", "albedo"]
+    columns = ["split", "thickness", "n_layers", "direct_sw", "diffuse_sw", "cos_sza", "albedo"]
     return assign_split(views.samples(spark, sf), views.plan(spark, sf)).select(*columns)
 
 
@@ -485,26 +496,45 @@ def _(spark, sf):
     return evaluate(K_learning.predict_with(model, rows, features))
 
 
-@query("k3_gbt_fit")
+# One tree of one split on the number of layers: the split that leaves the least squared error.
+@query("k3_gbt_fit", sql(f"""
+SELECT split, count(*) AS n, {rd('avg(pow(albedo - yhat, 2))')} AS mse, {rd('avg(abs(albedo - yhat))')} AS mae,
+  {rd('sqrt(avg(pow(albedo - yhat, 2)))')} AS rmse
+FROM (SELECT split, albedo, CASE WHEN n_layers <= cut THEN low ELSE high END AS yhat FROM fx_labelled, stump) GROUP BY split""",
+"""
+tally AS (SELECT n_layers AS v, count(*) AS n, sum(albedo) AS s FROM fx_labelled WHERE split = 'train' GROUP BY 1),
+sides AS (SELECT v, sum(n) OVER (ORDER BY v) AS ln, sum(s) OVER (ORDER BY v) AS ls,
+  sum(n) OVER () AS tn, sum(s) OVER () AS ts FROM tally),
+stump AS (SELECT v AS cut, ls / ln AS low, (ts - ls) / (tn - ln) AS high FROM sides WHERE ln < tn
+  ORDER BY ls * ls / ln + (ts - ls) * (ts - ls) / (tn - ln) DESC LIMIT 1)"""))
 def _(spark, sf):
-    rows, features = _labelled_samples(spark, sf), ["thickness", "direct_sw", "diffuse_sw", "cos_sza"]
+    rows, features = _labelled_samples(spark, sf), ["n_layers"]
     model = K_learning.fit_regressor(
-        rows.where("split = 'train'"), features, kind="gbt", maxIter=5, maxDepth=4, seed=1
+        rows.where("split = 'train'"), features, kind="gbt", maxIter=1, maxDepth=1, seed=1
     )
     return evaluate(K_learning.predict_with(model, rows, features))
 
 
-@query("k4_sweep")
+# Ridge on one standardised input: the slope shrinks by 1 + regParam / std(target).
+_TRIALS = f"""
+trials AS (SELECT {big('trial')} AS trial, {rd('reg')} AS "regParam", {rd('avg(pow(albedo - (y0 + b * (direct_sw - x0)), 2))')} AS value
+FROM (SELECT albedo, direct_sw FROM fx_labelled WHERE split = 'val'),
+  (SELECT trial, reg, x0, y0, slope / (1 + reg / y_std) AS b FROM
+    (SELECT regr_slope(albedo, direct_sw) AS slope, avg(direct_sw) AS x0, avg(albedo) AS y0, stddev_pop(albedo) AS y_std
+     FROM fx_labelled WHERE split = 'train'),
+    (SELECT unnest([0, 1, 2]) AS trial, unnest([0.0, 0.01, 0.1])::DOUBLE AS reg))
+GROUP BY trial, reg)"""
+
+
+@query("k4_sweep", sql("SELECT * FROM trials ORDER BY value LIMIT 1", _TRIALS))
 def _(spark, sf):
-    rows, features = _labelled_samples(spark, sf), ["thickness", "direct_sw", "diffuse_sw", "cos_sza"]
-    trials = K_learning.sweep(
-        rows.where("split = 'train'"), rows.where("split = 'val'"), features,
-        {"regParam": [0.0, 0.01, 0.1], "elasticNetParam": [0.0, 0.5]},
-    )
-    return best_trial(trials)
+    rows = _labelled_samples(spark, sf)
+    return best_trial(K_learning.sweep(
+        rows.where("split = 'train'"), rows.where("split = 'val'"), ["direct_sw"],
+        {"regParam": [0.0, 0.01, 0.1]},
+    ))
 
 
-# Ridge on one standardised input: the slope shrinks by 1 + regParam / std(target).
 @query("k4_sweep_trials", sql(f"""
 SELECT {big('trial')} AS trial, {rd('reg')} AS "regParam", {rd('avg(pow(albedo - (y0 + b * (direct_sw - x0)), 2))')} AS value
 FROM (SELECT albedo, direct_sw FROM fx_labelled WHERE split = 'val'),

@@ -79,7 +79,7 @@ fx_layer AS (
       l_quantity / 100 AS dz, l_extendedprice / 1000 AS ssa,
       CAST(50 + 5 * (l_partkey % 100) AS DOUBLE) AS density,
       l_discount + CAST(0 AS DOUBLE) AS conc_soot, l_tax + CAST(0 AS DOUBLE) AS conc_dust
-    FROM lineitem) WHERE layer <= {L}),
+    FROM lineitem)),
 fx_profile AS (
   SELECT sample_id, {_lists("dz", "ssa", "density", "conc_soot", "conc_dust")}, sum(dz) AS swe,
     count(*) AS n_layers, least(CAST(1 AS DOUBLE), sum(dz)) AS thickness,

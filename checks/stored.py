@@ -45,6 +45,19 @@ def inputs(spark: SparkSession, sf: str) -> str:
     return root
 
 
+def unique_inputs(spark: SparkSession, sf: str) -> str:
+    """Inputs with one row per (time, point): the order with the smallest number."""
+    first = views.forcing(spark, sf).groupBy("time", "point_id").agg(F.min("sample_id").alias("sample_id"))
+    keep = first.select("sample_id")
+    root = scratch_path(spark, "unique-inputs")
+    write_inputs(
+        raw_forcing(spark, sf).join(keep, "sample_id", "left_semi"),
+        raw_profile(spark, sf).join(keep, "sample_id", "left_semi"),
+        root,
+    )
+    return root
+
+
 def keyed_samples(spark: SparkSession, sf: str) -> DataFrame:
     """The sample table plus the order number, which the comparisons need."""
     df = views.samples(spark, sf)

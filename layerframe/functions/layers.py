@@ -25,9 +25,17 @@ def nan_layers_to_null(arr: str | Column) -> Column:
 
 
 def pad_layers(arr: str | Column, layers: int = DEFAULT_LAYERS) -> Column:
-    """Exactly ``layers`` entries: absent ones are NULL at the end."""
+    """Exactly ``layers`` entries: absent ones are NULL at the end.
+
+    A present layer beyond the depth is an error: nothing is cut.
+    """
     arr = F.coalesce(_col(arr), F.array().cast("array<double>"))
-    return F.slice(F.concat(arr, F.array_repeat(F.lit(None).cast("double"), layers)), 1, layers)
+    beyond = F.slice(arr, layers + 1, F.greatest(F.size(arr) - layers, F.lit(0)))
+    deeper = (F.size(arr) > layers) & F.exists(beyond, lambda x: x.isNotNull())
+    padded = F.slice(F.concat(arr, F.array_repeat(F.lit(None).cast("double"), layers)), 1, layers)
+    return F.when(
+        deeper, F.raise_error(F.lit(f"a profile has a layer beyond depth {layers}"))
+    ).otherwise(padded)
 
 
 def layer_presence(dz: str | Column) -> Column:

@@ -17,7 +17,7 @@ def _col(c: str | Column) -> Column:
 def profile_name(forcing_name: str | Column) -> Column:
     """Name of the profile file that belongs to a forcing file."""
     name = _col(forcing_name)
-    tail = F.substring(name, len(FORCING_PREFIX) + 1, 1000)
+    tail = F.substr(name, F.lit(len(FORCING_PREFIX) + 1))
     return F.concat(F.lit(PROFILE_PREFIX), tail)
 
 

@@ -49,16 +49,30 @@ def collect_layers(
 ) -> DataFrame:
     """Long layer rows (numbered from 1) to one padded array per variable.
 
-    Rows beyond ``layers`` are cut before the shuffle and (key, layer) is unique,
-    so a group never holds more than ``layers`` rows.
+    A layer stands at its number, so a missing number leaves a gap.  A number
+    outside 1..``layers`` and one that occurs twice are errors.
     """
-    kept = layer_rows.where(F.col("layer").between(1, layers))
     entry = F.struct("layer", *LAYER_VARS)
-    packed = kept.groupBy(key).agg(F.sort_array(F.collect_list(entry)).alias("stack"))
-    return packed.select(
-        key, *[pad_layers(F.col(f"stack.{v}"), layers).alias(v) for v in LAYER_VARS]
+    packed = layer_rows.groupBy(key).agg(F.sort_array(F.collect_list(entry)).alias("stack"))
+    count = F.size("stack")
+    first, last = F.get("stack", F.lit(0))["layer"], F.get("stack", count - 1)["layer"]
+    wrong = (first < 1) | (last > layers) | (F.size(F.array_distinct("stack.layer")) < count)
+    checked = packed.withColumn(
+        "stack",
+        F.when(
+            F.coalesce(wrong, F.lit(True)),
+            F.raise_error(F.lit(f"layer numbers must be distinct and lie in 1..{layers}")),
+        ).otherwise(F.col("stack")),
     )
 
+    def placed(variable: str) -> Column:
+        at = lambda i: F.get(F.filter("stack", lambda s: s["layer"] == i), F.lit(0))[variable]
+        return F.when(last == count, pad_layers(F.col(f"stack.{variable}"), layers)).otherwise(
+            F.transform(F.sequence(F.lit(1), F.lit(layers)), at)
+        )
+
+    return checked.select(key, *[placed(v).alias(v) for v in LAYER_VARS])
+
 
 def presence_values() -> Column:
     return F.transform(layer_presence("dz"), lambda p: p.cast("double"))
@@ -132,8 +146,9 @@ def build_features(
     df: DataFrame, norm: Norm, keys: tuple[str, ...] = (), layers: int = DEFAULT_LAYERS
 ) -> DataFrame:
     """Network inputs ``x_snow`` (6 x layers), ``x_sun`` (4) and target ``y`` as float32."""
-    padded = df.withColumns({v: pad_layers(v, layers) for v in LAYER_VARS})
-    deep = padded.withColumn("thickness", thickness("dz"))
+    deep = df.withColumns({
+        **{v: pad_layers(v, layers) for v in LAYER_VARS}, "thickness": thickness("dz")
+    })
     scaled = normalize_sun(normalize_layers(deep, norm), norm)
     return scaled.select(
         *keys,

@@ -10,27 +10,6 @@ from ..functions.sun import cos_sza
 from ..schema import DEFAULT_LAYERS, GROUP_COLS, LAYER_VARS
 from ..session import materialise
 
-POINT_BROADCAST_ROWS = 200_000
-PLAN_ROWS = 10_000
-
-
-def broadcast_if_bounded(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hint a broadcast only once the row count is known to stay below a bound."""
-    if df.limit(max_rows + 1).count() > max_rows:
-        return df
-    return F.broadcast(df)
-
-
-def localise_if_bounded(df: DataFrame, max_rows: int = PLAN_ROWS) -> DataFrame:
-    """Replace a small plan table by its rows; leave anything larger distributed.
-
-    Rows come back as a local relation, whose size the optimizer knows.
-    """
-    rows = df.limit(max_rows + 1).toArrow()
-    if rows.num_rows > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
-
 
 def sync_times(forcing: DataFrame, profile: DataFrame) -> DataFrame:
     """Forcing rows whose time also occurs in the profile table.
@@ -54,19 +33,29 @@ def with_point_attrs(df: DataFrame, points: DataFrame) -> DataFrame:
     """Repeat the static attributes of each grid point over its rows.
 
     Points are numbered per region, so the region joins too where both have it.
+    A row of a point that is not listed is an error.  How the sides meet is left
+    to the optimizer, which knows their bytes.
     """
     keys = ["point_id"]
     if "geo" in df.columns and "geo" in points.columns:
         keys.append("geo")
     keep = [c for c in points.columns if c in keys or c not in df.columns]
-    side = broadcast_if_bounded(points.select(*keep), POINT_BROADCAST_ROWS)
-    return df.join(side, keys, "inner")
+    side = points.select(*keep, F.lit(True).alias(LISTED))
+    unlisted = F.raise_error(F.concat(F.lit("no such point: "), F.col("point_id").cast("string")))
+    listed = F.coalesce(F.col(LISTED), unlisted.cast("boolean"))
+    return df.join(side, keys, "left").where(listed).drop(LISTED)
+
+
+LISTED = "_listed"
 
 
 def with_surface(df: DataFrame, layers: int = DEFAULT_LAYERS) -> DataFrame:
-    """Pad the layer arrays and materialise the scalars that queries filter on."""
-    padded = df.withColumns({v: pad_layers(v, layers) for v in LAYER_VARS})
-    return padded.withColumns({
+    """Pad the layer arrays and materialise the scalars that queries filter on.
+
+    The scalars are taken from the arrays as they came, before padding.
+    """
+    return df.withColumns({
+        **{v: pad_layers(v, layers) for v in LAYER_VARS},
         "surface_ssa": surface("ssa"),
         "surface_density": surface("density"),
         "surface_dust": surface("conc_dust"),
@@ -87,4 +76,4 @@ def duplicate_keys(df: DataFrame, on: tuple[str, ...] = ("time", "point_id")) ->
 
 def assign_split(df: DataFrame, plan: DataFrame) -> DataFrame:
     """Label rows through their (geo, season) unit; units outside the plan go."""
-    return df.join(localise_if_bounded(plan), GROUP_COLS, "inner")
+    return df.join(plan, GROUP_COLS, "inner")

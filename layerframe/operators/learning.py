@@ -21,10 +21,13 @@ PREDICTION = "yhat"
 
 
 def with_vector(df: DataFrame, features: str | Sequence[str]) -> DataFrame:
-    """An ML vector from one array column or from several scalar columns."""
+    """An ML vector from one array column or from several scalar columns.
+
+    A NULL or NaN scalar is an error: no row leaves a fit or a report silently.
+    """
     if isinstance(features, str):
         return df.withColumn(VECTOR, array_to_vector(F.col(features).cast("array<double>")))
-    assembler = VectorAssembler(inputCols=list(features), outputCol=VECTOR, handleInvalid="skip")
+    assembler = VectorAssembler(inputCols=list(features), outputCol=VECTOR, handleInvalid="error")
     return assembler.transform(df)
 
 
@@ -77,15 +80,30 @@ def sweep(
         number, params = item
         model = estimator.fit(train_rows, params)
         error = model.transform(val_rows).agg(mse(target, PREDICTION).alias("value")).first()
-        chosen = {p.name: float(v) for p, v in params.items()}
-        return (number, *[chosen[name] for name in grid], error["value"])
-
-    with ThreadPoolExecutor(parallelism) as pool:
-        rows = list(pool.map(trial, enumerate(points)))
-    train_rows.unpersist()
-    val_rows.unpersist()
-    columns = ", ".join(["trial int", *[f"{name} double" for name in grid], "value double"])
+        chosen = {p.name: v for p, v in params.items()}
+        return (number, *[casts[name](chosen[name]) for name in grid], error["value"])
+
+    casts = {name: CASTS[_kind(values)] for name, values in grid.items()}
+    try:
+        with ThreadPoolExecutor(parallelism) as pool:
+            rows = list(pool.map(trial, enumerate(points)))
+    finally:
+        train_rows.unpersist()
+        val_rows.unpersist()
+    kinds = [f"`{name}` {_kind(values)}" for name, values in grid.items()]
+    columns = ", ".join(["trial int", *kinds, "value double"])
     return train.sparkSession.createDataFrame(rows, columns)
 
 
+CASTS = {"boolean": bool, "long": int, "double": float, "string": str}
+
+
+def _kind(values: Sequence) -> str:
+    """SQL type of a setting, from the values on its axis of the grid."""
+    for python, name in ((bool, "boolean"), (int, "long"), (float, "double")):
+        if all(type(v) is python for v in values):
+            return name
+    return "double" if all(isinstance(v, (int, float)) for v in values) else "string"
+
+
 __all__ = ["best_trial", "fit_regressor", "predict_with", "regressor", "sweep", "with_vector"]

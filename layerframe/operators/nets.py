@@ -1,4 +1,4 @@
-"""Forward passes of the emulator networks on batches of rows.
+"""Forward passes of the networks on batches of rows.
 
 These helpers see one Arrow batch at a time inside a Spark task; Spark reads,
 partitions and schedules the rows.  A network is a list of stages, so its layer
@@ -106,6 +106,33 @@ def waves(net: Net, layers: int, dtype: str = "float32") -> list[tuple[np.ndarra
     return made
 
 
+def parameters_to_rows(parameters) -> list[tuple[int, str, int, float]]:
+    """(layer, kind, position, value) in forward order, positions row-major."""
+    return [
+        (layer, kind, at, float(value))
+        for layer, pair in enumerate(parameters)
+        for kind, values in zip(("weight", "bias"), pair)
+        for at, value in enumerate(np.ravel(values))
+    ]
+
+
+def parameters_from_rows(net: Net, layers: int, rows, dtype: str = "float32") -> list[tuple[np.ndarray, np.ndarray]]:
+    """Parameters of ``net`` from (layer, kind, position, value); each number exactly once."""
+    shapes = parameter_shapes(net, layers)
+    made = [(np.full(w, np.nan), np.full(b, np.nan)) for w, b in shapes]
+    seen = 0
+    for layer, kind, at, value in rows:
+        if not 0 <= layer < len(made) or kind not in ("weight", "bias"):
+            raise ValueError(f"the network has no {kind} in layer {layer}")
+        flat = made[layer][kind == "bias"].reshape(-1)
+        if not 0 <= at < len(flat) or not np.isnan(flat[at]):
+            raise ValueError(f"{kind} {at} of layer {layer} does not fit or occurs twice")
+        flat[at], seen = value, seen + 1
+    if seen != sum(w.size + b.size for w, b in made):
+        raise ValueError(f"{seen} numbers do not fill the network")
+    return [(w.astype(dtype), b.astype(dtype)) for w, b in made]
+
+
 def check_parameters(net: Net, layers: int, parameters) -> None:
     found = [(np.shape(w), np.shape(b)) for w, b in parameters]
     if found != parameter_shapes(net, layers):

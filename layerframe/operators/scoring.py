@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.maths import sigmoid
@@ -18,6 +18,24 @@ from .nets import Net, check_parameters, predict
 cloudpickle.register_pickle_by_value(nets)
 
 
+PARAMETER_SCHEMA = "layer int, kind string, position long, value double"
+
+
+def save_parameters(spark: SparkSession, parameters, path: str) -> None:
+    """Weights as a table, one row per number."""
+    rows = spark.createDataFrame(nets.parameters_to_rows(parameters), PARAMETER_SCHEMA)
+    rows.write.mode("overwrite").parquet(path)
+
+
+def load_parameters(spark: SparkSession, path: str, net: Net, layers: int, dtype: str = "float32"):
+    """Weights of a stored model, checked against the shapes of ``net``.
+
+    Their number is bounded by the network, not by any data.
+    """
+    stored = spark.read.schema(PARAMETER_SCHEMA).parquet(path)
+    return nets.parameters_from_rows(net, layers, (tuple(r) for r in stored.toLocalIterator()), dtype)
+
+
 def score_dense(
     df: DataFrame, features: str, weights: list[float], bias: float, column: str = "yhat",
     output: str = "sigmoid",

@@ -98,6 +98,19 @@ def fit_stats(
     return finish_stats(partial_stats(df, by, layers), by)
 
 
+def stats_to_wide(stats: DataFrame) -> DataFrame:
+    """The published layout of statistics: two rows, one column per variable."""
+    entries = F.array(*[F.struct(F.lit(k).alias("statistic"), F.col(k).alias("x")) for k in ("mean", "std")])
+    long = stats.select("variable", F.inline(entries))
+    return long.groupBy("statistic").pivot("variable", STAT_VARS).agg(F.first("x")).select("statistic", *STAT_VARS)
+
+
+def stats_from_wide(wide: DataFrame) -> DataFrame:
+    """Back to one row per variable: ``variable, mean, std``."""
+    long = wide.unpivot("statistic", STAT_VARS, "variable", "x")
+    return long.groupBy("variable").pivot("statistic", ["mean", "std"]).agg(F.first("x"))
+
+
 @dataclass(frozen=True)
 class Norm:
     """Fitted means and deviations, nine numbers each."""
@@ -115,6 +128,14 @@ class Norm:
             {r["variable"]: r["mean"] for r in rows}, {r["variable"]: r["std"] for r in rows}
         )
 
+    @classmethod
+    def from_wide(cls, wide: DataFrame) -> Norm:
+        """From the published layout: rows ``mean`` and ``std``, a column per variable."""
+        rows = {r["statistic"]: r for r in wide.select("statistic", *STAT_VARS).limit(3).collect()}
+        if sorted(rows) != ["mean", "std"]:
+            raise ValueError(f"expected the rows mean and std, got {sorted(rows)}")
+        return cls(*({v: rows[name][v] for v in STAT_VARS} for name in ("mean", "std")))
+
     def scale(self, variable: str, value: Column) -> Column:
         """(x - mean) / std, NULL where the deviation is zero."""
         return F.try_divide(value - F.lit(self.mean[variable]), F.lit(self.std[variable]))

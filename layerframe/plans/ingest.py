@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.filters import clean_missing, first_patch, has_snow, is_daytime
-from ..operators.joins import align, with_point_attrs, with_sun_angle, with_surface
-from ..schema import DEFAULT_LAYERS, SAMPLE_SCHEMA
+from ..operators.joins import align, duplicate_keys, with_point_attrs, with_sun_angle, with_surface
+from ..schema import DEFAULT_LAYERS, GROUP_COLS, SAMPLE_SCHEMA
 from ..sources.inputs import read_inputs
-from ..sources.samples import with_metadata, write_samples
+from ..sources.samples import manifest, read_samples, with_metadata, write_manifest, write_samples
 
 # Points are numbered per region, and the hour in which one season ends and the
 # next begins is present in both: region and season belong to the key.
@@ -41,10 +41,42 @@ def to_sample_table(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType) for f in SAMPLE_SCHEMA.fields])
 
 
+def require_paired_seasons(forcing: DataFrame, profile: DataFrame) -> None:
+    """Fail when a region and season has rows on one side only."""
+    sides = (forcing.select(*GROUP_COLS).distinct(), profile.select(*GROUP_COLS).distinct())
+    for a, b, name in ((*sides, "profile"), (*sides[::-1], "forcing")):
+        alone = a.join(b, GROUP_COLS, "left_anti").first()
+        if alone is not None:
+            raise FileNotFoundError(f"{alone['geo']} {alone['season']} has no {name} rows")
+
+
+def require_unique(df: DataFrame, on: tuple[str, ...], name: str) -> None:
+    """Fail when a key occurs twice: the join would multiply its rows."""
+    twice = duplicate_keys(df, on).first()
+    if twice is not None:
+        raise ValueError(f"{name} rows repeat the key {twice.asDict()}")
+
+
 def ingest(
-    spark: SparkSession, inputs: str, points: DataFrame, out: str, layers: int = DEFAULT_LAYERS
+    spark: SparkSession,
+    inputs: str,
+    points: DataFrame,
+    out: str,
+    layers: int = DEFAULT_LAYERS,
+    description: str = "layered samples",
+    run: dict[str, str] | None = None,
+    on: tuple[str, ...] = STORED_KEY,
 ) -> None:
-    """Read, build and store every season found below ``inputs``."""
+    """Read, check, build and store every season below ``inputs``, with a manifest.
+
+    Seasons must have both inputs, and keys be unique on each side, among the
+    rows that meet in the join.
+    """
     forcing, profile = read_inputs(spark, inputs, clean=False)
-    samples = build_samples(forcing, profile, points, layers, STORED_KEY)
+    require_paired_seasons(forcing, profile)
+    require_unique(forcing, on, "forcing")
+    require_unique(first_patch(has_snow(profile)), on, "profile")
+    samples = build_samples(forcing, profile, points, layers, on)
     write_samples(with_metadata(to_sample_table(samples)), out)
+    sources = {"forcing": f"{inputs}/forcing", "profile": f"{inputs}/profile"}
+    write_manifest(manifest(read_samples(spark, out), description, sources, run or {}), out)

@@ -20,11 +20,16 @@ def append_log(df: DataFrame, path: str, fresh: bool = False) -> None:
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """A log in whichever shape its header announces, over the widest schema."""
+    """A log in whichever shape its header announces, over the widest schema.
+
+    Every file of a folder must have that header: another one, or the same
+    columns in another order, is an error and never read by position.
+    """
     header = spark.read.option("header", True).csv(path).columns
     for name, schema in LOG_SHAPES.items():
         if header == schema.names:
-            rows = spark.read.option("header", True).schema(schema).csv(path)
+            reader = spark.read.option("header", True).option("enforceSchema", False)
+            rows = reader.schema(schema).csv(path)
             return _widen(rows, name)
     raise ValueError(f"unknown log header {header}")
 

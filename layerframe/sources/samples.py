@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import is_season
-from ..functions.times import season_order
+from ..functions.times import micros, season_order
 from ..schema import (
     GROUP_COLS,
     ID_LABELS,
@@ -32,42 +33,38 @@ def write_samples(df: DataFrame, root: str) -> None:
     """One folder per region, season and month, replacing those seasons.
 
     The rebalance hint sizes the output files: small units are merged, and a
-    unit that holds much of the data is split over several tasks.  A month that
-    an earlier run stored for a rewritten season but this one did not is removed
-    afterwards.
+    unit that holds much of the data is split over several tasks.  The units
+    written are noted on the way, and a month that an earlier run stored for one
+    of their seasons but this one did not is removed afterwards.  Seasons that
+    are not in ``df`` are never touched, whoever writes to them meanwhile.
     """
     spark = df.sparkSession
-    before = _folders(spark, root)
+    noted = Observation()
     sort = [c for c in SITE_SORT if c in df.columns]
     (
-        df.hint("rebalance", *UNIT_COLS)
+        df.observe(noted, F.collect_set(F.struct(*UNIT_COLS)).alias("units"))
+        .hint("rebalance", *UNIT_COLS)
         .sortWithinPartitions(*UNIT_COLS, *sort)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*UNIT_COLS)
         .parquet(root)
     )
-    if before:
-        _remove(spark, _stale(before, _folders(spark, root)))
+    units = noted.get["units"]
+    if units:
+        _remove(spark, _stale(spark, root, spark.createDataFrame(units, _unit_schema())))
 
 
-def _folders(spark: SparkSession, root: str) -> dict[str, set[str]]:
-    """Unit folders with the files in them, from the listing Spark keeps anyway."""
-    try:
-        files = spark.read.schema(SAMPLE_SCHEMA).parquet(root).inputFiles()
-    except AnalysisException:
-        return {}
-    folders: dict[str, set[str]] = {}
-    for file in files:
-        folders.setdefault(file.rsplit("/", 1)[0], set()).add(file)
-    return folders
+def _unit_schema() -> T.StructType:
+    return T.StructType([f for f in SAMPLE_SCHEMA.fields if f.name in UNIT_COLS])
 
 
-def _stale(before: dict[str, set[str]], after: dict[str, set[str]]) -> list[str]:
-    """Months left over in a season that has just been rewritten."""
-    kept = {folder for folder, files in after.items() if files <= before.get(folder, set())}
-    rewritten = {folder.rsplit("/", 1)[0] for folder in after.keys() - kept}
-    return sorted(folder for folder in kept if folder.rsplit("/", 1)[0] in rewritten)
+def _stale(spark: SparkSession, root: str, written: DataFrame) -> list[str]:
+    """Folders of months left over in the seasons that have just been written."""
+    stored = spark.read.schema(SAMPLE_SCHEMA).parquet(root)
+    held = stored.select(*UNIT_COLS, F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("folder")).distinct()
+    in_season = held.join(written.select(*GROUP_COLS).distinct(), GROUP_COLS, "left_semi")
+    return [r["folder"] for r in in_season.join(written, UNIT_COLS, "left_anti").select("folder").collect()]
 
 
 def _remove(spark: SparkSession, folders: list[str]) -> None:
@@ -153,11 +150,18 @@ def labels_of(df: DataFrame) -> dict[str, str]:
 
 
 def manifest(df: DataFrame, description: str, sources: dict[str, str], run: dict[str, str]) -> DataFrame:
-    """One row that describes the table: sources, run identifiers, time coverage."""
+    """One row that describes the table: sources, run identifiers, time coverage and step.
+
+    ``resolution`` is the smallest step between two times of one season, in seconds.
+    """
     def literal(values: dict[str, str]):
         pairs = [F.lit(x) for item in sorted(values.items()) for x in item]
         return F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,string>")
 
+    seasons = W.partitionBy(*[c for c in GROUP_COLS if c in df.columns]).orderBy("time")
+    times = df.select(*[c for c in GROUP_COLS if c in df.columns], "time").distinct()
+    step = (micros("time") - micros(F.lag("time").over(seasons))) / 1e6
+    steps = times.select(step.alias("step")).agg(F.min("step").alias("resolution"))
     return df.agg(
         F.lit(description).alias("description"),
         literal(sources).alias("sources"),
@@ -165,4 +169,16 @@ def manifest(df: DataFrame, description: str, sources: dict[str, str], run: dict
         F.min("time").alias("start"),
         F.max("time").alias("end"),
         F.count(F.lit(1)).alias("n"),
-    )
+    ).join(steps, how="cross")
+
+
+MANIFEST = "_manifest"
+
+
+def write_manifest(described: DataFrame, root: str) -> None:
+    """Keep a manifest with its table; Spark passes over names with an underscore."""
+    described.repartition(1).write.mode("overwrite").parquet(f"{root}/{MANIFEST}")
+
+
+def read_manifest(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.parquet(f"{root}/{MANIFEST}")

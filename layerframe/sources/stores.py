@@ -5,15 +5,14 @@ from __future__ import annotations
 import json
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.features import build_features
-from ..operators.joins import localise_if_bounded
 from ..operators.sets import same_inputs
 from ..operators.stats import Norm, finish_stats, merge_stats, partial_stats
 from ..schema import DEFAULT_LAYERS, GROUP_COLS
-from .samples import scan_units
+from ..session import materialise
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame | None:
@@ -41,27 +40,43 @@ def load_stats(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def group_sizes(df: DataFrame) -> DataFrame:
-    """Rows per (geo, season): what a statistics table is fitted on."""
-    return df.groupBy(*GROUP_COLS).agg(F.count(F.lit(1)).alias("n_rows"))
+    """Rows and content of each (geo, season): what a statistics table is fitted on.
+
+    The content is the sum of one hash per row, so it follows every value but
+    neither the order of the rows nor the files they are in.
+    """
+    return df.groupBy(*GROUP_COLS).agg(
+        F.count(F.lit(1)).alias("n_rows"), content(df).alias("content")
+    )
+
+
+def content(df: DataFrame) -> Column:
+    """Aggregate that changes with any value of ``df``, whatever the order of rows."""
+    row = F.xxhash64(*[F.col(c) for c in sorted(df.columns)])
+    return F.sum(row.cast("decimal(38,0)")).cast("string")
 
 
 def refresh_stats(df: DataFrame, path: str, layers: int = DEFAULT_LAYERS) -> bool:
-    """Refit only when nothing is stored or the set of groups changed.
+    """Refit only when nothing is stored or some group changed.
 
     Partial moments are kept per (geo, season): only groups that are new, or
-    whose number of rows changed, are scanned; everything else is merged from
-    what is stored.  Returns whether anything was computed.
+    whose rows changed in number or content, are fitted; everything else is
+    merged from what is stored.  Returns whether anything was computed.
     """
     spark = df.sparkSession
-    groups = localise_if_bounded(group_sizes(df))
+    groups = materialise(group_sizes(df), "groups")
     inputs = _read(spark, f"{path}/inputs")
+    if inputs is not None and not set(groups.columns) <= set(inputs.columns):
+        inputs = None  # stored before contents were kept
     if inputs is not None and same_inputs(groups, inputs):
         return False
     stored = _read(spark, f"{path}/partials")
     wanted = groups
-    if stored is not None:
-        known = stored.select(*groups.columns).distinct()
-        wanted = localise_if_bounded(groups.join(known, groups.columns, "left_anti"))
+    if stored is not None and inputs is not None:
+        known = inputs.select(*groups.columns).distinct()
+        fitted = stored.select(*GROUP_COLS).distinct()
+        unchanged = groups.join(known, groups.columns, "left_semi").join(fitted, GROUP_COLS, "left_semi")
+        wanted = materialise(groups.join(unchanged, GROUP_COLS, "left_anti"), "changed-groups")
     fresh = df.join(wanted.select(*GROUP_COLS), GROUP_COLS, "left_semi")
     (
         partial_stats(fresh, GROUP_COLS, layers)
@@ -77,17 +92,23 @@ def refresh_stats(df: DataFrame, path: str, layers: int = DEFAULT_LAYERS) -> boo
     return True
 
 
-def feature_fingerprint(df: DataFrame, norm: Norm, layers: int) -> str:
-    """Identity of a feature table: stored units, their row counts, the norm, the depth."""
-    unit = F.xxhash64("geo", "season", "month", "n").cast("decimal(20,0)")
-    state = scan_units(df).agg(F.sum(unit).alias("units"), F.sum("n").alias("n")).first()
+def feature_fingerprint(
+    df: DataFrame, norm: Norm, layers: int, keys: tuple[str, ...] = ("time", "point_id")
+) -> str:
+    """Identity of a feature table: its rows, the norm, the depth, the key columns.
+
+    Statistics count to nine digits: the last ones depend on the order of tasks.
+    """
+    state = df.agg(F.count(F.lit(1)).alias("n"), content(df).alias("content")).first()
+    nine = lambda values: {k: v if v is None else f"{v:.8e}" for k, v in values.items()}
     return json.dumps(
         {
-            "units": str(state["units"]),
+            "content": state["content"],
             "n": state["n"],
             "layers": layers,
-            "mean": norm.mean,
-            "std": norm.std,
+            "keys": list(keys),
+            "mean": nine(norm.mean),
+            "std": nine(norm.std),
         },
         sort_keys=True,
     )
@@ -103,7 +124,7 @@ def cached_features(
 ) -> DataFrame:
     """Feature table, rebuilt when it is missing, forced, or built from something else."""
     spark = df.sparkSession
-    wanted = feature_fingerprint(df, norm, layers)
+    wanted = feature_fingerprint(df, norm, layers, keys)
     built = _read(spark, f"{path}/fingerprint")
     valid = built is not None and built.where(F.col("fingerprint") == wanted).count() == 1
     if force_rebuild or not valid:

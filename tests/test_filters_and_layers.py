@@ -6,9 +6,9 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from layerframe.functions import layers, times
+from layerframe.functions import layers, names, times
 from layerframe.functions.sun import cos_sza
-from layerframe.operators import features, filters, profiles
+from layerframe.operators import features, filters, joins, profiles
 from layerframe.operators.stats import Norm
 from layerframe.schema import LAYER_VARS, STAT_VARS, wide_columns
 
@@ -63,10 +63,44 @@ def test_thickness_caps_skips_and_defaults(table):
     assert got == {1: 0.5, 2: 0.0, 3: 1.0}
 
 
-def test_padding_fills_and_cuts(spark):
-    df = spark.createDataFrame([([1.0, 2.0, 3.0],), (None,)], "a array<double>")
+def test_padding_fills_and_never_cuts(spark):
+    df = spark.createDataFrame([([1.0],), ([1.0, 2.0, None],), (None,)], "a array<double>")
     got = [r["p"] for r in df.select(layers.pad_layers("a", 2).alias("p")).collect()]
-    assert got == [[1.0, 2.0], [None, None]]
+    assert got == [[1.0, None], [1.0, 2.0], [None, None]]
+    deeper = spark.createDataFrame([([1.0, 2.0, 3.0],)], "a array<double>")
+    with pytest.raises(Exception, match="beyond depth 2"):
+        deeper.select(layers.pad_layers("a", 2).alias("p")).collect()
+
+
+def test_depth_and_count_cover_every_layer(spark):
+    df = spark.createDataFrame([sample(1, [0.05] * 9)], SAMPLE)
+    got = joins.with_surface(df, 9).first()
+    assert (round(got["thickness"], 6), got["n_layers"]) == (0.45, 9)
+    with pytest.raises(Exception, match="beyond depth 8"):
+        joins.with_surface(df, 8).select("thickness", "dz").collect()
+
+
+def layer_rows(spark, numbers):
+    rows = [(1, n, *[float(n)] * 5) for n in numbers]
+    return spark.createDataFrame(rows, "sample_id long, layer int, " + ", ".join(f"{v} double" for v in LAYER_VARS))
+
+
+def test_layers_stand_at_their_number(spark):
+    got = features.collect_layers(layer_rows(spark, [3, 1]), "sample_id", 4).first()
+    assert got["dz"] == [1.0, None, 3.0, None]
+    whole = features.collect_layers(layer_rows(spark, [2, 1]), "sample_id", 4).first()
+    assert whole["ssa"] == [1.0, 2.0, None, None]
+
+
+@pytest.mark.parametrize("numbers", [[1, 5], [0, 1], [1, 1], [1, 1, 3]])
+def test_wrong_layer_numbers_are_errors(spark, numbers):
+    with pytest.raises(Exception, match="layer numbers must be distinct"):
+        features.collect_layers(layer_rows(spark, numbers), "sample_id", 4).collect()
+
+
+def test_long_names_keep_their_tail(spark):
+    df = spark.createDataFrame([("FORCING_" + "x" * 1500,)], "name string")
+    assert df.select(names.profile_name("name").alias("p")).first()["p"] == "PRO_" + "x" * 1500
 
 
 def test_wide_round_trip(table):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from layerframe.operators import learning, nets
 from layerframe.operators.metrics import mse
-from layerframe.operators.scoring import score, score_dense
+from layerframe.operators.scoring import load_parameters, save_parameters, score, score_dense
 
 LAYERS = 50
 NETS = {
@@ -103,6 +103,24 @@ def test_published_sizes(name, inputs):
         nets.check_parameters(net, LAYERS, nets.waves(net, LAYERS)[:-1])
 
 
+def test_stored_parameters(spark, tmp_path):
+    net, path = narrow(nets.CONV_NET), str(tmp_path / "weights")
+    made = nets.waves(net, LAYERS)
+    save_parameters(spark, made, path)
+    for (w, b), (x, y) in zip(made, load_parameters(spark, path, net, LAYERS)):
+        assert np.array_equal(w, x) and np.array_equal(b, y)
+    rows = nets.parameters_to_rows(made)
+    for wrong in (rows[:-1], [*rows, rows[0]], [*rows[:-1], (99, "bias", 0, 1.0)]):
+        with pytest.raises(ValueError):
+            nets.parameters_from_rows(net, LAYERS, wrong)
+
+
+def test_rows_without_a_feature_are_errors(spark):
+    df = spark.createDataFrame([(1.0, 1.0), (2.0, None)], "a double, b double")
+    with pytest.raises(Exception):
+        learning.with_vector(df, ["a", "b"]).collect()
+
+
 def test_single_and_double_precision_agree(spark):
     net, rng = nets.CONV_NET, np.random.default_rng(3)
     weights = nets.waves(net, LAYERS)

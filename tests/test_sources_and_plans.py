@@ -11,7 +11,7 @@ from layerframe.operators.filters import at_site, clean_missing
 from layerframe.operators.stats import fit_stats
 from layerframe.plans.ingest import STORED_KEY, build_samples, ingest, to_sample_table
 from layerframe.schema import LAYER_VARS, LOG_CURRENT, LOG_FOUR_METRICS, LOG_SHORT
-from layerframe.session import scratch_path
+from layerframe.session import co_partitioned, scratch_path
 from layerframe.sources import inputs, logs, samples
 from tests.conftest import plan_of
 
@@ -153,6 +153,53 @@ def test_log_shapes(spark, tmp_path):
         logs.read_log(spark, bad)
 
 
+def test_a_log_with_columns_in_another_order_is_an_error(spark, tmp_path):
+    path = str(tmp_path / "log")
+    logs.append_log(spark.createDataFrame([(1, 0.8, 0.9)], "epoch long, loss double, metric double"), path, fresh=True)
+    logs.append_log(spark.createDataFrame([(2, 0.9, 0.8)], "epoch long, metric double, loss double"), path)
+    with pytest.raises(Exception):
+        logs.read_log(spark, path).collect()
+
+
+def test_another_season_is_left_alone_while_one_is_written(spark, tmp_path):
+    root = str(tmp_path / "samples")
+    rows = [("Alpes", s, m, m * 1.0) for s in ("1979_1980", "1980_1981") for m in (8, 9)]
+    df = spark.createDataFrame(rows, "geo string, season string, month int, zs double")
+    samples.write_samples(df, root)
+    df.where("season = '1980_1981' and month = 8").write.mode("append").partitionBy("geo", "season", "month").parquet(root)
+    written = df.where("season = '1979_1980' and month = 8").select("geo", "season", "month")
+    assert [f.split("season=")[1] for f in samples._stale(spark, root, written)] == ["1979_1980/month=9"]
+
+
+def stored_raw(spark, tmp_path, forcing=None, profile=None):
+    first, second = raw(spark)
+    inputs.write_inputs(forcing or first, profile or second, str(tmp_path / "in"))
+    return str(tmp_path / "in"), str(tmp_path / "out")
+
+
+def test_ingest_needs_both_sides_of_a_season(spark, tmp_path):
+    forcing, profile = raw(spark)
+    season = forcing.select("season").distinct().first()["season"]
+    paths = stored_raw(spark, tmp_path, profile=profile.where(F.col("season") != season))
+    with pytest.raises(FileNotFoundError, match=season):
+        ingest(spark, paths[0], points(spark), paths[1], 5)
+
+
+def test_ingest_refuses_repeated_keys(spark, tmp_path):
+    forcing, _ = raw(spark)
+    paths = stored_raw(spark, tmp_path, forcing=forcing.union(forcing.limit(1)))
+    with pytest.raises(ValueError, match="forcing rows repeat"):
+        ingest(spark, paths[0], points(spark), paths[1], 5)
+
+
+def test_ingest_keeps_a_manifest(spark, tmp_path):
+    paths = stored_raw(spark, tmp_path)
+    ingest(spark, paths[0], points(spark), paths[1], 5, run={"id": "a"})
+    row = samples.read_manifest(spark, paths[1]).first()
+    table = samples.read_samples(spark, paths[1])
+    assert row["n"] == table.count() and row["run"] == {"id": "a"} and row["resolution"] > 0
+
+
 # --- the shape of the plans ---
 
 def test_site_filters_reach_the_scan(spark, stored):
@@ -187,10 +234,12 @@ def test_bucketed_inputs_join_without_a_shuffle(spark, tmp_path):
         spark.sql(f"CREATE DATABASE IF NOT EXISTS bucketed LOCATION '{tmp_path}'")
         tables = ("bucketed.forcing", "bucketed.profile")
         inputs.write_bucketed_inputs(*raw(spark), tables, 4)
-        built = build_samples(*[spark.table(t) for t in tables], points(spark), 5, STORED_KEY)
-        plan = plan_of(built)
-        assert "SortMergeJoin" in plan and "Exchange hashpartitioning" not in plan
-        assert built.count() == 2 * 2 * 2 * 3 * 2
+        with co_partitioned(spark):
+            built = build_samples(*[spark.table(t) for t in tables], F.broadcast(points(spark)), 5, STORED_KEY)
+            plan = plan_of(built)
+            assert "SortMergeJoin" in plan and "Exchange hashpartitioning" not in plan
+            assert built.count() == 2 * 2 * 2 * 3 * 2
+        assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.sql("DROP DATABASE IF EXISTS bucketed CASCADE")
@@ -227,11 +276,13 @@ def test_a_unit_that_dominates_becomes_many_files(spark, tmp_path):
     assert stored.count() == 200_000
 
 
-def test_large_point_tables_are_not_broadcast_by_hint(spark):
-    points_many = spark.range(50)
-    assert "ResolvedHint" not in joins.broadcast_if_bounded(points_many, 10)._jdf.queryExecution().analyzed().toString()
-    assert "ResolvedHint" in joins.broadcast_if_bounded(points_many, 50)._jdf.queryExecution().analyzed().toString()
-    assert joins.localise_if_bounded(points_many, 10) is points_many
+def test_a_row_of_an_unlisted_point_is_an_error(spark):
+    rows = spark.createDataFrame([(1, 5.0), (2, 6.0)], "point_id long, x double")
+    listed = spark.createDataFrame([(1, 100.0), (2, 200.0)], "point_id long, zs double")
+    got = joins.with_point_attrs(rows, listed)
+    assert sorted((r["point_id"], r["zs"]) for r in got.collect()) == [(1, 100.0), (2, 200.0)]
+    with pytest.raises(Exception, match="no such point: 2"):
+        joins.with_point_attrs(rows, listed.where("point_id = 1")).select("x").collect()
 
 
 def test_row_numbers_need_no_global_sort_task(spark):

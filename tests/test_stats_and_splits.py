@@ -201,6 +201,38 @@ def test_refresh_notices_a_group_that_grew(spark, tmp_path):
     assert by_variable(stores.load_stats(spark, path)[0], "n")["albedo"] == 100
 
 
+def test_refresh_notices_new_values_in_as_many_rows(spark, tmp_path):
+    path = str(tmp_path / "stats")
+    df = make(spark, 100, seed=3)
+    stores.refresh_stats(df, path, 4)
+    assert stores.refresh_stats(df.repartition(7), path, 4) is False
+    changed = df.withColumn("albedo", F.col("albedo") / 2)
+    assert stores.refresh_stats(changed, path, 4) is True
+    want = by_variable(stats.fit_stats(changed, layers=4), "mean")["albedo"]
+    assert by_variable(stores.load_stats(spark, path)[0], "mean")["albedo"] == pytest.approx(want)
+
+
+def test_feature_cache_follows_keys_and_content(spark, tmp_path):
+    path = str(tmp_path / "features")
+    df = make(spark, 60, seed=5)
+    norm = stats.Norm.from_stats(stats.fit_stats(df, layers=4))
+    assert "point_id" in stores.cached_features(df, norm, path, ("point_id",), 4).columns
+    assert "time" in stores.cached_features(df, norm, path, ("time", "point_id"), 4).columns
+    halved = df.withColumn("albedo", F.col("albedo") / 2)
+    built = stores.cached_features(halved, norm, path, ("time", "point_id"), 4)
+    assert sorted(r["y"] for r in built.collect()) == pytest.approx(sorted(r["albedo"] for r in halved.collect()), rel=1e-6)
+
+
+def test_published_layout_of_statistics(spark):
+    fitted = stats.fit_stats(make(spark, 80, seed=6), layers=4)
+    wide = stats.stats_to_wide(fitted)
+    assert wide.columns == ["statistic", *STAT_VARS] and wide.count() == 2
+    assert stats.Norm.from_wide(wide) == stats.Norm.from_stats(stats.stats_from_wide(wide))
+    assert stats.Norm.from_wide(wide).mean == pytest.approx(stats.Norm.from_stats(fitted).mean)
+    with pytest.raises(ValueError):
+        stats.Norm.from_wide(wide.where("statistic = 'mean'"))
+
+
 def test_feature_cache_is_rebuilt_when_its_inputs_change(spark, tmp_path):
     path = str(tmp_path / "features")
     df = make(spark, 120, seed=4)
