@@ -54,14 +54,15 @@ def _(spark, sf):
 
 
 @query("p2_prediction_distribution", sql(f"""
-SELECT variable, {big('bin')} AS bin, {rd('low', 4)} AS low, {rd('high', 4)} AS high, count, {rd('rmse', 4)} AS rmse
+SELECT variable, {big('bin')} AS bin, {rd('low', 9)} AS low, {rd('high', 9)} AS high, count, {rd('rmse', 4)} AS rmse
 FROM tallied, (SELECT sqrt(avg(pow(albedo - yhat, 2))) AS rmse FROM chosen)""", *net_steps(NARROW_NET), f"""
 chosen AS (SELECT f.albedo, s.yhat FROM fx_sample f JOIN scored s USING (sample_id)
-  WHERE geo = '{GEO}' AND season = '{SEASON}')""", *_bins("chosen")), digits=4)
+  WHERE geo = '{GEO}' AND season = '{SEASON}')""", *_bins("chosen")), digits=9)
 def _(spark, sf):
-    return analysis.prediction_distribution(
+    shown = analysis.prediction_distribution(
         views.samples(spark, sf), train_norm(spark, sf), nets.waves(NARROW_NET, L), GEO, SEASON, NARROW_NET, L
     )
+    return shown.withColumn("rmse", F.round("rmse", 4))
 
 
 _AT_SITE = f"""
@@ -84,8 +85,8 @@ def _(spark, sf):
 
 
 @query("p3_scatter_margins", sql(f"""
-SELECT variable, {big('bin')} AS bin, {rd('low', 4)} AS low, {rd('high', 4)} AS high, count FROM tallied""",
-*net_steps(NARROW_NET), _AT_SITE, *_bins("chosen")), digits=4)
+SELECT variable, {big('bin')} AS bin, {rd('low', 9)} AS low, {rd('high', 9)} AS high, count FROM tallied""",
+*net_steps(NARROW_NET), _AT_SITE, *_bins("chosen")), digits=9)
 def _(spark, sf):
     return _scatter(spark, sf)[1]
 

@@ -30,12 +30,27 @@ def pad_layers(arr: str | Column, layers: int = DEFAULT_LAYERS) -> Column:
     A present layer beyond the depth is an error: nothing is cut.
     """
     arr = F.coalesce(_col(arr), F.array().cast("array<double>"))
-    beyond = F.slice(arr, layers + 1, F.greatest(F.size(arr) - layers, F.lit(0)))
-    deeper = (F.size(arr) > layers) & F.exists(beyond, lambda x: x.isNotNull())
     padded = F.slice(F.concat(arr, F.array_repeat(F.lit(None).cast("double"), layers)), 1, layers)
+    return within_depth(arr, layers, padded)
+
+
+def within_depth(arr: Column, layers: int, value: Column) -> Column:
+    """``value``, or an error where ``arr`` holds a present layer beyond the depth."""
+    beyond = F.slice(arr, layers + 1, F.greatest(F.size(arr) - layers, F.lit(0)))
+    deeper = (F.size(arr) > layers) & F.array_max(beyond).isNotNull()
     return F.when(
         deeper, F.raise_error(F.lit(f"a profile has a layer beyond depth {layers}"))
-    ).otherwise(padded)
+    ).otherwise(value)
+
+
+def unrolled(arr: str, layers: int, entry: str) -> Column:
+    """``array(entry of layer 0, ...)`` with ``{x}`` for the layer's value.
+
+    Lambdas are interpreted; written out, the entries stay in generated code and
+    absent layers need no padding first.
+    """
+    entries = ", ".join(entry.format(x=f"get(`{arr}`, {i})") for i in range(layers))
+    return within_depth(F.col(arr), layers, F.expr(f"array({entries})"))
 
 
 def layer_presence(dz: str | Column) -> Column:

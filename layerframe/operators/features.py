@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.layers import layer_presence, pad_layers, thickness, to_float32, zscore
+from ..functions.layers import MAX_DEPTH, layer_presence, pad_layers, to_float32, unrolled, zscore
 from ..functions.times import parse_iso
 from ..schema import DEFAULT_LAYERS, LAYER_VARS, PRESENCE, SUN_VARS, TARGET, wide_columns
 from .filters import id_columns
@@ -133,27 +133,53 @@ def flat_vector() -> Column:
 
 def normalize_flat(norm: Norm) -> Column:
     """Flat-network rule: every input is imputed and scaled, the sun angle too."""
-    sun = [
+    return F.concat(
+        presence_values(), *[scaled_layers(v, norm) for v in LAYER_VARS], F.array(*_flat_sun(norm))
+    )
+
+
+def _flat_sun(norm: Norm) -> list[Column]:
+    return [
         F.coalesce(norm.scale(v, F.col(v)), F.lit(0.0)) if norm.std[v] else norm.scale(v, F.col(v))
         for v in SUN_VARS
     ]
-    return F.concat(
-        presence_values(), *[scaled_layers(v, norm) for v in LAYER_VARS], F.array(*sun)
-    )
+
+
+def _written(number: float) -> str:
+    return f"CAST('{number!r}' AS DOUBLE)"
+
+
+def scaled_entries(variable: str, norm: Norm, layers: int) -> Column:
+    """:func:`scaled_layers` over arrays of any length, written out layer by layer."""
+    mean, std = norm.mean[variable], norm.std[variable]
+    if not std:
+        return unrolled(variable, layers, "CAST(NULL AS DOUBLE)")
+    return unrolled(variable, layers, f"coalesce(({{x}} - {_written(mean)}) / {_written(std)}, 0D)")
+
+
+def presence_entries(layers: int) -> Column:
+    return unrolled("dz", layers, "if({x} IS NULL, 0D, 1D)")
+
+
+def depth_of(layers: int) -> Column:
+    """Capped snow depth, summed layer by layer from the top."""
+    total = " + ".join(["0D", *[f"coalesce(get(dz, {i}), 0D)" for i in range(layers)]])
+    return F.least(F.lit(MAX_DEPTH), F.expr(total))
 
 
 def build_features(
     df: DataFrame, norm: Norm, keys: tuple[str, ...] = (), layers: int = DEFAULT_LAYERS
 ) -> DataFrame:
-    """Network inputs ``x_snow`` (6 x layers), ``x_sun`` (4) and target ``y`` as float32."""
-    deep = df.withColumns({
-        **{v: pad_layers(v, layers) for v in LAYER_VARS}, "thickness": thickness("dz")
-    })
-    scaled = normalize_sun(normalize_layers(deep, norm), norm)
-    return scaled.select(
+    """Network inputs ``x_snow`` (6 x layers), ``x_sun`` (4) and target ``y`` as float32.
+
+    A layer beyond the depth is an error, so the depth covers every layer.
+    """
+    snow = [presence_entries(layers), *[scaled_entries(v, norm, layers) for v in LAYER_VARS]]
+    sun = [norm.scale("direct_sw", F.col("direct_sw")), norm.scale("diffuse_sw", F.col("diffuse_sw"))]
+    return df.select(
         *keys,
-        snow_matrix().cast("array<array<float>>").alias("x_snow"),
-        to_float32(sun_vector()).alias("x_sun"),
+        F.array(*[row.cast("array<float>") for row in snow]).alias("x_snow"),
+        to_float32(F.array(*sun, F.col("cos_sza"), depth_of(layers))).alias("x_sun"),
         F.col(TARGET).cast("float").alias("y"),
     )
 
@@ -162,9 +188,9 @@ def build_flat_features(
     df: DataFrame, norm: Norm, keys: tuple[str, ...] = (), layers: int = DEFAULT_LAYERS
 ) -> DataFrame:
     """Flat-network input ``x`` (6 x layers + 3) and target ``y`` as float32."""
-    padded = df.withColumns({v: pad_layers(v, layers) for v in LAYER_VARS})
-    return padded.select(
+    snow = [presence_entries(layers), *[scaled_entries(v, norm, layers) for v in LAYER_VARS]]
+    return df.select(
         *keys,
-        to_float32(normalize_flat(norm)).alias("x"),
+        to_float32(F.concat(*snow, F.array(*_flat_sun(norm)))).alias("x"),
         F.col(TARGET).cast("float").alias("y"),
     )

@@ -145,6 +145,19 @@ def test_thickness_is_taken_before_scaling(table):
     assert {r["sample_id"]: round(r["x_sun"][3], 6) for r in built.collect()} == {1: 0.5, 2: 0.0, 3: 1.0}
 
 
+def test_written_out_entries_equal_the_lambdas(table):
+    norm = unit_norm()
+    padded = table.withColumns({v: layers.pad_layers(v, 4) for v in LAYER_VARS})
+    scaled = features.normalize_layers(padded, norm)
+    want = scaled.select("sample_id", features.snow_matrix().cast("array<array<float>>").alias("x")).collect()
+    got = features.build_features(table, norm, ("sample_id",), 4).collect()
+    assert {r["sample_id"]: r["x_snow"] for r in got} == {r["sample_id"]: r["x"] for r in want}
+    plan = features.build_features(table, norm, (), 4)._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan
+    with pytest.raises(Exception, match="beyond depth 2"):
+        features.build_features(table, norm, (), 2).collect()
+
+
 def test_target_scaling_round_trip(table):
     norm = unit_norm()
     back = features.denormalize_target(features.normalize_target(table, norm), norm)

@@ -217,9 +217,9 @@ def test_feature_cache_follows_keys_and_content(spark, tmp_path):
     df = make(spark, 60, seed=5)
     norm = stats.Norm.from_stats(stats.fit_stats(df, layers=4))
     assert "point_id" in stores.cached_features(df, norm, path, ("point_id",), 4).columns
-    assert "time" in stores.cached_features(df, norm, path, ("time", "point_id"), 4).columns
+    assert "geo" in stores.cached_features(df, norm, path, ("geo", "point_id"), 4).columns
     halved = df.withColumn("albedo", F.col("albedo") / 2)
-    built = stores.cached_features(halved, norm, path, ("time", "point_id"), 4)
+    built = stores.cached_features(halved, norm, path, ("geo", "point_id"), 4)
     assert sorted(r["y"] for r in built.collect()) == pytest.approx(sorted(r["albedo"] for r in halved.collect()), rel=1e-6)
 
 
