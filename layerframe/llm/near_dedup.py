@@ -10,9 +10,10 @@
    drops what cannot be similar.  Each class first checks its best leader on the
    full sets, which joins most of a group; pairs inside a component need no
    further check.
-4. What a bucket still holds of different components meets in blocks of bounded
-   size, all against all, inside tasks; only pairs that the likelihood passes
-   come out, and all of them are verified on the full sets.
+4. Buckets that still hold different components are gathered around the one they
+   hold most of, each class once.  There all classes of different components
+   meet in blocks of bounded size, inside tasks, likelihood first and full sets
+   after it; only links that join components come out.
 
 So no link is lost to a hub or a crowded bucket: the only loss is that of the
 bands and the likelihood (about 1e-7 and 1e-4 for a pair exactly at 0.8, and
@@ -38,8 +39,10 @@ REGISTERS, BASE, RATE, LARGEST = 256, 1.001, 20.0, 65_535
 BANDS, ROWS = 40, 5
 #: Similarity of a link, in hundredths, and what the likelihood may be short of it.
 SIMILAR, MARGIN = 80, 0.1
-#: Classes of one block of a crowded bucket.
-BLOCK = 512
+#: Classes of one block of a crowded neighbourhood, and hashes of their sets, about.
+BLOCK, BLOCK_HASHES = 512, 2_000_000
+#: Bits of the map that picks texts by id.
+MARKS = 1 << 24
 
 SKETCHED = "id long, n long, d1 long, d2 long, registers binary"
 SKETCHED_ARROW = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("registers", pa.binary())])
@@ -177,9 +180,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             a, b, left, right = (batch.column(c) for c in ("a", "b", "ha", "hb"))
             good = []
             for x, y in zip(left, right, strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                good.append(100 * both >= SIMILAR * (len(x) + len(y) - both))
+                good.append(similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)))
             yield pa.RecordBatch.from_arrays([a.filter(pa.array(good, pa.bool_())), b.filter(pa.array(good, pa.bool_()))], names=["a", "b"])
 
     left = sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha"))
@@ -187,53 +188,104 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
 
 
+def _marks(ids: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size in which every id has its bit."""
+    slot = F.pmod(F.xxhash64("id"), F.lit(MARKS))
+    words = ids.select(slot.alias("slot")).select(
+        F.expr("slot div 64").alias("word"), F.expr("shiftleft(1L, cast(slot % 64 AS INT))").alias("bit")
+    )
+    marks = np.zeros(MARKS // 64, np.uint64)
+    for word, bits in words.groupBy("word").agg(F.bit_or("bit")).collect():  # MARKS / 64 rows at most
+        marks[word] = bits & 0xFFFFFFFFFFFFFFFF
+    return marks
+
+
 def full_sets(texts: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(id, hashes) of the texts that ``ids`` names."""
+    """(id, hashes) of the texts that ``ids`` names, and of a few others.
+
+    Texts are picked by a bitmap where they are read, so none is shuffled; ids
+    that share a bit with one of ``ids`` come along and meet nothing later.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(_marks(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, sizes, hashes in shingle_sets(batch[1], words):
+            slot = batch.column("slot").to_numpy().astype(np.uint64)
+            wanted = (shared.value[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1)
+            batch = batch.filter(pa.array(wanted.astype(bool)))
+            for row, sizes, hashes in shingle_sets(batch.column("text"), words):
                 bounds = np.concatenate([[0], np.cumsum(sizes)])
                 held = [hashes[s:e].tobytes() for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch[0].slice(row, len(sizes)), pa.array(held, pa.binary())], names=["id", "hashes"])
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(row, len(sizes)), pa.array(held, pa.binary())], names=["id", "hashes"])
+
+    marked = texts.filter("id IS NOT NULL").select("id", "text", F.pmod(F.xxhash64("id"), F.lit(MARKS)).alias("slot"))
+    return marked.mapInArrow(run, "id long, hashes binary")
 
-    return texts.join(ids, "id", "left_semi").mapInArrow(run, "id long, hashes binary")
 
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Are two sets, sorted and distinct, similar enough for a link?"""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= SIMILAR * (len(x) + len(y) - both)
 
-def _cross_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b) likely pairs of different components inside a bucket.
 
-    rows: key, id, component, n, registers.  A bucket is dealt into blocks, and
-    each pair of blocks is a group of at most two blocks' rows.
+def _met_in_blocks(rows: DataFrame) -> DataFrame:
+    """(a, b) links that join different components around a hub.
+
+    rows: hub, id, component, n, registers, hashes.  Members of the hub's own
+    component need no check among themselves, so they are dealt into blocks of
+    their own and meet only the blocks of the others, which meet each other too.
+    A group is two blocks.  Inside, the likelihood orders the pairs of different
+    components, the full sets decide, and what is joined is not tried again.
     """
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         ids, comp, n, side = (table.column(c).to_numpy() for c in ("id", "component", "n", "block"))
         regs = _registers(table.column("registers"))
-        first = np.flatnonzero(side == key[1].as_py())
-        second = np.flatnonzero(side == key[2].as_py())
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
+        root = {int(c): int(c) for c in comp}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
         a, b = [], []
-        for i in first:
+        second = np.flatnonzero(side == key[2].as_py())
+        for i in np.flatnonzero(side == key[1].as_py()):
+            mine = find(int(comp[i]))
+            apart = {c for c in root if find(c) != mine}
             other = second[(comp[second] != comp[i]) & ((ids[second] > ids[i]) | (side[second] != side[i]))]
-            if len(other):
-                mine = np.broadcast_to(regs[i], (len(other), regs.shape[1]))
-                near = estimate(mine, regs[other], np.full(len(other), float(n[i])), n[other].astype(float))
-                hit = other[near >= SIMILAR / 100 - MARGIN]
-                a.append(np.minimum(ids[i], ids[hit]))
-                b.append(np.maximum(ids[i], ids[hit]))
-        none = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
-
-    counts = rows.groupBy("key").agg(F.count("*").alias("members"))
+            small, large = np.minimum(n[other], n[i]), np.maximum(n[other], n[i])
+            other = other[(100 * small >= SIMILAR * large) & np.isin(comp[other], list(apart))]
+            if not len(other):
+                continue
+            near = estimate(np.broadcast_to(regs[i], (len(other), regs.shape[1])), regs[other], np.full(len(other), float(n[i])), n[other].astype(float))
+            for j in other[np.argsort(-near)][: int((near >= SIMILAR / 100 - MARGIN).sum())]:
+                mine, theirs = find(int(comp[i])), find(int(comp[j]))
+                if mine != theirs and similar(sets[i], sets[j]):
+                    root[max(mine, theirs)] = min(mine, theirs)
+                    a.append(min(ids[i], ids[j]))
+                    b.append(max(ids[i], ids[j]))
+        return pa.table({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    is_own = F.col("component") == F.col("hub")
+    held = lambda chosen: F.greatest(
+        F.ceil(F.count_if(chosen) / BLOCK), F.ceil(F.coalesce(F.sum(F.when(chosen, F.col("n"))), F.lit(0)) / BLOCK_HASHES)
+    ).cast("long")
+    counts = rows.groupBy("hub").agg(held(is_own).alias("inside"), held(~is_own).alias("outside"))
+    # blocks 0, 1, ... hold the others; -1, -2, ... the hub's own
     blocked = (
-        rows.join(counts, "key")
-        .withColumn("blocks", F.expr(f"(members + {BLOCK - 1}) div {BLOCK}"))
-        .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "component", "n", "registers")
+        rows.withColumn("own", is_own)
+        .join(counts, "hub")
+        .filter("outside > 0")
+        .withColumn("block", F.expr("if(own, -1 - pmod(xxhash64(id), inside), pmod(xxhash64(id), outside))"))
+        .withColumn("meets", F.explode(F.expr("if(own, sequence(0L, outside - 1), sequence(-inside, outside - 1))")))
+        .select(
+            "hub", F.least("block", "meets").alias("low"), F.greatest("block", "meets").alias("high"), "block", "id", "component", "n", "registers", "hashes"
+        )
     )
-    return blocked.groupBy("key", "low", "high").applyInArrow(run, "a long, b long").distinct()
+    return blocked.groupBy("hub", "low", "high").applyInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
@@ -302,11 +354,21 @@ def _linked(texts: DataFrame, classes: DataFrame, words: int) -> DataFrame:
         links.union(_verified(across(likely.select("a", "b").join(tried, ["a", "b"], "left_anti"), joined), sets)), "links-verified"
     )
     joined = components(links)
-    # buckets that still hold several components
-    placed = members.select("key", "id").join(joined, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low < high AND n > 2")
-    rest = placed.join(mixed.select("key"), "key", "left_semi").join(classes, "id")
-    late = store(_cross_pairs(rest).join(likely.select("a", "b"), ["a", "b"], "left_anti"), "late-pairs")
-    late_ids = late.select(F.col("a").alias("id")).union(late.select("b")).distinct()
-    new = store(full_sets(texts, late_ids.join(sets.select("id"), "id", "left_anti"), words).dropDuplicates(["id"]), "full-sets")
-    return components(store(links.union(_verified(late, sets.union(new))), "links-verified"))
+    # buckets that still hold several components; those with one in common gather around it, each class once
+    placed = store(
+        members.select("key", "id").join(joined, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")),
+        "bucket-components",
+    )
+    shares = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    hubs = shares.groupBy("key").agg(
+        F.max(F.struct("n", (-F.col("component")).alias("last"))).alias("top"), F.count("*").alias("several"), F.sum("n").alias("members")
+    ).filter("several > 1 AND members > 2")
+    gathered = placed.join(hubs.select("key", (-F.col("top.last")).alias("hub")), "key").select("hub", "id", "component").distinct()
+    gathered = store(gathered, "hub-members")
+    missing = store(gathered.select("id").distinct().join(sets.select("id"), "id", "left_anti"), "sets-missing")
+    every = sets
+    if not missing.isEmpty():
+        new = store(full_sets(texts, missing, words).dropDuplicates(["id"]), "full-sets")
+        every = sets.unionByName(new.join(sets.select("id"), "id", "left_anti"))
+    rest = gathered.join(classes, "id").join(every, "id")
+    return components(store(links.union(_met_in_blocks(rest)), "links-verified"))
