@@ -335,25 +335,12 @@ def _linked(texts: DataFrame, classes: DataFrame, words: int) -> DataFrame:
         full_sets(texts, likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct(), words).dropDuplicates(["id"]),
         "full-sets",
     )
-    # one pair per class first: its likeliest
+    # one pair per class first, its likeliest: that joins most of what belongs together
     ends = likely.select(F.col("a").alias("x"), F.col("b").alias("y"), "likely").union(likely.select("b", "a", "likely"))
     best = ends.groupBy("x").agg(F.max(F.struct("likely", "y")).alias("with")).select("x", F.col("with.y").alias("y"))
     tried = best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     links = store(_verified(tried, sets), "links-verified")
     joined = components(links)
-
-    def across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-        """Pairs whose ends are not yet in one component."""
-        label = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"{c}_in"))
-        return (
-            pairs.join(label("a"), "a", "left").join(label("b"), "b", "left")
-            .filter(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select("a", "b")
-        )
-
-    links = store(
-        links.union(_verified(across(likely.select("a", "b").join(tried, ["a", "b"], "left_anti"), joined), sets)), "links-verified"
-    )
-    joined = components(links)
     # buckets that still hold several components; those with one in common gather around it, each class once
     placed = store(
         members.select("key", "id").join(joined, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")),
@@ -371,4 +358,5 @@ def _linked(texts: DataFrame, classes: DataFrame, words: int) -> DataFrame:
         new = store(full_sets(texts, missing, words).dropDuplicates(["id"]), "full-sets")
         every = sets.unionByName(new.join(sets.select("id"), "id", "left_anti"))
     rest = gathered.join(classes, "id").join(every, "id")
-    return components(store(links.union(_met_in_blocks(rest)), "links-verified"))
+    late = store(_met_in_blocks(rest), "links-late")
+    return components(joined.select(F.col("id").alias("a"), F.col("component").alias("b")).union(late))
