@@ -54,7 +54,7 @@ def byte_symbols() -> dict[str, int]:
 class MergeAutomaton:
     """States, arcs and labels compiled from the merges of a vocabulary."""
 
-    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], most: int = 2_000_000):
+    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], most: int = 400_000):
         symbols = byte_symbols()
         self.labels = {i: bytes(symbols[c] for c in word) for word, i in vocab.items()}
         self.ids = {label: i for i, label in self.labels.items()}
@@ -164,7 +164,7 @@ class Encoder(dict):
     Emptied when it holds ``most`` words, so its memory is bounded.
     """
 
-    def __init__(self, model: str, most: int = 1_000_000):
+    def __init__(self, model: str, most: int = 250_000):
         spec = json.loads(model)
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
         added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
