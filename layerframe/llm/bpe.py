@@ -40,6 +40,8 @@ ASCII_WORDS = WORDS.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9").replace
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 NEVER = 1 << 60
+#: Texts whose ids and decoded text are held at a time.
+ROWS = 512
 #: The token behind the start of a word.
 NONE = -1
 
@@ -273,6 +275,8 @@ def _coded(df: DataFrame, model: str, id_col: str, text_col: str, schema: str, o
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(shared.value)
         for batch in batches:
-            yield of(encoder, batch[0].to_pylist(), batch[1])
+            for start in range(0, len(batch), ROWS):
+                part = batch.slice(start, ROWS)
+                yield of(encoder, part[0].to_pylist(), part[1])
 
     return ids_and_texts(df, id_col, text_col).mapInArrow(run, schema)
