@@ -5,8 +5,13 @@ chunk ends, so a passage is cut alike wherever it stands.  Chunks of two lines
 or more whose digest occurs again are compared byte for byte over the whole
 corpus; the first stays and the others are cut out of their documents.
 
+A passage whose ends do not meet a boundary is in no chunk of its own, so
+:func:`remove_repeated_chunks` leaves parts of it in place.
+:func:`remove_repeated_passages` seeds on every pair of adjacent lines instead
+and takes the whole run out, in whatever surroundings it stands.
+
 Column expressions and joins only.  Cutting is row-local; what is shuffled is
-one digest per chunk, the texts that hold a candidate, and the final join.
+one digest per chunk or pair, the texts that hold a candidate, and the final join.
 """
 
 from __future__ import annotations
@@ -131,3 +136,78 @@ def remove_repeated_chunks(
         *[F.col("__cut.text").alias(c) if c == text_col else F.col(c) for c in df.columns if c not in counts],
         *[F.coalesce(F.col(f"__cut.{c}"), F.lit(0).cast("long")).alias(c) for c in counts],
     )
+
+
+def remove_repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``df`` without its repeated runs of two lines or more, and with n_lines, removed_lines, removed_runs.
+
+    Every two adjacent lines are a seed, unless both are blank.  A seed that
+    stands, byte for byte, in a document with a smaller id (null first) or
+    earlier in its own without a common line is a repetition; repetitions that
+    touch or overlap make up one run, which is cut out as a whole.  The first
+    place of every line stays.  Ids, texts, counts and other columns are treated
+    as in :func:`remove_repeated_chunks`.
+    """
+    own = F.struct(
+        F.col(id_col).cast("long").alias("id"),
+        F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("md5"),
+    )
+    texts = df.filter(F.col(text_col).isNotNull()).select(own.alias("own"), F.col(text_col).alias("text"))
+    split = lambda text: F.split(text, "\n", -1)
+    seed = lambda lines, at: F.concat(F.get(lines, at), F.lit("\n"), F.get(lines, at + 1))
+    numbers = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+    def seeds(lines: Column) -> Column:
+        every = F.transform(numbers(F.size(lines) - 1), lambda at: F.struct(at.alias("at"), seed(lines, at).alias("content")))
+        worded = F.filter(every, lambda s: s["content"].rlike(r"[^\x20\x09-\x0D]"))
+        return F.transform(worded, lambda s: F.struct(s["at"].alias("at"), F.unhex(F.md5(s["content"])).alias("digest")))
+
+    digests = store(
+        texts.select("own", F.explode(let(split(F.col("text")), seeds)).alias("s")).select("own", "s.at", "s.digest"), "line-seeds"
+    )
+    again = digests.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
+    wanted = digests.join(again, "digest").groupBy("own").agg(F.collect_set("at").alias("ats"))
+    # rows that agree in id and text bring their places twice, which changes neither the first place nor the set of the others
+    held = store(
+        texts.join(wanted, "own").select(
+            "own",
+            F.explode(
+                let(
+                    split(F.col("text")),
+                    lambda lines: F.transform("ats", lambda at: F.struct(at.alias("at"), seed(lines, at).alias("content"))),
+                )
+            ).alias("s"),
+        ).select("own", "s.at", "s.content"),
+        "seed-candidates",
+    )
+    first = held.groupBy("content").agg(F.min(F.struct("own", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    surplus = (
+        held.join(first.withColumnRenamed("content", "same"), F.col("content") == F.col("same"))
+        .filter((F.col("own") != F.col("first.own")) | (F.col("at") > F.col("first.at") + 1))
+        .groupBy("own")
+        .agg(F.collect_set("at").alias("gone"))
+        .withColumnRenamed("own", "met")
+    )
+    counts = ("n_lines", "removed_lines", "removed_runs")
+
+    def without(lines: Column) -> Column:
+        gone = F.coalesce("gone", F.array().cast("array<int>"))
+        cut = F.array_union(gone, F.transform(gone, lambda at: at + 1))
+        return let(
+            F.struct(lines.alias("lines"), cut.alias("cut")),
+            lambda x: F.struct(
+                F.array_join(
+                    F.transform(F.array_except(numbers(F.size(x["lines"])), x["cut"]), lambda at: F.get(x["lines"], at)), "\n"
+                ).alias("text"),
+                F.size(x["lines"]).cast("long").alias("n_lines"),
+                F.size(x["cut"]).cast("long").alias("removed_lines"),
+                F.size(F.array_except(x["cut"], F.transform(x["cut"], lambda at: at + 1))).cast("long").alias("removed_runs"),
+            ),
+        )
+
+    joined = df.withColumn("__own", own).join(surplus, F.col("__own") == F.col("met"), "left")
+    done = joined.withColumn("__cut", F.when(F.col(text_col).isNotNull(), let(split(F.col(text_col)), without)))
+    return done.select(
+        *[F.col("__cut.text").alias(c) if c == text_col else F.col(c) for c in df.columns if c not in counts],
+        *[F.coalesce(F.col(f"__cut.{c}"), F.lit(0).cast("long")).alias(c) for c in counts],
+    )

@@ -111,6 +111,28 @@ def line_dedup_query(spark: SparkSession, sf: str) -> DataFrame:
     return line_dedup.remove_repeated_chunks(table(spark, sf, "documents").select("doc_id", "text"))
 
 
+@query(
+    "passage_dedup",
+    r"""
+    WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+    e AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM d),
+    s AS (SELECT doc_id, i, line || chr(10) || lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS content FROM e),
+    f AS (SELECT *, first_value(doc_id) OVER w AS first_doc, first_value(i) OVER w AS first_i
+          FROM s WHERE regexp_matches(content, '[^ 	-]') WINDOW w AS (PARTITION BY content ORDER BY doc_id, i)),
+    r AS (SELECT doc_id, i FROM f WHERE doc_id <> first_doc OR i > first_i + 1),
+    c AS (SELECT doc_id, i FROM r UNION SELECT doc_id, i + 1 FROM r),
+    g AS (SELECT e.*, c.i IS NOT NULL AS gone, lag(c.i IS NOT NULL, 1, false) OVER (PARTITION BY e.doc_id ORDER BY e.i) AS before
+          FROM e LEFT JOIN c ON e.doc_id = c.doc_id AND e.i = c.i)
+    SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text, count(*)::BIGINT AS n_lines,
+           count(*) FILTER (gone) AS removed_lines, count(*) FILTER (gone AND NOT before) AS removed_runs
+    FROM g GROUP BY doc_id
+    UNION ALL SELECT doc_id, NULL, 0, 0, 0 FROM documents WHERE text IS NULL
+    """,
+)
+def passage_dedup_query(spark: SparkSession, sf: str) -> DataFrame:
+    return line_dedup.remove_repeated_passages(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 @query("op2_language_id")
 def language_id(spark: SparkSession, sf: str) -> DataFrame:
     return language.identify(table(spark, sf, "documents"))

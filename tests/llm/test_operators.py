@@ -644,3 +644,29 @@ def test_repeated_line_edges(spark):
     twice = line_dedup.remove_repeated_chunks(documents(spark, [(1, "p\nq\nr\ns\nt\nu\nv")] * 2)).collect()
     assert len(twice) == 2 and len({r["text"] for r in twice}) == 1
     assert line_dedup.remove_repeated_chunks(documents(spark, [])).count() == 0
+
+
+def test_passages_go_in_any_surroundings(spark):
+    rng, rows, want = random.Random(3), [], {}
+    passages = {n: [f"passage {n} line {i}" for i in range(n)] for n in range(2, 9)}
+    for at in range(140):
+        n = 2 + at % 7
+        body = [f"own line {at} {i}" for i in range(rng.randrange(1, 9))]
+        cut = rng.randrange(len(body) + 1)
+        rows.append((at, "\n".join(body[:cut] + passages[n] + body[cut:])))
+        want[at] = "\n".join(body) if at >= 7 else rows[-1][1]
+    got = by_id(line_dedup.remove_repeated_passages(documents(spark, rows)))
+    assert {k: r["text"] for k, r in got.items()} == want
+    assert {(r["removed_lines"], r["removed_runs"]) for k, r in got.items() if k >= 7} == {(n, 1) for n in passages}
+
+
+def test_passage_edges(spark):
+    got = line_dedup.remove_repeated_passages(documents(spark, EDGES)).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted(EDGES, key=str)
+    rows = [(1, "a\nb\nc"), (2, "a\nx\nb\nc\ny\na\nb"), (3, "x\nc"), (4, "z\nz\nz\nz\nz"), (5, "\n\n\n\n"), (6, "a\nb"), (6, "a\nb"), (7, "q")]
+    got = {r["doc_id"]: r for r in line_dedup.remove_repeated_passages(documents(spark, rows)).collect()}
+    assert {k: r["text"] for k, r in got.items()} == {
+        1: "a\nb\nc", 2: "a\nx\ny", 3: "x\nc", 4: "z\nz", 5: "\n\n\n\n", 6: "", 7: "q",
+    }
+    assert (got[2]["n_lines"], got[2]["removed_lines"], got[2]["removed_runs"]) == (7, 4, 2)
+    assert line_dedup.remove_repeated_passages(documents(spark, [])).count() == 0
