@@ -300,6 +300,30 @@ def test_pages_of_the_table(spark, sf):
         assert got[r["page_id"]]["by_wrapper"]
 
 
+def test_constant_text_is_template(spark):
+    notice, note = "<p>Write to the desk before noon.</p>", "<div class='box b{}'>Printed on paper</div>"
+
+    def body(i, told=notice, boxed=note):
+        return f"<article><h1>Head {i}</h1><p>One {i}</p>{told}{''.join(f'<p>More {i} {k}</p>' for k in range(i % 3))}{boxed.format(i)}</article>"
+
+    def words(i, *kept):
+        return "\n".join([f"Head {i}", f"One {i}", *kept[:1], *[f"More {i} {k}" for k in range(i % 3)], *kept[1:]])
+
+    both = ("Write to the desk before noon.", "Printed on paper")
+    rows = [article(body(i), host="many.org", i=i) for i in range(24)]
+    rows += [article(body(i), host="few.org", i=i) for i in range(100, 103)]
+    rows += [article(body(200), host="copies.org", i=i) for i in range(200, 224)]
+    rows += [article(body(i, f"<p>Write to desk {i}.</p>", ""), host="differs.org", i=i) for i in range(300, 324)]
+    # two templates on a host: what is constant in one of them only
+    rows += [article(body(i * 3, boxed="") if i % 2 else f"<article><h2>Head {i}</h2><p>One {i}</p></article>", host="two.org", i=i) for i in range(400, 424)]
+    got = texts_of(spark, rows)
+    assert all(got[i] == words(i) for i in range(24))
+    assert all(got[i] == words(i, *both) for i in range(100, 103))
+    assert all(got[i] == words(200, *both) for i in range(200, 224))
+    assert all(got[i] == words(i, f"Write to desk {i}.") for i in range(300, 324))
+    assert all(got[i] == (words(i * 3) if i % 2 else f"Head {i}\nOne {i}") for i in range(400, 424))
+
+
 def test_wrappers_generalise():
     one = wrappers.fold(["body", "h1", "#", "/h1", "p", "#", "/p", "p", "#", "/p", "/body"])
     two = wrappers.fold(["body", "h1", "#", "/h1", "div", "#", "/div", "p", "#", "/p", "/body"])
