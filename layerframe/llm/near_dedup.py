@@ -346,10 +346,13 @@ def _linked(texts: DataFrame, classes: DataFrame, words: int) -> DataFrame:
         members.select("key", "id").join(joined, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")),
         "bucket-components",
     )
-    shares = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    # a bucket of two is met only for a likely pair that was not tried; any other pair of it has been ruled out
+    untried = likely.select("a", "b").join(tried, ["a", "b"], "left_anti").withColumn("untried", F.lit(True))
+    shares = placed.groupBy("key", "component").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b"))
     hubs = shares.groupBy("key").agg(
-        F.max(F.struct("n", (-F.col("component")).alias("last"))).alias("top"), F.count("*").alias("several"), F.sum("n").alias("members")
-    ).filter("several > 1 AND members > 2")
+        F.max(F.struct("n", (-F.col("component")).alias("last"))).alias("top"), F.count("*").alias("several"), F.sum("n").alias("members"),
+        F.min("a").alias("a"), F.max("b").alias("b"),
+    ).filter("several > 1").join(untried, ["a", "b"], "left").filter("members > 2 OR untried")
     gathered = placed.join(hubs.select("key", (-F.col("top.last")).alias("hub")), "key").select("hub", "id", "component").distinct()
     gathered = store(gathered, "hub-members")
     missing = store(gathered.select("id").distinct().join(sets.select("id"), "id", "left_anti"), "sets-missing")

@@ -613,6 +613,17 @@ def test_folding_flushes():
     assert max(len(r[5]) for r in out) <= 7 and len({r[1] for r in out}) == len(out)
 
 
+def test_likely_pair_that_is_best_of_neither_end(spark, monkeypatch):
+    """Two linked pairs, and between them a pair that shares a bucket with nobody else."""
+    words = [f"w{i}" for i in range(400)]
+    text = lambda start, end, last: " ".join([*words[start:end], last])
+    rows = [(1, text(0, 360, "one")), (2, text(0, 360, "two")), (3, text(35, 400, "three")), (4, text(35, 400, "four"))]
+    held = [(10, 1), (10, 2), (11, 3), (11, 4), (12, 1), (12, 3)]
+    monkeypatch.setattr(near_dedup, "band_keys", lambda classes: spark.createDataFrame(held, "key long, id long"))
+    got = by_id(near_dedup.near_duplicates(documents(spark, rows)))
+    assert {k: c for k, (_, c) in plain_components(rows, 4).items()} == {k: r["component_id"] for k, r in got.items()} == dict.fromkeys(range(1, 5), 1)
+
+
 # ---- repeated lines
 
 
