@@ -153,7 +153,9 @@ def top_inner_products(
     Queries are the rows whose id is divisible by ``every``; candidates are all
     rows but the query's own; ties go to the smaller id.  Vectors that are null
     or hold a null or non-finite component, and rows without an id, take no
-    part; neither do vectors shorter than the widest.  Rows that repeat an id
+    part; neither do empty vectors.  A vector shorter than the widest counts as
+    zero where it has no components, so each pair is scored over what both
+    have.  Rows that repeat an id
     with the same vector count once.  Other columns are not read.
     """
     spark = df.sparkSession
@@ -162,8 +164,9 @@ def top_inner_products(
     if not width:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     band = F.greatest(F.floor(F.log2(F.greatest(F.col("length2"), F.lit(1.0))) * (BANDS / 2)), F.lit(0)).cast("long")
+    filled = F.concat("v", F.array_repeat(F.lit(0).cast("long"), width - F.size("v")))
     vectors = store(
-        vectors.filter(F.size("v") == width).distinct().withColumn("band", band), "vectors"
+        vectors.filter(F.size("v") > 0).withColumn("v", filled).distinct().withColumn("band", band), "vectors"
     )
     rotation = np.linalg.eigh(moments(vectors, width))[1][:, ::-1].copy()
     # as many rows as there are bands of length: at most a few hundred, whatever the table

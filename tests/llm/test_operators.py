@@ -10,6 +10,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -243,6 +244,17 @@ def test_top_product_edges(spark):
     assert top_inner.top_inner_products(spark.createDataFrame([(1, [1.0])], schema)).count() == 0
 
 
+def test_top_products_of_mixed_widths(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=9 if i == 77 else 4 if i % 3 else 3)]) for i in range(300)] + [(400, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    df.write.parquet(str(tmp_path / "e"))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/e/*.parquet')")
+    want = duck.execute(queries.ORACLES["op4_top_inner_products"]).fetchall()
+    assert len(want) == 30 and sorted(tuple(r) for r in top_inner.top_inner_products(df).collect()) == sorted(want)
+
+
 # ---- pages
 
 
