@@ -12,11 +12,14 @@ from layerframe.llm import (
     grace_dedup,
     language,
     line_dedup,
+    merkle,
     mixing,
     near_dedup,
+    packing,
     revisits,
     secrets,
     top_inner,
+    whitening,
     wrappers,
 )
 from layerframe.llm.common import table
@@ -35,10 +38,10 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 @query("op1_secret_scan")
@@ -118,7 +121,8 @@ def line_dedup_query(spark: SparkSession, sf: str) -> DataFrame:
     e AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM d),
     s AS (SELECT doc_id, i, line || chr(10) || lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS content FROM e),
     f AS (SELECT *, first_value(doc_id) OVER w AS first_doc, first_value(i) OVER w AS first_i
-          FROM s WHERE regexp_matches(content, '[^ 	-]') WINDOW w AS (PARTITION BY content ORDER BY doc_id, i)),
+          FROM s WHERE regexp_matches(content, '[^ 	-
+]') WINDOW w AS (PARTITION BY content ORDER BY doc_id, i)),
     r AS (SELECT doc_id, i FROM f WHERE doc_id <> first_doc OR i > first_i + 1),
     c AS (SELECT doc_id, i FROM r UNION SELECT doc_id, i + 1 FROM r),
     g AS (SELECT e.*, c.i IS NOT NULL AS gone, lag(c.i IS NOT NULL, 1, false) OVER (PARTITION BY e.doc_id ORDER BY e.i) AS before
@@ -216,6 +220,68 @@ def near_dedup_query(spark: SparkSession, sf: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf, "documents"))
 
 
+@query("op11_embedding_whitening")
+def embedding_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf, "embeddings"))
+
+
+@query("op12_best_fit_packing")
+def best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    model = bpe.read_model(tokenizer_path("word_bpe_49k.json"))
+    pieces = packing.encode_pieces(table(spark, sf, "documents"), model)
+    return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
+@query(
+    "op13_merkle_manifest",
+    r"""
+    WITH RECURSIVE c AS (SELECT *, doc_id IS NOT NULL AND list_reduce(
+              list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda a: ascii(a)::BIGINT)),
+              lambda x, b: list_reduce(list_prepend(xor(x, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))
+          ) % 2 = 1 AS tampered FROM documents),
+    f AS (SELECT doc_id, source, text, tampered, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+              || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+              CASE WHEN tampered THEN replace(text, chr(10), '') ELSE text END AS shown FROM c),
+    l AS (SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+              sha256(head || coalesce(strlen(shown) || ':' || shown, '-')) AS seen FROM f),
+    o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM l),
+    t(grp, lv, pos, h, n) AS (SELECT coalesce('s' || source, 'n'), 0, pos, leaf, count(*) OVER (PARTITION BY source) FROM o
+        UNION ALL SELECT grp, lv + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3 FROM t WHERE n > 1 GROUP BY grp, lv, pos // 3, n),
+    sub AS (SELECT grp, h AS subroot, row_number() OVER (ORDER BY encode(grp)) - 1 AS pos FROM t WHERE n = 1),
+    u(lv, pos, h, n) AS (SELECT 0, pos, subroot, (SELECT count(*) FROM sub) FROM sub
+        UNION ALL SELECT lv + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3 FROM u WHERE n > 1 GROUP BY lv, pos // 3, n),
+    lower_ AS (SELECT a.grp, a.lv, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS le,
+              coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS ri
+          FROM t a JOIN t b ON a.grp = b.grp AND a.lv = b.lv AND a.pos // 3 = b.pos // 3 WHERE a.n > 1 GROUP BY a.grp, a.lv, a.pos),
+    upper_ AS (SELECT a.lv, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS le,
+              coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS ri
+          FROM u a JOIN u b ON a.lv = b.lv AND a.pos // 3 = b.pos // 3 WHERE a.n > 1 GROUP BY a.lv, a.pos),
+    p(doc_id, leaf, grp, start, lv, k, cur, proof) AS (SELECT doc_id, leaf, coalesce('s' || source, 'n'), pos, 0, pos, seen, '' FROM o
+        UNION ALL SELECT doc_id, leaf, p.grp, start, p.lv + 1, p.k // 3, sha256(le || cur || ri), proof || le || ri
+        FROM p JOIN lower_ s ON p.grp = s.grp AND p.lv = s.lv AND p.k = s.pos),
+    q(doc_id, leaf, subroot, grp, start, lv, k, cur, proof) AS (
+        SELECT doc_id, leaf, subroot, p.grp, start, 0, sub.pos, cur, proof
+        FROM (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY grp, start ORDER BY lv DESC) = 1) p JOIN sub ON p.grp = sub.grp
+        UNION ALL SELECT doc_id, leaf, subroot, grp, start, q.lv + 1, q.k // 3, sha256(le || cur || ri), proof || le || ri
+        FROM q JOIN upper_ s ON q.lv = s.lv AND q.k = s.pos),
+    r AS (SELECT h AS root FROM u WHERE n = 1)
+    SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = root AS verified
+    FROM (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY grp, start ORDER BY lv DESC) = 1), r
+    """,
+)
+def merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """Deleted line ends in every document whose id's CRC-32 is even stand for tampering."""
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.lit(False))
+    text = F.when(tampered, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    docs = table(spark, sf, "documents")
+    rows = merkle.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], "source", "doc_id", {"text": text})
+    folded = rows.withColumn("folded_root", merkle.fold(F.col("seen"), F.col("path")))
+    return folded.select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
