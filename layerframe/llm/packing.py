@@ -28,8 +28,8 @@ from layerframe.llm.bpe import byte_symbols
 from layerframe.llm.common import store
 
 CAPACITY, END = 4096, 1
-#: Ranks of one length that are numbered together, and that look up the plan together.
-CHUNK = 1024
+#: Pieces of one length that are numbered together, and ranks that look up the plan together.
+PART, CHUNK = 1024, 256
 #: Texts whose ids are held at a time; characters of the longest word that is remembered; words remembered.
 ROWS, LONGEST, WORDS = 512, 64, 500_000
 #: Words that normal form leaves alone.
@@ -71,7 +71,9 @@ class WordEncoder(dict):
 
     def __missing__(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
-        if self.split and PLAIN.fullmatch(text) and "<|" not in text:
+        if self.split and text.isascii() and text.isalpha():
+            packed = self.part(text.lower())
+        elif self.split and PLAIN.fullmatch(text) and "<|" not in text:
             packed = b"".join(map(self.part, self.split.findall(text.lower())))
         else:
             packed = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -224,8 +226,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     # one row per length: as many as a sequence has tokens, whatever the documents
     counts = {r["length"]: r["n"] for r in stored.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots, _ = plan_slots(counts, capacity)
-    # a length with many pieces is numbered in as many parts as it has chunks
-    parts = spark.createDataFrame([(k, -(-n // CHUNK)) for k, n in counts.items()], "length long, _parts long")
+    # a length with many pieces is numbered in several parts
+    parts = spark.createDataFrame([(k, -(-n // PART)) for k, n in counts.items()], "length long, _parts long")
     dealt = stored.join(F.broadcast(parts), "length").withColumn("_part", F.pmod(F.xxhash64("_row"), F.col("_parts")))
     held = dealt.groupBy("length", "_part").agg(F.count("*").alias("_held"))
     before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -196,6 +196,7 @@ def test_packing_edges(spark, words, monkeypatch, chunk):
     from tokenizers import Tokenizer
 
     monkeypatch.setattr(packing, "CHUNK", chunk)
+    monkeypatch.setattr(packing, "PART", chunk + 1)
     library, capacity = Tokenizer.from_str(words), 16
     rows = [(1, None), (2, ""), (3, "the " * 100), (4, "same text"), (4, "same text"), (None, "no id"), (5, ODD), (6, "a " * 15), *[(i, "hot") for i in range(10, 60)]]
     packed = packing.pack(packing.encode_pieces(documents(spark, rows), words, capacity=capacity), capacity)
