@@ -81,7 +81,6 @@ def main() -> None:
             stored.raw_forcing(spark, sf),
             stored.raw_profile(spark, sf),
             views.points(spark, sf),
-            views.LAYERS,
             ("sample_id", *STORED_KEY),
         )
         write_samples(stored.to_sample_table(built), root)

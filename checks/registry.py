@@ -9,6 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from layerframe.operators.ordering import ROW_BITS
+from layerframe.session import materialise
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -32,9 +35,19 @@ def query(name: str, sql: str | None = None, digits: int = DIGITS):
 
 
 def placed(df: DataFrame) -> DataFrame:
-    """Adds the position of each row in the order ``df`` has: wrong once its sort is gone."""
-    numbered = df.withColumn("_at", F.monotonically_increasing_id())
-    return numbered.withColumn("position", F.row_number().over(W.orderBy("_at"))).drop("_at")
+    """Adds the position of each row in the order ``df`` has: wrong once its sort is gone.
+
+    The sorted rows are written once; one count per partition gives the rest.
+    """
+    numbered = materialise(df.withColumn("_at", F.monotonically_increasing_id()), "placed")
+    part = F.shiftright("_at", ROW_BITS)
+    sizes = numbered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    inside = F.col("_at").bitwiseAND((1 << ROW_BITS) - 1)
+    return numbered.withColumn("_part", part).join(starts, "_part").withColumn(
+        "position", F.col("_start") + inside + 1
+    ).drop("_at", "_part", "_start")
 
 
 def tidy(df: DataFrame, digits: int = DIGITS) -> DataFrame:

@@ -12,6 +12,8 @@ from layerframe.schema import LOG_FOUR_METRICS, LOG_SHORT
 from layerframe.session import scratch_path
 from layerframe.sources import inputs as A_inputs
 from layerframe.sources import logs as A_logs
+from layerframe.plans.evaluation import fit_stored_norm
+from layerframe.sources import ledger as A_ledger
 from layerframe.sources import samples as A_samples
 from layerframe.sources import stores as A_stores
 
@@ -141,9 +143,19 @@ def _(spark, sf):
     )
 
 
+def stored_units(spark, sf):
+    """The ledger's rows of the whole sample table: no sample is read."""
+    return A_ledger.units(spark, stored.samples(spark, sf))
+
+
+@query("a6_ledger_units", sql(f"{_UNITS} GROUP BY ALL"))
+def _(spark, sf):
+    return A_ledger.unit_sizes(stored_units(spark, sf))
+
+
 @query("a9_catalog_units", sql(f"SELECT geo, season, {big('month')} AS month FROM fx_unit"))
 def _(spark, sf):
-    return A_samples.catalog(stored_samples(spark, sf))
+    return A_samples.catalog(stored_units(spark, sf))
 
 
 _MONTHS = """
@@ -154,7 +166,7 @@ fx_months AS (
 
 @query("a9_catalog_seasons", sql("SELECT geo, season, months FROM fx_months", _MONTHS))
 def _(spark, sf):
-    seasons = A_samples.catalog(stored_samples(spark, sf), "season")
+    seasons = A_samples.catalog(stored_units(spark, sf), "season")
     return seasons.select("geo", "season", F.array_join("months", ",").alias("months"))
 
 
@@ -165,33 +177,33 @@ def _(spark, sf):
     text = F.transform(
         "seasons", lambda s: F.concat_ws(":", s["season"], F.array_join(s["months"], ","))
     )
-    geos = A_samples.catalog(stored_samples(spark, sf), "geo")
+    geos = A_samples.catalog(stored_units(spark, sf), "geo")
     return geos.select("geo", F.array_join(text, ";").alias("seasons"))
 
 
 @query("a10_read_season", sql(f"""
 SELECT {_ROW} FROM fx_sample WHERE geo = 'ASIA' AND season = '1996_1997'"""), digits=9)
 def _(spark, sf):
-    return A_samples.season_units(stored_samples(spark, sf), "ASIA", "1996_1997").selectExpr(
-        *_ROW_COLUMNS
-    )
+    root = stored.samples(spark, sf)
+    return A_samples.read_season(spark, root, "ASIA", "1996_1997", stored.KEYED_SAMPLES).selectExpr(*_ROW_COLUMNS)
 
 
 @query("a11_describe_selection", sql("""
 SELECT *, row_number() OVER (ORDER BY geo, y1) AS position FROM (
   SELECT DISTINCT geo, split_part(season, '_', 1) AS y1, split_part(season, '_', 2) AS y2 FROM fx_at)"""))
 def _(spark, sf):
-    return placed(A_samples.describe_selection(stored_samples(spark, sf)))
+    return placed(A_samples.describe_selection(stored_units(spark, sf)))
 
 
-_STAT_ROWS = f"SELECT variable, {big('n')} AS n, {rd('mean')} AS mean, {rd('std')} AS std FROM fx_stat"
+# Nine digits: at six, some of these means lie exactly between two roundings.
+_STAT_ROWS = f"SELECT variable, {big('n')} AS n, {rd('mean', 9)} AS mean, {rd('std', 9)} AS std FROM fx_stat"
 
 
-@query("a12_stats_store", sql(_STAT_ROWS))
+@query("a12_stats_store", sql(_STAT_ROWS), digits=9)
 def _(spark, sf):
     path = scratch_path(spark, "stats")
     table = stored_samples(spark, sf)
-    A_stores.save_stats(fit_stats(table, layers=L), A_stores.group_sizes(table), path)
+    A_stores.save_stats(fit_stats(table), A_stores.group_sizes(table), path)
     stats, _ = A_stores.load_stats(spark, path)
     return stats
 
@@ -230,10 +242,26 @@ def _(spark, sf):
     return again.select("sample_id", "y", weighted_sum(F.flatten("x_snow")).alias("snow_sum"))
 
 
-def train_norm(spark, sf) -> Norm:
-    from layerframe.plans.evaluation import fit_norm
+@query("a13_refreshed_features", sql(f"""
+SELECT {big('sample_id')} AS sample_id, {rd('CAST(albedo AS FLOAT)', 4)} AS y, {rd('snow_sum', 4)} AS snow_sum
+FROM fx_feature""", FEATURE_SUM), digits=4)
+def _(spark, sf):
+    """Built from a table that lacks a season, then again from the whole one: only that season is added."""
+    root, path = scratch_path(spark, "growing"), scratch_path(spark, "feature-view")
+    table, norm, keys = stored_samples(spark, sf), train_norm(spark, sf), ("sample_id",)
+    last = F.col("season") == table.agg(F.max("season")).first()[0]
+    refresh = lambda: A_stores.refresh_features(spark, root, path, norm, keys, L, stored.KEYED_SAMPLES)
+    A_samples.write_samples(table.where(~last), root)
+    refresh()
+    A_samples.write_samples(table.where(last), root)
+    refresh()
+    view = A_stores.read_features(spark, path, A_stores.feature_schema(keys, stored.KEYED_SAMPLES))
+    return view.select("sample_id", "y", weighted_sum(F.flatten("x_snow")).alias("snow_sum"))
+
 
-    return fit_norm(views.samples(spark, sf), views.plan(spark, sf), layers=L)
+def train_norm(spark, sf) -> Norm:
+    """Of the train split, from the moments in the ledger of the stored samples."""
+    return fit_stored_norm(spark, stored.samples(spark, sf), views.plan(spark, sf))
 
 
 _LOG = ", ".join(f"{rd(c, 8)} AS {c}" for c in (

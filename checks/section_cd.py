@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from layerframe.functions import sql as sql_functions
 from layerframe.operators import aggregates as D
 from layerframe.operators import features as I
 from layerframe.operators import histograms as D_hist
@@ -14,12 +15,13 @@ from layerframe.operators.filters import deposition
 from layerframe.operators.ordering import assign_batches, stored_order
 from layerframe.operators.series import resample_sum
 from layerframe.plans.ingest import build_samples
+from layerframe.sources import ledger
 from layerframe.sources.samples import catalog
 from layerframe.functions.maths import linear_edges, log_edges
 
 from . import stored, views
 from .registry import query
-from .section_ab import train_norm
+from .section_ab import stored_samples, stored_units, train_norm
 from .sql import L, big, rd, sql, ts
 
 
@@ -49,7 +51,7 @@ FROM fx_sample WHERE swe > 0 AND patch = 0 AND (direct_sw > 0 OR diffuse_sw > 0)
 def _(spark, sf):
     built = build_samples(
         stored.raw_forcing(spark, sf), stored.raw_profile(spark, sf).drop("geo", "season"),
-        views.points(spark, sf), L, ("time", "point_id", "sample_id"),
+        views.points(spark, sf), ("time", "point_id", "sample_id"),
     )
     return built.select(*_BUILT).withColumn("cos_sza", F.round("cos_sza", 6))
 
@@ -92,7 +94,7 @@ def _(spark, sf):
 SELECT geo, season, variable, {big('count(x)')} AS n, {rd("sum(x) * CASE variable WHEN 'albedo' THEN 1000 ELSE 1 END")} AS total,
   {rd('avg(x * x)', 3)} AS mean_sq FROM fx_value GROUP BY geo, season, variable"""))
 def _(spark, sf):
-    partials = D_stats.partial_stats(views.samples(spark, sf), layers=L)
+    partials = D_stats.partial_stats(views.samples(spark, sf))
     return partials.select(
         "geo", "season", "variable", "n",
         # Albedo has eight decimals: in thousandths its sums round without ties.
@@ -106,14 +108,14 @@ _STAT = f"SELECT variable, {big('n')} AS n, {rd('mean')} AS mean, {rd('std')} AS
 
 @query("d2_merge_stats", sql(f"{_STAT} FROM fx_stat"))
 def _(spark, sf):
-    partials = D_stats.partial_stats(views.samples(spark, sf), layers=L)
+    partials = D_stats.partial_stats(views.samples(spark, sf))
     return D_stats.finish_stats(D_stats.merge_stats(partials))
 
 
 @query("d3_fit_stats", sql(f"{_STAT} FROM fx_train"))
 def _(spark, sf):
     labelled = C.assign_split(views.samples(spark, sf), views.plan(spark, sf))
-    return D_stats.fit_stats(labelled.where("split = 'train'"), layers=L)
+    return D_stats.fit_stats(labelled.where("split = 'train'"))
 
 
 @query("d4_time_coverage", sql(f"""
@@ -123,16 +125,37 @@ def _(spark, sf):
     return D.time_coverage(views.forcing_at_points(spark, sf))
 
 
-@query("d5_resample_points", sql(f"""
+@query("d4_ledger_coverage", sql(f"""
+SELECT geo, season, {big('month')} AS month, {ts('min(time)')} AS start, {ts('max(time)')} AS "end"
+FROM fx_at GROUP BY geo, season, month"""))
+def _(spark, sf):
+    return ledger.coverage(stored_units(spark, sf))
+
+
+_RESAMPLED = sql(f"""
 SELECT {big('c.point_id')} AS point_id, {ts('c.month')} AS month, {rd('coalesce(s.direct_sw, 0)')} AS direct_sw
 FROM (SELECT point_id, unnest(generate_series(min(date_trunc('month', time)::TIMESTAMP),
     max(date_trunc('month', time)::TIMESTAMP), INTERVAL 1 MONTH)) AS month FROM fx_forcing GROUP BY point_id) c
 LEFT JOIN (SELECT point_id, date_trunc('month', time)::TIMESTAMP AS month, sum(direct_sw) AS direct_sw
-  FROM fx_forcing GROUP BY ALL) s ON c.point_id = s.point_id AND c.month = s.month"""))
+  FROM fx_forcing GROUP BY ALL) s ON c.point_id = s.point_id AND c.month = s.month""")
+
+
+@query("d5_resample_points", _RESAMPLED)
 def _(spark, sf):
     return resample_sum(views.forcing(spark, sf), "time", ["direct_sw"], ["point_id"])
 
 
+@query("d5_sql_resample", _RESAMPLED)
+def _(spark, sf):
+    sql_functions.register(spark)
+    return spark.sql("""
+        SELECT c.point_id, c.month, coalesce(s.direct_sw, 0D) AS direct_sw FROM (
+          SELECT point_id, m.month FROM (SELECT point_id, min(time) AS since, max(time) AS until FROM {forcing} GROUP BY point_id),
+            LATERAL month_starts(since, until) AS m) c
+        LEFT JOIN (SELECT point_id, month_start(time) AS month, sum(direct_sw) AS direct_sw FROM {forcing} GROUP BY ALL) s
+          ON c.point_id = s.point_id AND c.month = s.month""", forcing=views.forcing(spark, sf))
+
+
 @query("d5_monthly_deposition", sql(f"""
 SELECT {ts("date_trunc('month', time)")} AS month,
   {rd('sum((imp_dry1 + imp_wet1) * 3600)', 2)} AS soot_deposition,
@@ -168,6 +191,18 @@ def _(spark, sf):
     return D_hist.histogram(views.predictions(spark, sf), ["albedo", "yhat"], 200, 0, 0.99)
 
 
+@query("d6_sql_histogram", _histogram_sql(
+    f"SELECT DISTINCT variable, {_list(linear_edges(0, 0.99, 200))} AS edges FROM v", _BOTH), digits=9)
+def _(spark, sf):
+    sql_functions.register(spark)
+    return spark.sql("""
+        WITH seen AS (SELECT variable, histogram_bin(x, 0D, 0.99D, 200) AS bin, count(*) AS n
+          FROM (SELECT stack(2, 'albedo', albedo, 'yhat', yhat) AS (variable, x) FROM {rows}) GROUP BY ALL)
+        SELECT v.variable, b.bin, b.low_edge AS low, b.high_edge AS high, coalesce(n, 0L) AS count
+        FROM histogram_bins(0D, 0.99D, 200) AS b JOIN (VALUES ('albedo'), ('yhat')) AS v(variable)
+          LEFT JOIN seen ON seen.variable = v.variable AND seen.bin = b.bin""", rows=views.predictions(spark, sf))
+
+
 @query("d7_log_histogram", _histogram_sql(
     f"SELECT 'dust' AS variable, {_list(log_edges(-21, 0, 200))} AS edges",
     "SELECT 'dust' AS variable, conc_dust * pow(CAST(10 AS DOUBLE), -2 * layer) AS x FROM fx_layer",
@@ -188,6 +223,20 @@ def _(spark, sf):
     return D_hist.histogram(views.predictions(spark, sf), ["albedo", "yhat"], 50)
 
 
+_STORED = ("SELECT 'albedo' AS variable, albedo AS x FROM fx_sample UNION ALL"
+           " SELECT 'surface_density', surface_density FROM fx_sample")
+
+
+@query("d8_stored_histogram", _histogram_sql("""
+SELECT variable, list_transform(generate_series(0, 50), lambda k:
+  CASE WHEN k = 50 THEN high ELSE low + k * ((high - low) / 50) END) AS edges
+FROM (SELECT variable, min(x) AS low, max(x) AS high FROM v GROUP BY variable)""", _STORED), digits=9)
+def _(spark, sf):
+    columns = ["albedo", "surface_density"]
+    ends = ledger.stored_spans(stored_units(spark, sf), columns)
+    return D_hist.histogram(stored_samples(spark, sf), columns, 50, ends=ends)
+
+
 BATCH = 256
 BATCHES = f"""
 fx_batch AS (
@@ -245,6 +294,12 @@ def _(spark, sf):
     return D.value_range(views.samples(spark, sf), "surface_density", ["geo"])
 
 
+@query("d14_ledger_range", sql(f"""
+SELECT geo, {rd('min(surface_density)')} AS low, {rd('max(surface_density)')} AS high FROM fx_sample GROUP BY geo"""))
+def _(spark, sf):
+    return ledger.stored_range(stored_units(spark, sf), "surface_density", ["geo"])
+
+
 @query("d15_check_complete", sql("""
 SELECT geo, season, count(DISTINCT month) AS months FROM fx_at GROUP BY geo, season
 HAVING count(DISTINCT month) < 12"""))

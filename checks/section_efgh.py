@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from layerframe.functions import sql as sql_functions
 from layerframe.functions.times import DAY, HOUR, season_order
 from layerframe.operators import ordering as E
 from layerframe.operators import profiles as E_profiles
@@ -14,13 +15,14 @@ from layerframe.operators import splits as H
 from layerframe.operators.filters import by_month, drop_unneeded, find_profiles, prune
 from layerframe.operators.joins import assign_split
 from layerframe.operators.metrics import batch_losses
+from layerframe.operators.splits import split_ratio
 from layerframe.session import scratch_path
 from layerframe.sources.samples import catalog
-from layerframe.sources.stores import load_stats, refresh_stats
+from layerframe.sources.stores import load_stats, refresh_stats, refresh_stored_stats
 
-from . import views
+from . import stored, views
 from .registry import placed, query
-from .section_ab import stored_samples
+from .section_ab import stored_samples, stored_units
 from .section_cd import BATCH, BATCHES, batches
 from .sql import L, big, rd, sql, ts
 
@@ -40,6 +42,17 @@ def _(spark, sf):
     return E_series.fill_gaps(views.hourly(spark, sf), "time", HOUR, ["user_id"])
 
 
+# The same from SQL text: the functions of layerframe.functions.sql, no DataFrame call.
+@query("e1_sql_fill_hours", _gap_sql("fx_hourly", "INTERVAL 1 HOUR"))
+def _(spark, sf):
+    sql_functions.register(spark)
+    return spark.sql("""
+        SELECT user_id, time, value FROM {series} UNION ALL
+        SELECT user_id, g.time, CAST(NULL AS DOUBLE) FROM (
+          SELECT user_id, time, lead(time) OVER (PARTITION BY user_id ORDER BY time) AS next FROM {series}) s,
+          LATERAL gaps(s.time, s.next, INTERVAL '1' HOUR) AS g""", series=views.hourly(spark, sf))
+
+
 @query("e2_fill_days", _gap_sql("fx_daily", "INTERVAL 1 DAY"))
 def _(spark, sf):
     return E_series.fill_gaps(views.daily(spark, sf), "time", DAY, ["user_id"])
@@ -213,7 +226,7 @@ SELECT geo, season, CASE WHEN place <= floor(0.7 * total) THEN 'train'
 
 
 def _stored_units(spark, sf):
-    return catalog(views.forcing_at_points(spark, sf))
+    return catalog(stored_units(spark, sf))
 
 
 @query("h1_split_explicit", sql(_EXPLICIT))
@@ -246,11 +259,24 @@ def _(spark, sf):
     ])
 
 
-@query("h5_refresh_stats", sql(f"""
-SELECT variable, {big('n')} AS n, {rd('mean')} AS mean, {rd('std')} AS std FROM fx_stat"""))
+_REFRESHED = sql(f"""
+SELECT variable, {big('n')} AS n, {rd('mean', 9)} AS mean, {rd('std', 9)} AS std FROM fx_stat""")
+
+
+# Seasons of the orders lack months, so completeness is not asked for.
+@query("h5_refresh_stats", _REFRESHED, digits=9)
+def _(spark, sf):
+    root, path = stored.samples(spark, sf), scratch_path(spark, "refreshed")
+    plan = split_ratio(stored_units(spark, sf), 0.6, 0.2, seed=views.SEED)
+    refresh_stored_stats(spark, root, path, plan.where("split = 'train'"), complete=False)
+    refresh_stored_stats(spark, root, path, complete=False)
+    return load_stats(spark, path)[0]
+
+
+@query("h5_refresh_any_table", _REFRESHED, digits=9)
 def _(spark, sf):
     path = scratch_path(spark, "refreshed")
     labelled = assign_split(stored_samples(spark, sf), views.plan(spark, sf))
-    refresh_stats(labelled.where("split = 'train'"), path, L)
-    refresh_stats(labelled, path, L)
+    refresh_stats(labelled.where("split = 'train'"), path)
+    refresh_stats(labelled, path)
     return load_stats(spark, path)[0]

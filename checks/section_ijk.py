@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from layerframe.functions import layers as I
 from layerframe.functions import maths as J_maths
 from layerframe.functions import names as J_names
+from layerframe.functions import sql as sql_functions
 from layerframe.functions import times as J_times
 from layerframe.functions.sun import cos_sza
 from layerframe.operators import features as I_features
@@ -16,7 +17,7 @@ from layerframe.operators import scoring as K_scoring
 from layerframe.operators.metrics import best_trial, evaluate
 from layerframe.operators.joins import assign_split
 from layerframe.operators.profiles import layer_scale
-from layerframe.plans.evaluation import report, score_samples
+from layerframe.plans.evaluation import fit_norm, report, score_samples
 from layerframe.schema import LAYER_VARS
 
 from . import views
@@ -29,6 +30,11 @@ _POSITIONS = f"(SELECT unnest(generate_series(1, {L})) AS i)"
 _LAYER_VALUES = ", ".join(f"{v}[i] AS {v}" for v in LAYER_VARS)
 
 
+def _padded(spark, sf):
+    """Samples with every profile padded to the published depth."""
+    return views.samples(spark, sf).withColumns({v: I.pad_layers(v, L) for v in LAYER_VARS})
+
+
 def _opened(df, *arrays):
     """One row per sample and layer position, counted from 1."""
     zipped = F.arrays_zip(*[F.col(a) for a in arrays])
@@ -68,7 +74,7 @@ def _(spark, sf):
 SELECT {big('sample_id')} AS sample_id, {big('i')} AS i, CAST(dz[i] IS NOT NULL AS BIGINT) AS present
 FROM fx_sample, {_POSITIONS}"""))
 def _(spark, sf):
-    flagged = views.samples(spark, sf).withColumn("present", I.layer_presence("dz"))
+    flagged = _padded(spark, sf).withColumn("present", I.layer_presence("dz"))
     return _opened(flagged, "present")
 
 
@@ -85,12 +91,20 @@ def _(spark, sf):
     return table.select("sample_id", I.thickness("dz").alias("thickness"))
 
 
+@query("i5_sql_thickness", sql(f"SELECT {big('sample_id')} AS sample_id, {rd('thickness')} AS thickness, {big('n_layers')} AS n_layers FROM fx_sample"))
+def _(spark, sf):
+    sql_functions.register(spark)
+    return spark.sql(
+        "SELECT sample_id, thickness(dz) AS thickness, layer_count(dz) AS n_layers FROM {rows}", rows=views.samples(spark, sf)
+    )
+
+
 @query("i6_impute", sql(f"""
 SELECT {big('sample_id')} AS sample_id, {big('i')} AS i, {rd('coalesce(density[i], density_mean)')} AS density
 FROM fx_sample, fx_norm, {_POSITIONS}"""))
 def _(spark, sf):
     mean = train_norm(spark, sf).mean["density"]
-    filled = views.samples(spark, sf).withColumn("density", I.impute("density", mean))
+    filled = _padded(spark, sf).withColumn("density", I.impute("density", mean))
     return _opened(filled, "density")
 
 
@@ -133,7 +147,7 @@ SELECT {big('sample_id')} AS sample_id, {big(6 * L + 3)} AS width, {rd(f'layer_s
 FROM fx_flat""", _flat_sum(", ".join(
     f"list_transform({v}, lambda x: (x - {v}_mean) / {v}_std)" for v in LAYER_VARS))), digits=5)
 def _(spark, sf):
-    vector = I_features.normalize_flat(train_norm(spark, sf))
+    vector = I_features.normalize_flat(fit_norm(views.samples(spark, sf), views.plan(spark, sf)))
     flat = views.samples(spark, sf).select("sample_id", vector.alias("x"))
     return flat.select("sample_id", F.size("x").alias("width"), weighted_sum("x").alias("flat_sum"))
 
@@ -179,7 +193,7 @@ def _(spark, sf):
     + ", ".join(f"{rd(f'{v}[i]')} AS row{r}" for r, v in enumerate(LAYER_VARS, start=2))
     + f" FROM fx_sample, {_POSITIONS}"))
 def _(spark, sf):
-    stacked = views.samples(spark, sf).withColumn("snow_layer", I_features.presence_values())
+    stacked = _padded(spark, sf).withColumn("snow_layer", I_features.presence_values(L))
     matrix = stacked.select("sample_id", I_features.snow_matrix().alias("m"))
     split = matrix.select("sample_id", *[F.get("m", F.lit(r)).alias(f"row{r + 1}") for r in range(6)])
     return _opened(split, *[f"row{r}" for r in range(1, 7)])
@@ -199,7 +213,7 @@ def _(spark, sf):
 SELECT {big('sample_id')} AS sample_id, {big('i')} AS i, {rd('CAST(ssa[i] AS FLOAT)')} AS ssa
 FROM fx_sample, {_POSITIONS}"""))
 def _(spark, sf):
-    return _opened(views.samples(spark, sf).withColumn("ssa", I.to_float32("ssa")), "ssa")
+    return _opened(_padded(spark, sf).withColumn("ssa", I.to_float32("ssa")), "ssa")
 
 
 @query("i15_ground_first", sql(f"""

@@ -117,20 +117,20 @@ def _stored(spark, sf) -> str:
     memo = (spark.sparkContext.applicationId, sf)
     if memo not in _ingested:
         out = scratch_path(spark, "ingested")
-        ingest(
-            spark, stored.unique_inputs(spark, sf), views.points(spark, sf), out, views.LAYERS, run={"id": "run-1"}
-        )
+        inputs, points = stored.unique_inputs(spark, sf)
+        ingest(spark, inputs, points, out, run={"id": "run-1"})
         _ingested[memo] = out
     return _ingested[memo]
 
 
-# Inputs hold one row per (time, point): the order with the smallest number.
-_UNIQUE = """
-uniq AS (SELECT min(sample_id) AS sample_id FROM fx_at GROUP BY time, point_id)"""
+# Every order has a key of its own: the n-th of a time and point is a further point at the same place.
+_UNIQUE = f"""
+uniq AS (SELECT sample_id, point_id + {stored.TWIN} * (row_number() OVER (PARTITION BY time, point_id ORDER BY sample_id) - 1) AS own_id
+  FROM fx_at)"""
 
 
 @query("c2_ingest", sql(f"""
-SELECT {ts('time')} AS time, {big('point_id')} AS point_id, geo, season, {big('month')} AS month,
+SELECT {ts('time')} AS time, {big('own_id')} AS point_id, geo, season, {big('month')} AS month,
   {rd('albedo')} AS albedo, {rd('thickness')} AS thickness, {big('n_layers')} AS n_layers, {rd('surface_ssa')} AS surface_ssa
 FROM paired JOIN uniq USING (sample_id)""", _PAIRED, _UNIQUE))
 def _(spark, sf):
@@ -140,9 +140,9 @@ def _(spark, sf):
 
 @query("a8_ingest_manifest", sql(f"""
 SELECT 'run-1' AS run_id, {ts('min(time)')} AS start, {ts('max(time)')} AS "end", count(*) AS n,
-  {rd('(SELECT min(step) FROM steps)')} AS resolution FROM paired JOIN uniq USING (sample_id)""", _PAIRED, _UNIQUE, """
+  {rd('(SELECT min(step) FROM steps)')} AS resolution FROM paired""", _PAIRED, """
 steps AS (SELECT epoch(time - lag(time) OVER (PARTITION BY geo, season ORDER BY time)) AS step
-  FROM (SELECT DISTINCT geo, season, time FROM paired JOIN uniq USING (sample_id)))"""))
+  FROM (SELECT DISTINCT geo, season, time FROM paired))"""))
 def _(spark, sf):
     row = read_manifest(spark, _stored(spark, sf))
     return row.select(F.col("run")["id"].alias("run_id"), "start", "end", "n", "resolution")
@@ -151,22 +151,22 @@ def _(spark, sf):
 # --- stored statistics and weights ---
 
 @query("d3_published_layout", sql(f"""
-SELECT statistic, {", ".join(f"{rd(f'max(CASE WHEN variable = {chr(39)}{v}{chr(39)} THEN x END)')} AS {v}" for v in stats.STAT_VARS)}
+SELECT statistic, {", ".join(f"{rd(f'max(CASE WHEN variable = {chr(39)}{v}{chr(39)} THEN x END)', 9)} AS {v}" for v in stats.STAT_VARS)}
 FROM (SELECT 'mean' AS statistic, variable, mean AS x FROM fx_stat UNION ALL SELECT 'std', variable, std FROM fx_stat)
-GROUP BY statistic"""))
+GROUP BY statistic"""), digits=9)
 def _(spark, sf):
     path = scratch_path(spark, "wide-stats")
-    stats.stats_to_wide(stats.fit_stats(views.samples(spark, sf), layers=L)).write.parquet(path)
+    stats.stats_to_wide(stats.fit_stats(views.samples(spark, sf))).write.parquet(path)
     return spark.read.parquet(path)
 
 
 @query("k1_stored_weights", sql(f"""
-SELECT {big('sample_id')} AS sample_id, {rd('yhat', 4)} AS yhat FROM scored JOIN fx_at USING (sample_id)
-WHERE {SITE_SQL}""", *net_steps(NARROW_NET)), digits=4)
+SELECT {big('sample_id')} AS sample_id, {rd('yhat', 4)} AS yhat FROM scored""", *net_steps(NARROW_NET)), digits=4)
 def _(spark, sf):
+    """Every sample, scored with weights that went through a table."""
     path = scratch_path(spark, "weights")
-    scoring.save_parameters(spark, nets.waves(NARROW_NET, L), path)
-    weights = scoring.load_parameters(spark, path, NARROW_NET, L)
-    return analysis.scatter_with_margins(
-        views.samples(spark, sf), train_norm(spark, sf), weights, _site(), NARROW_NET, ("sample_id",), L
-    )[0].select("sample_id", F.col("prediction").alias("yhat"))
+    scoring.save_parameters(spark, nets.waves(NARROW_NET, L, "float64"), path)
+    weights = scoring.load_parameters(spark, path, NARROW_NET, L, "float64")
+    # Doubles all the way: the comparison is about the arithmetic, not float32.
+    scored = scoring.score_profiles(views.samples(spark, sf), train_norm(spark, sf), NARROW_NET, weights, L, dtype="float64")
+    return scored.select("sample_id", "yhat")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,17 +46,27 @@ def inputs(spark: SparkSession, sf: str) -> str:
     return root
 
 
-def unique_inputs(spark: SparkSession, sf: str) -> str:
-    """Inputs with one row per (time, point): the order with the smallest number."""
-    first = views.forcing(spark, sf).groupBy("time", "point_id").agg(F.min("sample_id").alias("sample_id"))
-    keep = first.select("sample_id")
+#: What is added to a point's number for each earlier order of the same time and point.
+TWIN = 10_000_000
+
+
+def _spread(df: DataFrame, twins: DataFrame) -> DataFrame:
+    return df.join(twins, "sample_id").withColumn("point_id", F.col("point_id") + F.col("twin") * TWIN).drop("twin")
+
+
+def unique_inputs(spark: SparkSession, sf: str) -> tuple[str, DataFrame]:
+    """Inputs of every order under a key of its own, and their points.
+
+    Orders that share time and point are further points at the same place.
+    """
+    same = W.partitionBy("time", "point_id").orderBy("sample_id")
+    twins = views.forcing(spark, sf).select("sample_id", (F.row_number().over(same) - 1).alias("twin"))
     root = scratch_path(spark, "unique-inputs")
-    write_inputs(
-        raw_forcing(spark, sf).join(keep, "sample_id", "left_semi"),
-        raw_profile(spark, sf).join(keep, "sample_id", "left_semi"),
-        root,
-    )
-    return root
+    write_inputs(_spread(raw_forcing(spark, sf), twins), _spread(raw_profile(spark, sf), twins), root)
+    points = views.points(spark, sf)
+    used = views.forcing(spark, sf).join(twins, "sample_id").select("point_id", F.col("twin").alias("_twin")).distinct()
+    spread = points.join(used, "point_id").withColumn("point_id", F.col("point_id") + F.col("_twin") * TWIN)
+    return root, spread.drop("_twin")
 
 
 def keyed_samples(spark: SparkSession, sf: str) -> DataFrame:

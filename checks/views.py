@@ -87,7 +87,7 @@ def layers(spark: SparkSession, sf: str) -> DataFrame:
 
 def profiles(spark: SparkSession, sf: str) -> DataFrame:
     """Layer arrays per order, with the snow mass that tells bare ground apart."""
-    packed = collect_layers(layers(spark, sf), "sample_id", LAYERS)
+    packed = collect_layers(layers(spark, sf), "sample_id")
     return packed.withColumn("swe", F.aggregate("dz", F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0))))
 
 
@@ -100,7 +100,7 @@ def samples(spark: SparkSession, sf: str) -> DataFrame:
     # Both sides grow with the data, so the smaller one is never worth a broadcast.
     stacks = profiles(spark, sf).hint("merge")
     joined = forcing_at_points(spark, sf).join(stacks, "sample_id", "left")
-    return with_surface(with_sun_angle(joined), LAYERS)
+    return with_surface(with_sun_angle(joined))
 
 
 def units(spark: SparkSession, sf: str) -> DataFrame:

@@ -43,14 +43,31 @@ def within_depth(arr: Column, layers: int, value: Column) -> Column:
     ).otherwise(value)
 
 
-def unrolled(arr: str, layers: int, entry: str) -> Column:
-    """``array(entry of layer 0, ...)`` with ``{x}`` for the layer's value.
+def filled_to(arr: str | Column, values: Column, layers: int, fill: float | None) -> Column:
+    """``values``, one per entry of ``arr``, followed by ``fill`` up to ``layers`` entries.
 
-    Lambdas are interpreted; written out, the entries stay in generated code and
-    absent layers need no padding first.
+    Only the layers a profile has are computed; the rest is one constant array.
     """
-    entries = ", ".join(entry.format(x=f"get(`{arr}`, {i})") for i in range(layers))
-    return within_depth(F.col(arr), layers, F.expr(f"array({entries})"))
+    arr = F.coalesce(_col(arr), F.array().cast("array<double>"))
+    rest = F.lit([fill] * layers).cast("array<double>")
+    whole = F.slice(F.concat(F.coalesce(values, F.array().cast("array<double>")), rest), 1, layers)
+    return within_depth(arr, layers, whole)
+
+
+def ragged(arr: str | Column) -> Column:
+    """An array without the absent layers at its end, as profiles are stored.
+
+    Gaps inside stay; nothing present gives an empty array, whatever the depth.
+    """
+    arr = F.coalesce(_col(arr), F.array().cast("array<double>"))
+    last = F.coalesce(F.array_max(F.transform(arr, lambda x, i: F.when(x.isNotNull(), i + 1))), F.lit(0))
+    return F.when(F.try_element_at(arr, F.lit(-1)).isNotNull(), arr).otherwise(F.slice(arr, 1, last))
+
+
+def depth(*arrays: str | Column) -> Column:
+    """Number of layers up to the last one of any of the arrays."""
+    sizes = [F.coalesce(F.size(_col(a)), F.lit(0)) for a in arrays]
+    return F.greatest(*sizes, F.lit(0))
 
 
 def layer_presence(dz: str | Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.layers import MAX_DEPTH, layer_presence, pad_layers, to_float32, unrolled, zscore
+from ..functions.layers import filled_to, pad_layers, ragged, thickness, to_float32, zscore
 from ..functions.times import parse_iso
 from ..schema import DEFAULT_LAYERS, LAYER_VARS, PRESENCE, SUN_VARS, TARGET, wide_columns
 from .filters import id_columns
@@ -17,7 +17,13 @@ from .stats import Norm
 
 
 def to_wide(df: DataFrame, layers: int = DEFAULT_LAYERS) -> DataFrame:
-    """The published layout: one column per variable and layer, fixed order."""
+    """The published layout: one column per variable and layer, fixed order.
+
+    A profile deeper than the layout is an error.
+    """
+    deepest = F.greatest(*[F.coalesce(F.size(ragged(v)), F.lit(0)) for v in LAYER_VARS])
+    beyond = F.raise_error(F.lit(f"a profile has a layer beyond depth {layers}")).cast("boolean")
+    df = df.where(F.when(deepest <= layers, F.lit(True)).otherwise(beyond))
     presence = [
         F.get("dz", F.lit(i)).isNotNull().alias(f"{PRESENCE}{i + 1}") for i in range(layers)
     ]
@@ -44,53 +50,51 @@ def from_wide(df: DataFrame, layers: int = DEFAULT_LAYERS) -> DataFrame:
     )
 
 
-def collect_layers(
-    layer_rows: DataFrame, key: str = "sample_id", layers: int = DEFAULT_LAYERS
-) -> DataFrame:
-    """Long layer rows (numbered from 1) to one padded array per variable.
+def collect_layers(layer_rows: DataFrame, key: str = "sample_id") -> DataFrame:
+    """Long layer rows (numbered from 1) to one array per variable, as long as the profile is deep.
 
     A layer stands at its number, so a missing number leaves a gap.  A number
-    outside 1..``layers`` and one that occurs twice are errors.
+    below 1 and one that occurs twice are errors.
     """
     entry = F.struct("layer", *LAYER_VARS)
     packed = layer_rows.groupBy(key).agg(F.sort_array(F.collect_list(entry)).alias("stack"))
     count = F.size("stack")
     first, last = F.get("stack", F.lit(0))["layer"], F.get("stack", count - 1)["layer"]
-    wrong = (first < 1) | (last > layers) | (F.size(F.array_distinct("stack.layer")) < count)
+    wrong = (first < 1) | (F.size(F.array_distinct("stack.layer")) < count)
     checked = packed.withColumn(
         "stack",
         F.when(
-            F.coalesce(wrong, F.lit(True)),
-            F.raise_error(F.lit(f"layer numbers must be distinct and lie in 1..{layers}")),
+            F.coalesce(wrong, F.lit(True)), F.raise_error(F.lit("layer numbers must be distinct and start from 1"))
         ).otherwise(F.col("stack")),
     )
 
     def placed(variable: str) -> Column:
         at = lambda i: F.get(F.filter("stack", lambda s: s["layer"] == i), F.lit(0))[variable]
-        return F.when(last == count, pad_layers(F.col(f"stack.{variable}"), layers)).otherwise(
-            F.transform(F.sequence(F.lit(1), F.lit(layers)), at)
+        return F.when(last == count, F.col(f"stack.{variable}")).otherwise(
+            F.transform(F.sequence(F.lit(1).cast(layer_rows.schema["layer"].dataType), last), at)
         )
 
     return checked.select(key, *[placed(v).alias(v) for v in LAYER_VARS])
 
 
-def presence_values() -> Column:
-    return F.transform(layer_presence("dz"), lambda p: p.cast("double"))
+def presence_values(layers: int = DEFAULT_LAYERS) -> Column:
+    """1 where the profile has a layer, else 0, up to the depth."""
+    return filled_to("dz", F.transform("dz", lambda x: x.isNotNull().cast("double")), layers, 0.0)
 
 
-def scaled_layers(variable: str, norm: Norm) -> Column:
+def scaled_layers(variable: str, norm: Norm, layers: int = DEFAULT_LAYERS) -> Column:
     """Standardise, then give absent layers the value the mean maps to: zero."""
     scaled = zscore(variable, norm.mean[variable], norm.std[variable])
     if not norm.std[variable]:
-        return scaled
-    return F.transform(scaled, lambda x: F.coalesce(x, F.lit(0.0)))
+        return filled_to(variable, scaled, layers, None)
+    return filled_to(variable, F.transform(scaled, lambda x: F.coalesce(x, F.lit(0.0))), layers, 0.0)
 
 
-def normalize_layers(df: DataFrame, norm: Norm) -> DataFrame:
+def normalize_layers(df: DataFrame, norm: Norm, layers: int = DEFAULT_LAYERS) -> DataFrame:
     """Z-scores of the five layer variables; the presence mask is added untouched."""
     return df.withColumns({
-        PRESENCE: presence_values(),
-        **{v: scaled_layers(v, norm) for v in LAYER_VARS},
+        PRESENCE: presence_values(layers),
+        **{v: scaled_layers(v, norm, layers) for v in LAYER_VARS},
     })
 
 
@@ -126,15 +130,15 @@ def snow_matrix() -> Column:
     return F.array(PRESENCE, *LAYER_VARS)
 
 
-def flat_vector() -> Column:
+def flat_vector(layers: int = DEFAULT_LAYERS) -> Column:
     """Presence, the five layer variables and the sun inputs in one vector."""
-    return F.concat(presence_values(), *LAYER_VARS, F.array(*SUN_VARS))
+    return F.concat(presence_values(layers), *[pad_layers(v, layers) for v in LAYER_VARS], F.array(*SUN_VARS))
 
 
-def normalize_flat(norm: Norm) -> Column:
+def normalize_flat(norm: Norm, layers: int = DEFAULT_LAYERS) -> Column:
     """Flat-network rule: every input is imputed and scaled, the sun angle too."""
     return F.concat(
-        presence_values(), *[scaled_layers(v, norm) for v in LAYER_VARS], F.array(*_flat_sun(norm))
+        presence_values(layers), *[scaled_layers(v, norm, layers) for v in LAYER_VARS], F.array(*_flat_sun(norm))
     )
 
 
@@ -145,41 +149,20 @@ def _flat_sun(norm: Norm) -> list[Column]:
     ]
 
 
-def _written(number: float) -> str:
-    return f"CAST('{number!r}' AS DOUBLE)"
-
-
-def scaled_entries(variable: str, norm: Norm, layers: int) -> Column:
-    """:func:`scaled_layers` over arrays of any length, written out layer by layer."""
-    mean, std = norm.mean[variable], norm.std[variable]
-    if not std:
-        return unrolled(variable, layers, "CAST(NULL AS DOUBLE)")
-    return unrolled(variable, layers, f"coalesce(({{x}} - {_written(mean)}) / {_written(std)}, 0D)")
-
-
-def presence_entries(layers: int) -> Column:
-    return unrolled("dz", layers, "if({x} IS NULL, 0D, 1D)")
-
-
-def depth_of(layers: int) -> Column:
-    """Capped snow depth, summed layer by layer from the top."""
-    total = " + ".join(["0D", *[f"coalesce(get(dz, {i}), 0D)" for i in range(layers)]])
-    return F.least(F.lit(MAX_DEPTH), F.expr(total))
-
-
 def build_features(
     df: DataFrame, norm: Norm, keys: tuple[str, ...] = (), layers: int = DEFAULT_LAYERS
 ) -> DataFrame:
     """Network inputs ``x_snow`` (6 x layers), ``x_sun`` (4) and target ``y`` as float32.
 
-    A layer beyond the depth is an error, so the depth covers every layer.
+    Profiles are padded here and nowhere before.  A layer beyond the depth is an
+    error, so the depth covers every layer.
     """
-    snow = [presence_entries(layers), *[scaled_entries(v, norm, layers) for v in LAYER_VARS]]
+    snow = [presence_values(layers), *[scaled_layers(v, norm, layers) for v in LAYER_VARS]]
     sun = [norm.scale("direct_sw", F.col("direct_sw")), norm.scale("diffuse_sw", F.col("diffuse_sw"))]
     return df.select(
         *keys,
         F.array(*[row.cast("array<float>") for row in snow]).alias("x_snow"),
-        to_float32(F.array(*sun, F.col("cos_sza"), depth_of(layers))).alias("x_sun"),
+        to_float32(F.array(*sun, F.col("cos_sza"), thickness("dz"))).alias("x_sun"),
         F.col(TARGET).cast("float").alias("y"),
     )
 
@@ -188,9 +171,6 @@ def build_flat_features(
     df: DataFrame, norm: Norm, keys: tuple[str, ...] = (), layers: int = DEFAULT_LAYERS
 ) -> DataFrame:
     """Flat-network input ``x`` (6 x layers + 3) and target ``y`` as float32."""
-    snow = [presence_entries(layers), *[scaled_entries(v, norm, layers) for v in LAYER_VARS]]
     return df.select(
-        *keys,
-        to_float32(F.concat(*snow, F.array(*_flat_sun(norm)))).alias("x"),
-        F.col(TARGET).cast("float").alias("y"),
+        *keys, to_float32(normalize_flat(norm, layers)).alias("x"), F.col(TARGET).cast("float").alias("y")
     )

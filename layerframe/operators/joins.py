@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.layers import layer_count, pad_layers, surface, thickness
+from ..functions.layers import layer_count, ragged, surface, thickness
 from ..functions.sun import cos_sza
-from ..schema import DEFAULT_LAYERS, GROUP_COLS, LAYER_VARS
+from ..schema import GROUP_COLS, LAYER_VARS
 from ..session import materialise
 
 
@@ -49,13 +49,13 @@ def with_point_attrs(df: DataFrame, points: DataFrame) -> DataFrame:
 LISTED = "_listed"
 
 
-def with_surface(df: DataFrame, layers: int = DEFAULT_LAYERS) -> DataFrame:
-    """Pad the layer arrays and materialise the scalars that queries filter on.
+def with_surface(df: DataFrame) -> DataFrame:
+    """Drop what is absent at the arrays' ends; materialise the scalars that queries filter on.
 
-    The scalars are taken from the arrays as they came, before padding.
+    Profiles keep every layer they have, whatever their depth.
     """
     return df.withColumns({
-        **{v: pad_layers(v, layers) for v in LAYER_VARS},
+        **{v: ragged(v) for v in LAYER_VARS},
         "surface_ssa": surface("ssa"),
         "surface_density": surface("density"),
         "surface_dust": surface("conc_dust"),

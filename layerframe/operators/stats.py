@@ -1,7 +1,7 @@
 """Pooled statistics: one mean and deviation per variable over all layers.
 
-Layer values are read by position from a constant sequence, so the explode, the
-array reads and the partial aggregation stay in one generated loop.  Moments are
+Layer values are read by position, as deep as each profile is, so the explode,
+the array reads and the partial aggregation stay in one generated loop.  Moments are
 kept as (n, mean, m2), which merge without cancellation.
 """
 
@@ -14,25 +14,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..schema import DEFAULT_LAYERS, GROUP_COLS, LAYER_VARS, STAT_VARS, SUN_VARS, TARGET
+from ..functions.layers import depth
+from ..schema import GROUP_COLS, LAYER_VARS, STAT_VARS, SUN_VARS, TARGET
 
 
-def layer_rows(df: DataFrame, by: Sequence[str], layers: int = DEFAULT_LAYERS) -> DataFrame:
-    """One row per sample and layer; per-sample scalars are kept on layer 0 only."""
+def layer_rows(df: DataFrame, by: Sequence[str], also: Sequence[str] = ()) -> DataFrame:
+    """One row per sample and layer it has; per-sample scalars are kept on layer 0 only.
+
+    A sample without layers keeps one row.  ``also`` names columns to carry along.
+    """
     scalars = [*SUN_VARS, TARGET]
-    exploded = df.select(
-        *by, *LAYER_VARS, *scalars, F.explode(F.sequence(F.lit(0), F.lit(layers - 1))).alias("at")
-    )
+    last = F.greatest(depth(*LAYER_VARS) - 1, F.lit(0))
+    exploded = df.select(*by, *also, *LAYER_VARS, *scalars, F.explode(F.sequence(F.lit(0), last)).alias("at"))
     return exploded.select(
         *by,
+        *also,
         "at",
         *[F.get(v, F.col("at")).alias(v) for v in LAYER_VARS],
         *[F.when(F.col("at") == 0, F.col(v)).alias(v) for v in scalars],
     )
 
 
-def _long(df: DataFrame, by: Sequence[str]) -> DataFrame:
-    entries = [
+def moment_columns() -> list[Column]:
+    """Aggregates over :func:`layer_rows` that :func:`moment_entries` reads."""
+    out = [F.count_if(F.col("at") == 0).alias("n_rows")]
+    for v in STAT_VARS:
+        out += [
+            F.count(v).alias(f"{v}_n"),
+            F.avg(v).alias(f"{v}_mean"),
+            F.var_pop(v).alias(f"{v}_var"),
+        ]
+    return out
+
+
+def moment_entries() -> Column:
+    """One (variable, n, mean, m2) per variable."""
+    return F.array(*[
         F.struct(
             F.lit(v).alias("variable"),
             F.col(f"{v}_n").alias("n"),
@@ -40,28 +57,17 @@ def _long(df: DataFrame, by: Sequence[str]) -> DataFrame:
             F.coalesce(F.col(f"{v}_var") * F.col(f"{v}_n"), F.lit(0.0)).alias("m2"),
         )
         for v in STAT_VARS
-    ]
-    return df.select(*by, "n_rows", F.inline(F.array(*entries)))
+    ])
 
 
-def partial_stats(
-    df: DataFrame, by: Sequence[str] = tuple(GROUP_COLS), layers: int = DEFAULT_LAYERS
-) -> DataFrame:
+def partial_stats(df: DataFrame, by: Sequence[str] = tuple(GROUP_COLS)) -> DataFrame:
     """Count, sum and sum of squares per group and variable, absent layers left out.
 
     Returns ``by..., n_rows, variable, n, mean, m2, total, total_sq``; ``n_rows``
     is the number of samples the group was fitted on.
     """
-    rows = layer_rows(df, by, layers)
-    moments = [F.count_if(F.col("at") == 0).alias("n_rows")]
-    for v in STAT_VARS:
-        moments += [
-            F.count(v).alias(f"{v}_n"),
-            F.avg(v).alias(f"{v}_mean"),
-            F.var_pop(v).alias(f"{v}_var"),
-        ]
-    wide = rows.groupBy(*by).agg(*moments)
-    return _long(wide, by).withColumns({
+    wide = layer_rows(df, by).groupBy(*by).agg(*moment_columns())
+    return wide.select(*by, "n_rows", F.inline(moment_entries())).withColumns({
         "total": F.coalesce(F.col("mean") * F.col("n"), F.lit(0.0)),
         "total_sq": F.coalesce(F.col("m2") + F.col("n") * F.col("mean") * F.col("mean"), F.lit(0.0)),
     })
@@ -91,11 +97,9 @@ def finish_stats(moments: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return moments.select(*by, "variable", "n", "mean", F.sqrt(variance).alias("std"))
 
 
-def fit_stats(
-    df: DataFrame, by: Sequence[str] = (), layers: int = DEFAULT_LAYERS
-) -> DataFrame:
+def fit_stats(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Mean and population deviation of the nine variables in one pass."""
-    return finish_stats(partial_stats(df, by, layers), by)
+    return finish_stats(partial_stats(df, by), by)
 
 
 def stats_to_wide(stats: DataFrame) -> DataFrame:

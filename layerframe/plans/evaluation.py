@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.features import build_features, build_flat_features
 from ..operators.joins import assign_split
 from ..operators.metrics import evaluate
 from ..operators.nets import CONV_NET, Net
-from ..operators.scoring import score
-from ..operators.stats import Norm, fit_stats
-from ..schema import DEFAULT_LAYERS, TARGET
+from ..operators.scoring import score_profiles
+from ..operators.stats import Norm, finish_stats, fit_stats, merge_stats
+from ..schema import DEFAULT_LAYERS, LAYER_VARS, SUN_VARS, TARGET
+from ..sources.ledger import stored_moments, units
 
 
-def fit_norm(
-    samples: DataFrame, plan: DataFrame, split: str = "train", layers: int = DEFAULT_LAYERS
-) -> Norm:
+def fit_norm(samples: DataFrame, plan: DataFrame, split: str = "train") -> Norm:
     """Normalisation fitted on the units of one split only."""
     chosen = assign_split(samples, plan.where(F.col("split") == split))
-    return Norm.from_stats(fit_stats(chosen, layers=layers))
+    return Norm.from_stats(fit_stats(chosen))
+
+
+def fit_stored_norm(spark: SparkSession, root: str, plan: DataFrame, split: str = "train") -> Norm:
+    """:func:`fit_norm` of a stored table, merged from its ledger: no sample is read."""
+    chosen = assign_split(units(spark, root), plan.where(F.col("split") == split))
+    return Norm.from_stats(finish_stats(merge_stats(stored_moments(chosen))))
 
 
 def score_samples(
@@ -30,13 +34,10 @@ def score_samples(
     keys: tuple[str, ...] = (),
     layers: int = DEFAULT_LAYERS,
 ) -> DataFrame:
-    """Features and prediction per sample; ``keys`` and the target are kept."""
-    kept = (*keys, TARGET)
-    if net.stages:
-        features = build_features(samples, norm, kept, layers)
-        return score(features, net, parameters, layers).select(*kept, "yhat")
-    features = build_flat_features(samples, norm, kept, layers)
-    return score(features, net, parameters, layers, scalars="x").select(*kept, "yhat")
+    """Prediction per sample from its stored arrays; ``keys`` and the target are kept."""
+    kept = list(dict.fromkeys((*keys, TARGET)))
+    needed = [c for c in (*LAYER_VARS, *SUN_VARS) if c not in kept]
+    return score_profiles(samples.select(*kept, *needed), norm, net, parameters, layers).select(*kept, "yhat")
 
 
 def report(
@@ -47,6 +48,6 @@ def report(
     layers: int = DEFAULT_LAYERS,
 ) -> DataFrame:
     """MSE, MAE and RMSE per split, normalised with train statistics."""
-    norm = fit_norm(samples, plan, layers=layers)
+    norm = fit_norm(samples, plan)
     labelled = assign_split(samples, plan)
     return evaluate(score_samples(labelled, norm, parameters, net, ("split",), layers))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.filters import clean_missing, first_patch, has_snow, is_daytime
 from ..operators.joins import align, duplicate_keys, with_point_attrs, with_sun_angle, with_surface
-from ..schema import DEFAULT_LAYERS, GROUP_COLS, SAMPLE_SCHEMA
+from ..schema import GROUP_COLS, SAMPLE_SCHEMA
 from ..sources.inputs import read_inputs
 from ..sources.samples import manifest, read_samples, with_metadata, write_manifest, write_samples
 
@@ -20,7 +20,6 @@ def build_samples(
     forcing: DataFrame,
     profile: DataFrame,
     points: DataFrame,
-    layers: int = DEFAULT_LAYERS,
     on: tuple[str, ...] = ("time", "point_id"),
 ) -> DataFrame:
     """Daytime rows with snow on the ground, sun angle and surface scalars added.
@@ -33,7 +32,7 @@ def build_samples(
     lit = clean_missing(is_daytime(forcing))
     snowy = clean_missing(first_patch(has_snow(profile))).drop("patch")
     joined = with_point_attrs(align(lit, snowy, on), clean_missing(points))
-    return with_surface(with_sun_angle(joined), layers).withColumn("month", F.month("time"))
+    return with_surface(with_sun_angle(joined)).withColumn("month", F.month("time"))
 
 
 def to_sample_table(df: DataFrame) -> DataFrame:
@@ -62,7 +61,6 @@ def ingest(
     inputs: str,
     points: DataFrame,
     out: str,
-    layers: int = DEFAULT_LAYERS,
     description: str = "layered samples",
     run: dict[str, str] | None = None,
     on: tuple[str, ...] = STORED_KEY,
@@ -76,7 +74,7 @@ def ingest(
     require_paired_seasons(forcing, profile)
     require_unique(forcing, on, "forcing")
     require_unique(first_patch(has_snow(profile)), on, "profile")
-    samples = build_samples(forcing, profile, points, layers, on)
+    samples = build_samples(forcing, profile, points, on)
     write_samples(with_metadata(to_sample_table(samples)), out)
     sources = {"forcing": f"{inputs}/forcing", "profile": f"{inputs}/profile"}
     write_manifest(manifest(read_samples(spark, out), description, sources, run or {}), out)

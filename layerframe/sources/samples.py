@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +16,7 @@ from ..schema import (
     UNIT_COLS,
     VARIABLE_LABELS,
 )
+from .ledger import append, commit_folder, new_commit, next_version, read_current, summarise, units
 
 # Rows inside a unit are sorted by site, so row groups can be skipped on look-ups.
 SITE_SORT = ["massif_number", "zs", "slope", "aspect", "time"]
@@ -25,58 +25,44 @@ SITE_SORT = ["massif_number", "zs", "slope", "aspect", "time"]
 def read_samples(
     spark: SparkSession, root: str, schema: T.StructType = SAMPLE_SCHEMA
 ) -> DataFrame:
-    """All stored units as one table; filters on it prune folders and row groups."""
-    return spark.read.schema(schema).parquet(root)
+    """All stored units as one table; filters on it prune folders and row groups.
+
+    The ledger says which folders are current; only those are listed.
+    """
+    return read_current(spark, root, schema)
 
 
 def write_samples(df: DataFrame, root: str) -> None:
     """One folder per region, season and month, replacing those seasons.
 
     The rebalance hint sizes the output files: small units are merged, and a
-    unit that holds much of the data is split over several tasks.  The units
-    written are noted on the way, and a month that an earlier run stored for one
-    of their seasons but this one did not is removed afterwards.  Seasons that
-    are not in ``df`` are never touched, whoever writes to them meanwhile.
+    unit that holds much of the data is split over several tasks.  What is known
+    of each unit is taken from the files written, and appended to the ledger
+    last: until then nothing is visible, and a month that an earlier commit
+    stored for one of these seasons but this one did not is gone with it.
+    Seasons that are not in ``df`` are never touched, whoever writes to them.
     """
     spark = df.sparkSession
-    noted = Observation()
+    commit, version = new_commit(), next_version(spark, root)
     sort = [c for c in SITE_SORT if c in df.columns]
+    folder = commit_folder(root, commit)
     (
-        df.observe(noted, F.collect_set(F.struct(*UNIT_COLS)).alias("units"))
-        .hint("rebalance", *UNIT_COLS)
+        df.hint("rebalance", *UNIT_COLS)
         .sortWithinPartitions(*UNIT_COLS, *sort)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*UNIT_COLS)
-        .parquet(root)
+        .write.partitionBy(*UNIT_COLS)
+        .parquet(folder)
     )
-    units = noted.get["units"]
-    if units:
-        _remove(spark, _stale(spark, root, spark.createDataFrame(units, _unit_schema())))
-
-
-def _unit_schema() -> T.StructType:
-    return T.StructType([f for f in SAMPLE_SCHEMA.fields if f.name in UNIT_COLS])
-
-
-def _stale(spark: SparkSession, root: str, written: DataFrame) -> list[str]:
-    """Folders of months left over in the seasons that have just been written."""
-    stored = spark.read.schema(SAMPLE_SCHEMA).parquet(root)
-    held = stored.select(*UNIT_COLS, F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("folder")).distinct()
-    in_season = held.join(written.select(*GROUP_COLS).distinct(), GROUP_COLS, "left_semi")
-    return [r["folder"] for r in in_season.join(written, UNIT_COLS, "left_anti").select("folder").collect()]
-
-
-def _remove(spark: SparkSession, folders: list[str]) -> None:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in folders:
-        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
-        path.getFileSystem(conf).delete(path, True)
+    # sort order of the columns, types and labels as written
+    written = spark.read.schema(df.schema).parquet(folder)
+    append(summarise(written), root, version, commit)
 
 
 def catalog(df: DataFrame, level: str = "unit") -> DataFrame:
-    """Stored units: flat, grouped by season, or grouped by region then season."""
+    """Stored units: flat, grouped by season, or grouped by region then season.
+
+    ``df`` is any table with the unit columns; given those of
+    :func:`layerframe.sources.ledger.units`, no sample is read.
+    """
     units = df.select(*UNIT_COLS).distinct()
     if level == "unit":
         return units
@@ -121,8 +107,12 @@ def season_units(df: DataFrame, geo: str, season: str) -> DataFrame:
     return df.where((F.col("geo") == geo) & (F.col("season") == season))
 
 
-def read_season(spark: SparkSession, root: str, geo: str, season: str) -> DataFrame:
-    return season_units(read_samples(spark, root), geo, season)
+def read_season(
+    spark: SparkSession, root: str, geo: str, season: str, schema: T.StructType = SAMPLE_SCHEMA
+) -> DataFrame:
+    """Rows of one season; its arguments are checked against the ledger, and only its folder is listed."""
+    chosen = season_units(units(spark, root), geo, season)
+    return read_current(spark, root, schema, chosen)
 
 
 def describe_selection(df: DataFrame) -> DataFrame:

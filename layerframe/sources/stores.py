@@ -7,12 +7,15 @@ import json
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..operators.aggregates import require_complete
 from ..operators.features import build_features
 from ..operators.sets import same_inputs
 from ..operators.stats import Norm, finish_stats, merge_stats, partial_stats
-from ..schema import DEFAULT_LAYERS, GROUP_COLS
+from ..schema import DEFAULT_LAYERS, GROUP_COLS, SAMPLE_SCHEMA, UNIT_COLS
 from ..session import materialise
+from . import ledger
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame | None:
@@ -52,11 +55,40 @@ def group_sizes(df: DataFrame) -> DataFrame:
 
 def content(df: DataFrame) -> Column:
     """Aggregate that changes with any value of ``df``, whatever the order of rows."""
-    row = F.xxhash64(*[F.col(c) for c in sorted(df.columns)])
-    return F.sum(row.cast("decimal(38,0)")).cast("string")
+    return F.sum(ledger.content(df).cast("decimal(38,0)")).cast("string")
 
 
-def refresh_stats(df: DataFrame, path: str, layers: int = DEFAULT_LAYERS) -> bool:
+def stored_group_sizes(stored: DataFrame) -> DataFrame:
+    """:func:`group_sizes` of whole units, from the ledger."""
+    return stored.groupBy(*GROUP_COLS).agg(
+        F.sum("n").alias("n_rows"), F.sum(F.col("digest").cast("decimal(38,0)")).cast("string").alias("content")
+    )
+
+
+def refresh_stored_stats(
+    spark: SparkSession, root: str, path: str, plan: DataFrame | None = None, complete: bool = True
+) -> bool:
+    """Statistics of a stored table, from the moments its writers left in the ledger.
+
+    ``plan`` limits them to its (geo, season) groups.  Nothing is computed when
+    the same content was fitted before; otherwise the chosen units' moments are
+    merged.  No sample is read either way.  A season without its twelve months
+    is an error unless ``complete`` is off.  Returns whether anything was stored.
+    """
+    stored = ledger.units(spark, root)
+    if plan is not None:
+        stored = stored.join(plan.select(*GROUP_COLS).distinct(), GROUP_COLS, "left_semi")
+    if complete:
+        require_complete(stored)
+    groups = materialise(stored_group_sizes(stored), "groups")
+    inputs = _read(spark, f"{path}/inputs")
+    if inputs is not None and set(groups.columns) <= set(inputs.columns) and same_inputs(groups, inputs):
+        return False
+    save_stats(finish_stats(merge_stats(ledger.stored_moments(stored))), groups, path)
+    return True
+
+
+def refresh_stats(df: DataFrame, path: str) -> bool:
     """Refit only when nothing is stored or some group changed.
 
     Partial moments are kept per (geo, season): only groups that are new, or
@@ -79,7 +111,7 @@ def refresh_stats(df: DataFrame, path: str, layers: int = DEFAULT_LAYERS) -> boo
         wanted = materialise(groups.join(unchanged, GROUP_COLS, "left_anti"), "changed-groups")
     fresh = df.join(wanted.select(*GROUP_COLS), GROUP_COLS, "left_semi")
     (
-        partial_stats(fresh, GROUP_COLS, layers)
+        partial_stats(fresh, GROUP_COLS)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*GROUP_COLS)
@@ -134,3 +166,68 @@ def cached_features(
         build_features(df, norm, keys, layers).write.mode("overwrite").parquet(f"{path}/features")
         mark.write.mode("overwrite").parquet(f"{path}/fingerprint")
     return spark.read.parquet(f"{path}/features")
+
+
+def recipe_of(norm: Norm, layers: int, keys: tuple[str, ...]) -> str:
+    """What a feature row depends on besides its sample; statistics count to nine digits."""
+    nine = lambda values: {k: v if v is None else f"{v:.8e}" for k, v in values.items()}
+    return json.dumps({"layers": layers, "keys": list(keys), "mean": nine(norm.mean), "std": nine(norm.std)}, sort_keys=True)
+
+
+def refresh_features(
+    spark: SparkSession,
+    root: str,
+    path: str,
+    norm: Norm,
+    keys: tuple[str, ...] = ("time", "point_id"),
+    layers: int = DEFAULT_LAYERS,
+    schema: T.StructType = SAMPLE_SCHEMA,
+) -> int:
+    """Bring a feature table up to date with the stored samples, unit by unit.
+
+    The table's own ledger names, per unit, the content and the recipe it was
+    built from.  Units that are new, whose content changed, or that another
+    recipe built, are built from their own folders and nothing else is read;
+    units no longer stored are marked as removed.  A unit rewritten with equal
+    content is left alone.  Returns the number of units built.
+    """
+    recipe = recipe_of(norm, layers, keys)
+    stored = ledger.units(spark, root)
+    wanted = stored.select(*UNIT_COLS, "n", "digest", F.lit(recipe).alias("recipe"), "commit")
+    same = [*UNIT_COLS, "digest", "recipe"]
+    if ledger.has_ledger(spark, path):
+        built = ledger.units(spark, path, UNIT_COLS).select(*same)
+    else:
+        built = spark.createDataFrame([], wanted.select(*same).schema)
+    # one row per unit: as many as the catalog has
+    changed = materialise(wanted.join(built, same, "left_anti"), "changed-units")
+    gone = built.select(*UNIT_COLS).distinct().join(stored.select(*UNIT_COLS), UNIT_COLS, "left_anti")
+    number = changed.count()
+    removed = materialise(gone, "removed-units")
+    if not number and not removed.count():
+        return 0
+    commit, version = ledger.new_commit(), ledger.next_version(spark, path)
+    if number:
+        samples = ledger.read_current(spark, root, schema, changed, UNIT_COLS)
+        kept = tuple(dict.fromkeys((*keys, *UNIT_COLS)))
+        features = build_features(samples, norm, kept, layers)
+        features.hint("rebalance", *UNIT_COLS).write.partitionBy(*UNIT_COLS).parquet(ledger.commit_folder(path, commit))
+    blank = {f.name: F.lit(None).cast(f.dataType) for f in ledger.LEDGER_SCHEMA.fields}
+    rows = changed.drop("commit").unionByName(removed, allowMissingColumns=True)
+    ledger.append(rows.withColumns({c: v for c, v in blank.items() if c not in rows.columns}), path, version, commit)
+    return number
+
+
+def read_features(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The feature table of ``schema`` (keys, ``x_snow``, ``x_sun``, ``y`` and the unit) as it is current."""
+    return ledger.read_current(spark, path, schema, scope=UNIT_COLS)
+
+
+def feature_schema(keys: tuple[str, ...], schema: T.StructType = SAMPLE_SCHEMA) -> T.StructType:
+    """Columns of a feature table with these keys."""
+    floats = T.ArrayType(T.FloatType())
+    named = [schema[k] for k in dict.fromkeys((*keys, *UNIT_COLS))]
+    return T.StructType([
+        *named,
+        T.StructField("x_snow", T.ArrayType(floats)), T.StructField("x_sun", floats), T.StructField("y", T.FloatType()),
+    ])

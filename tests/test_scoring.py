@@ -6,9 +6,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from layerframe.operators import learning, nets
+from layerframe.operators import features, learning, nets
 from layerframe.operators.metrics import mse
-from layerframe.operators.scoring import load_parameters, save_parameters, score, score_dense
+from layerframe.operators.scoring import load_parameters, save_parameters, score, score_dense, score_profiles
+from layerframe.operators.stats import Norm
+from layerframe.plans.evaluation import score_samples
+from layerframe.schema import LAYER_VARS, STAT_VARS
+from tests.conftest import plan_of
 
 LAYERS = 50
 NETS = {
@@ -168,3 +172,40 @@ def test_sweep_has_one_trial_per_grid_point(spark):
     trials = learning.sweep(df, df, "v", {"regParam": [0.0, 5.0], "elasticNetParam": [0.0, 1.0]})
     assert trials.count() == 4
     assert learning.best_trial(trials).first()["regParam"] == 0.0
+
+
+@pytest.mark.parametrize("name", sorted(NETS))
+def test_scoring_stored_profiles_equals_features_then_score(spark, name):
+    net, rng = narrow(NETS[name]), np.random.default_rng(4)
+    parameters = [(rng.normal(size=w) / np.sqrt(np.prod(w[1:])), rng.normal(size=b)) for w, b in nets.parameter_shapes(net, LAYERS)]
+    norm = Norm({v: 0.3 for v in STAT_VARS}, {v: 0.7 for v in STAT_VARS})
+    rows = []
+    for i in range(30):
+        deep = int(rng.integers(0, LAYERS + 1))
+        stacks = [[None if rng.random() < 0.2 else float(x) for x in rng.random(deep)] for _ in LAYER_VARS]
+        if i == 7:
+            stacks = [None] * len(LAYER_VARS)
+        if i == 8:
+            stacks = [s + [None] * 70 for s in stacks]
+        rows.append((i, *stacks, None if i == 9 else float(rng.random()), *[float(x) for x in rng.random(3)]))
+    df = spark.createDataFrame(
+        rows, "i int, " + ", ".join(f"{v} array<double>" for v in LAYER_VARS) + ", direct_sw double, diffuse_sw double, cos_sza double, albedo double"
+    )
+    if net.stages:
+        want = score(features.build_features(df, norm, ("i",), LAYERS), net, parameters, LAYERS)
+    else:
+        want = score(features.build_flat_features(df, norm, ("i",), LAYERS), net, parameters, LAYERS, scalars="x")
+    got = score_profiles(df, norm, net, parameters, LAYERS)
+    pairs = zip(*[[r["yhat"] for r in d.orderBy("i").select("yhat").collect()] for d in (got, want)])
+    for at, (a, b) in enumerate(pairs):
+        assert (a is None) == (b is None) == (at == 9 and bool(net.stages))
+        assert a is None or a == pytest.approx(b, abs=1e-6)
+    with pytest.raises(Exception, match="beyond depth"):
+        score_profiles(df, norm, net, nets.waves(net, 8), 8).collect()
+
+
+def test_scoring_stored_profiles_builds_no_features_in_the_jvm(spark):
+    df = spark.createDataFrame([], ", ".join(f"{v} array<double>" for v in LAYER_VARS) + ", direct_sw double, diffuse_sw double, cos_sza double, albedo double")
+    norm = Norm({v: 0.0 for v in STAT_VARS}, {v: 1.0 for v in STAT_VARS})
+    plan = plan_of(score_samples(df, norm, nets.waves(nets.CONV_NET, LAYERS), nets.CONV_NET))
+    assert "ArrowEvalPython" in plan and "lambda" not in plan and "array_repeat" not in plan

@@ -4,15 +4,20 @@ from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from layerframe.functions import names
-from layerframe.operators import joins, ordering
+from layerframe.operators import joins, ordering, splits
+from layerframe.operators.aggregates import check_complete, time_coverage, value_range
+from layerframe.operators.features import build_features
 from layerframe.operators.filters import at_site, clean_missing
-from layerframe.operators.stats import fit_stats
+from layerframe.operators.histograms import histogram
+from layerframe.operators.stats import Norm, fit_stats
+from layerframe.plans.evaluation import fit_stored_norm
 from layerframe.plans.ingest import STORED_KEY, build_samples, ingest, to_sample_table
-from layerframe.schema import LAYER_VARS, LOG_CURRENT, LOG_FOUR_METRICS, LOG_SHORT
+from layerframe.schema import LAYER_VARS, LOG_CURRENT, LOG_FOUR_METRICS, LOG_SHORT, STAT_VARS, UNIT_COLS
 from layerframe.session import co_partitioned, scratch_path
-from layerframe.sources import inputs, logs, samples
+from layerframe.sources import inputs, ledger, logs, samples, stores
 from tests.conftest import plan_of
 
 NAN = float("nan")
@@ -53,7 +58,7 @@ def stored(spark, tmp_path_factory):
     base = str(tmp_path_factory.mktemp("ingest"))
     forcing, profile = raw(spark)
     inputs.write_inputs(forcing, profile, f"{base}/in")
-    ingest(spark, f"{base}/in", points(spark), f"{base}/out", 5)
+    ingest(spark, f"{base}/in", points(spark), f"{base}/out")
     return f"{base}/out"
 
 
@@ -61,10 +66,10 @@ def stored(spark, tmp_path_factory):
 
 def test_build_keeps_day_and_snow_of_the_first_patch(spark):
     forcing, profile = raw(spark)
-    built = build_samples(forcing, profile, points(spark), 5, STORED_KEY)
+    built = build_samples(forcing, profile, points(spark), STORED_KEY)
     assert built.count() == 2 * 2 * 2 * 3 * 2
     row = built.where("point_id = 2").first()
-    assert row["dz"] == [0.2, 0.2, None, None, None]
+    assert row["dz"] == [0.2, 0.2]
     assert (row["n_layers"], row["swe"], row["surface_ssa"]) == (2, 10.0, 1.0)
     assert row["thickness"] == pytest.approx(0.4)
     assert -1 <= row["cos_sza"] <= 1
@@ -103,7 +108,7 @@ def test_stored_layout_and_catalog(spark, stored):
     assert by_geo == {g: ["1979_1980", "1980_1981"] for g in ("Alpes", "Pyrenees")}
     with pytest.raises(ValueError):
         samples.catalog(table, "planet")
-    assert samples.labels_of(spark.read.parquet(stored))["albedo"] == "snow albedo"
+    assert samples.labels_of(spark.read.parquet(f"{stored}/data"))["albedo"] == "snow albedo"
 
 
 def test_reading_one_season_checks_its_arguments(spark, stored):
@@ -113,25 +118,187 @@ def test_reading_one_season_checks_its_arguments(spark, stored):
             samples.read_season(spark, stored, geo, season)
 
 
+UNITS_AND_ZS = "geo string, season string, month int, zs double"
+
+
+def read_zs(spark, root):
+    schema = T.StructType.fromDDL(UNITS_AND_ZS)
+    return samples.read_samples(spark, root, schema)
+
+
 def test_rewriting_a_season_drops_its_stale_months_only(spark, tmp_path):
     root = str(tmp_path / "samples")
     rows = [("Alpes", s, m, m * 1.0) for s in ("1979_1980", "1980_1981") for m in (8, 9, 10)]
-    df = spark.createDataFrame(rows, "geo string, season string, month int, zs double")
+    df = spark.createDataFrame(rows, UNITS_AND_ZS)
     samples.write_samples(df, root)
+    before = read_zs(spark, root)
     samples.write_samples(df.where("season = '1979_1980' and month = 9").withColumn("zs", F.lit(0.0)), root)
-    left = {(r["season"], r["month"], r["zs"]) for r in spark.read.parquet(root).collect()}
+    left = {(r["season"], r["month"], r["zs"]) for r in read_zs(spark, root).collect()}
     assert left == {("1979_1980", 9, 0.0), *[("1980_1981", m, m * 1.0) for m in (8, 9, 10)]}
+    assert before.count() == 6, "a reader keeps the commits it started with"
 
 
-def test_folder_names_with_spaces_are_removed_too(spark, tmp_path):
+def test_folder_names_with_special_characters(spark, tmp_path):
     root = str(tmp_path / "samples")
-    df = spark.createDataFrame(
-        [("Massif Central", "1979_1980", m, 0.0) for m in (8, 9)],
-        "geo string, season string, month int, zs double",
-    )
+    names = ["Massif Central", "a=b/c", "50%", "Écrins:2 'x'"]
+    df = spark.createDataFrame([(g, "1979_1980", m, 1.0) for g in names for m in (8, 9)], UNITS_AND_ZS)
     samples.write_samples(df, root)
     samples.write_samples(df.where("month = 8"), root)
-    assert [r["month"] for r in spark.read.parquet(root).collect()] == [8]
+    assert sorted((r["geo"], r["month"]) for r in read_zs(spark, root).collect()) == sorted((g, 8) for g in names)
+    assert ledger.forget(spark, root) == 1
+    assert read_zs(spark, root).count() == 4
+    assert ledger.forget(spark, root) == 1 and read_zs(spark, root).count() == 4
+
+
+def test_two_writers_on_different_seasons_both_survive(spark, tmp_path):
+    root = str(tmp_path / "samples")
+    rows = [("Alpes", s, m, m * 1.0) for s in ("1979_1980", "1980_1981") for m in (8, 9)]
+    df = spark.createDataFrame(rows, UNITS_AND_ZS)
+    samples.write_samples(df, root)
+    # both start from the same ledger, and end in either order
+    version = ledger.next_version(spark, root)
+    writers = []
+    for season in ("1979_1980", "1980_1981"):
+        part = df.where((F.col("season") == season) & (F.col("month") == 8)).withColumn("zs", F.lit(-1.0))
+        commit = ledger.new_commit()
+        part.write.partitionBy("geo", "season", "month").parquet(ledger.commit_folder(root, commit))
+        writers.append((part, commit))
+    for part, commit in reversed(writers):
+        assert read_zs(spark, root).where("zs > 0").count() > 0, "nothing is visible before its ledger row"
+        ledger.append(ledger.summarise(part), root, version, commit)
+    assert {tuple(r) for r in read_zs(spark, root).collect()} == {
+        ("Alpes", s, 8, -1.0) for s in ("1979_1980", "1980_1981")
+    }
+
+
+def test_a_write_that_never_reached_the_ledger_is_not_seen(spark, tmp_path):
+    root = str(tmp_path / "samples")
+    df = spark.createDataFrame([("Alpes", "1979_1980", 8, 1.0)], UNITS_AND_ZS)
+    samples.write_samples(df, root)
+    df.withColumn("zs", F.lit(2.0)).write.partitionBy("geo", "season", "month").parquet(ledger.commit_folder(root, "lost"))
+    assert [r["zs"] for r in read_zs(spark, root).collect()] == [1.0]
+    with pytest.raises(FileNotFoundError):
+        samples.read_samples(spark, str(tmp_path / "nowhere"))
+    samples.write_samples(df.limit(0), str(tmp_path / "empty"))
+    assert read_zs(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_the_ledger_knows_its_units(spark, stored):
+    table, held = samples.read_samples(spark, stored), ledger.units(spark, stored)
+    by_unit = {tuple(r[c] for c in UNIT_COLS): r for r in held.collect()}
+    assert {k: r["n"] for k, r in by_unit.items()} == {tuple(r[c] for c in UNIT_COLS): r["n"] for r in samples.scan_units(table).collect()}
+    assert sorted(ledger.unit_sizes(held).collect()) == sorted(samples.scan_units(table).collect())
+    assert sorted(ledger.coverage(held).collect()) == sorted(time_coverage(table).collect())
+    for column in ("albedo", "surface_ssa", "zs", "n_layers"):
+        want = value_range(table.withColumn(column, F.col(column).cast("double")), column, ["geo"])
+        assert sorted(ledger.stored_range(held, column, ["geo"]).collect()) == sorted(want.collect())
+    assert ledger.deepest(held) == 2
+    digests = {k: r["digest"] for k, r in by_unit.items()}
+    for r in table.groupBy(*UNIT_COLS).agg(stores.content(table).alias("content")).collect():
+        assert digests[tuple(r[c] for c in UNIT_COLS)] == r["content"]
+
+
+def test_statistics_of_the_ledger_equal_a_scan(spark, stored, tmp_path):
+    path, table = str(tmp_path / "stats"), samples.read_samples(spark, stored)
+    with pytest.raises(ValueError, match="without twelve months"):
+        stores.refresh_stored_stats(spark, stored, path)
+    assert stores.refresh_stored_stats(spark, stored, path, complete=False) is True
+    assert stores.refresh_stored_stats(spark, stored, path, complete=False) is False
+    got = {r["variable"]: r for r in stores.load_stats(spark, path)[0].collect()}
+    for r in fit_stats(table).collect():
+        mine = got[r["variable"]]
+        assert mine["n"] == r["n"]
+        assert [mine["mean"], mine["std"]] == (pytest.approx([r["mean"], r["std"]], abs=1e-12) if r["n"] else [None, None])
+    plan = samples.catalog(ledger.units(spark, stored)).where("geo = 'Alpes'")
+    assert stores.refresh_stored_stats(spark, stored, path, plan, complete=False) is True
+    n = {r["variable"]: r["n"] for r in stores.load_stats(spark, path)[0].collect()}
+    assert n["albedo"] == table.where("geo = 'Alpes'").count()
+    norm = fit_stored_norm(spark, stored, plan.select("geo", "season").distinct().withColumn("split", F.lit("train")))
+    assert norm.mean["albedo"] == pytest.approx(0.8)
+
+
+def test_rewriting_equal_rows_does_not_refit(spark, stored, tmp_path):
+    root, path = str(tmp_path / "copy"), str(tmp_path / "stats")
+    table = samples.read_samples(spark, stored)
+    samples.write_samples(table, root)
+    assert stores.refresh_stored_stats(spark, root, path, complete=False) is True
+    samples.write_samples(table.where("season = '1979_1980'").repartition(5), root)
+    assert stores.refresh_stored_stats(spark, root, path, complete=False) is False
+    samples.write_samples(table.where("season = '1979_1980'").withColumn("albedo", F.lit(0.1)), root)
+    assert stores.refresh_stored_stats(spark, root, path, complete=False) is True
+
+
+def scans(df, root):
+    """Files of the table itself that a plan reads."""
+    return [f for f in df.inputFiles() if f"{root}/data" in f.replace("file://", "")]
+
+
+def test_catalogues_and_plans_read_the_ledger_only(spark, stored):
+    held = ledger.units(spark, stored)
+    for df in (
+        samples.catalog(held), samples.catalog(held, "season"), samples.catalog(held, "geo"), samples.describe_selection(held),
+        ledger.unit_sizes(held), ledger.coverage(held), ledger.stored_range(held, "albedo"), check_complete(samples.catalog(held)),
+        splits.train_test_split(samples.catalog(held), 0.5, 0.25, seed=1), splits.train_test_split(samples.catalog(held), 1, 1, seed=1),
+        splits.train_test_split(samples.catalog(held), {("Alpes", "1979_1980")}, {("Pyrenees", "1979_1980")}),
+    ):
+        assert df.count() >= 0 and not scans(df, stored)
+
+
+def test_one_season_lists_its_own_folder_only(spark, stored):
+    files = scans(samples.read_season(spark, stored, "Alpes", "1979_1980"), stored)
+    assert files and all("geo=Alpes/season=1979_1980" in f for f in files)
+
+
+def test_an_automatic_range_costs_no_scan(spark, stored):
+    table, held = samples.read_samples(spark, stored), ledger.units(spark, stored)
+    columns = ["albedo", "surface_ssa"]
+    known = histogram(table, columns, 10, ends=ledger.stored_spans(held, columns))
+    assert plan_of(known).count("FileScan") == 1
+    assert sorted(known.collect()) == sorted(histogram(table, columns, 10).collect())
+
+
+def feature_view(spark, root, path, norm, keys=("time", "point_id")):
+    built = stores.refresh_features(spark, root, path, norm, keys, 5)
+    return built, stores.read_features(spark, path, stores.feature_schema(keys))
+
+
+def test_only_changed_units_are_rebuilt(spark, stored, tmp_path):
+    root, path = str(tmp_path / "copy"), str(tmp_path / "features")
+    table = samples.read_samples(spark, stored)
+    samples.write_samples(table, root)
+    norm = Norm({v: 0.0 for v in STAT_VARS}, {v: 1.0 for v in STAT_VARS})
+    built, view = feature_view(spark, root, path, norm)
+    assert built == 8 and view.count() == table.count()
+    files = set(view.inputFiles())
+    assert feature_view(spark, root, path, norm)[0] == 0
+    # equal rows in a new commit: nothing to do
+    samples.write_samples(table.where("season = '1979_1980'"), root)
+    assert feature_view(spark, root, path, norm)[0] == 0
+    # one unit changes, another goes
+    changed = table.where("geo = 'Alpes' and season = '1980_1981' and month = 8").withColumn("albedo", F.lit(0.25))
+    samples.write_samples(changed, root)
+    built, view = feature_view(spark, root, path, norm)
+    assert built == 1
+    kept = {f for f in files if "geo=Alpes/season=1980_1981" not in f}
+    assert kept < set(view.inputFiles()) and len(set(view.inputFiles()) - files) >= 1
+    want = build_features(samples.read_samples(spark, root), norm, ("time", "point_id", *UNIT_COLS), 5)
+    order = ["geo", "season", "month", "time", "point_id"]
+    assert view.orderBy(*order).select(*want.columns).collect() == want.orderBy(*order).collect()
+    # another recipe rebuilds everything
+    assert feature_view(spark, root, path, Norm(norm.mean, {v: 2.0 for v in STAT_VARS}))[0] == 7
+
+
+def test_deep_profiles_are_stored_and_read(spark, tmp_path):
+    root = str(tmp_path / "deep")
+    forcing, profile = raw(spark)
+    stack = F.array(*[F.lit(0.01)] * 60)
+    built = build_samples(forcing, profile.withColumns({v: stack for v in LAYER_VARS}), points(spark), STORED_KEY)
+    samples.write_samples(to_sample_table(built), root)
+    held = ledger.units(spark, root)
+    assert ledger.deepest(held) == 60
+    assert {len(r["dz"]) for r in samples.read_samples(spark, root).select("dz").collect()} == {60}
+    n = {r["variable"]: r["n"] for r in fit_stats(samples.read_samples(spark, root)).collect()}
+    assert n["dz"] == 60 * n["albedo"]
 
 
 def test_log_shapes(spark, tmp_path):
@@ -161,16 +328,6 @@ def test_a_log_with_columns_in_another_order_is_an_error(spark, tmp_path):
         logs.read_log(spark, path).collect()
 
 
-def test_another_season_is_left_alone_while_one_is_written(spark, tmp_path):
-    root = str(tmp_path / "samples")
-    rows = [("Alpes", s, m, m * 1.0) for s in ("1979_1980", "1980_1981") for m in (8, 9)]
-    df = spark.createDataFrame(rows, "geo string, season string, month int, zs double")
-    samples.write_samples(df, root)
-    df.where("season = '1980_1981' and month = 8").write.mode("append").partitionBy("geo", "season", "month").parquet(root)
-    written = df.where("season = '1979_1980' and month = 8").select("geo", "season", "month")
-    assert [f.split("season=")[1] for f in samples._stale(spark, root, written)] == ["1979_1980/month=9"]
-
-
 def stored_raw(spark, tmp_path, forcing=None, profile=None):
     first, second = raw(spark)
     inputs.write_inputs(forcing or first, profile or second, str(tmp_path / "in"))
@@ -182,19 +339,19 @@ def test_ingest_needs_both_sides_of_a_season(spark, tmp_path):
     season = forcing.select("season").distinct().first()["season"]
     paths = stored_raw(spark, tmp_path, profile=profile.where(F.col("season") != season))
     with pytest.raises(FileNotFoundError, match=season):
-        ingest(spark, paths[0], points(spark), paths[1], 5)
+        ingest(spark, paths[0], points(spark), paths[1])
 
 
 def test_ingest_refuses_repeated_keys(spark, tmp_path):
     forcing, _ = raw(spark)
     paths = stored_raw(spark, tmp_path, forcing=forcing.union(forcing.limit(1)))
     with pytest.raises(ValueError, match="forcing rows repeat"):
-        ingest(spark, paths[0], points(spark), paths[1], 5)
+        ingest(spark, paths[0], points(spark), paths[1])
 
 
 def test_ingest_keeps_a_manifest(spark, tmp_path):
     paths = stored_raw(spark, tmp_path)
-    ingest(spark, paths[0], points(spark), paths[1], 5, run={"id": "a"})
+    ingest(spark, paths[0], points(spark), paths[1], run={"id": "a"})
     row = samples.read_manifest(spark, paths[1]).first()
     table = samples.read_samples(spark, paths[1])
     assert row["n"] == table.count() and row["run"] == {"id": "a"} and row["resolution"] > 0
@@ -221,7 +378,7 @@ def test_ingest_filters_reach_both_scans(spark, tmp_path):
     forcing, profile = raw(spark)
     inputs.write_inputs(forcing, profile, str(tmp_path))
     stored = inputs.read_inputs(spark, str(tmp_path), clean=False)
-    plan = plan_of(to_sample_table(build_samples(*stored, points(spark), 5, STORED_KEY)))
+    plan = plan_of(to_sample_table(build_samples(*stored, points(spark), STORED_KEY)))
     assert "GreaterThan(swe,0.0)" in plan and "EqualTo(patch,0)" in plan
     assert "Or(GreaterThan(direct_sw,0.0),GreaterThan(diffuse_sw,0.0))" in plan
     assert "imp_dry1" not in plan, "unused inputs are not read"
@@ -235,7 +392,7 @@ def test_bucketed_inputs_join_without_a_shuffle(spark, tmp_path):
         tables = ("bucketed.forcing", "bucketed.profile")
         inputs.write_bucketed_inputs(*raw(spark), tables, 4)
         with co_partitioned(spark):
-            built = build_samples(*[spark.table(t) for t in tables], F.broadcast(points(spark)), 5, STORED_KEY)
+            built = build_samples(*[spark.table(t) for t in tables], F.broadcast(points(spark)), STORED_KEY)
             plan = plan_of(built)
             assert "SortMergeJoin" in plan and "Exchange hashpartitioning" not in plan
             assert built.count() == 2 * 2 * 2 * 3 * 2
@@ -247,7 +404,7 @@ def test_bucketed_inputs_join_without_a_shuffle(spark, tmp_path):
 
 
 def test_statistics_take_one_shuffle_and_one_scan(spark, stored):
-    plan = plan_of(fit_stats(samples.read_samples(spark, stored), layers=5))
+    plan = plan_of(fit_stats(samples.read_samples(spark, stored)))
     assert plan.count("Exchange") == 1 and plan.count("FileScan") == 1
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
@@ -270,7 +427,7 @@ def test_a_unit_that_dominates_becomes_many_files(spark, tmp_path):
         samples.write_samples(df, root)
     finally:
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
-    stored = spark.read.parquet(root)
+    stored = samples.read_samples(spark, root, df.schema)
     files = [f for f in stored.inputFiles() if "month=8/" in f]
     assert len(files) >= 4, "the hot unit was written by several tasks"
     assert stored.count() == 200_000

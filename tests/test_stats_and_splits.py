@@ -37,7 +37,7 @@ def by_variable(df, column):
 
 def test_pooled_statistics_match_numpy(spark):
     df = make(spark)
-    fitted = stats.fit_stats(df, layers=4)
+    fitted = stats.fit_stats(df)
     mean, std, n = (by_variable(fitted, c) for c in ("mean", "std", "n"))
     pdf = df.toPandas()
     for v in LAYER_VARS:
@@ -52,8 +52,8 @@ def test_pooled_statistics_match_numpy(spark):
 
 def test_merged_partials_equal_one_pass(spark):
     df = make(spark, seed=1)
-    whole = stats.fit_stats(df, layers=4)
-    merged = stats.finish_stats(stats.merge_stats(stats.partial_stats(df, layers=4)))
+    whole = stats.fit_stats(df)
+    merged = stats.finish_stats(stats.merge_stats(stats.partial_stats(df)))
     for column in ("n", "mean", "std"):
         a, b = by_variable(whole, column), by_variable(merged, column)
         assert a.keys() == b.keys() == set(STAT_VARS)
@@ -63,7 +63,7 @@ def test_merged_partials_equal_one_pass(spark):
 
 def test_variable_without_values_has_null_statistics(spark):
     df = make(spark, 20).withColumn("dz", F.transform("dz", lambda x: F.lit(None).cast("double")))
-    row = stats.fit_stats(df, layers=4).where("variable = 'dz'").first()
+    row = stats.fit_stats(df).where("variable = 'dz'").first()
     assert (row["n"], row["mean"], row["std"]) == (0, None, None)
 
 
@@ -179,16 +179,16 @@ def test_refresh_reuses_stored_partials(spark, tmp_path):
     path = str(tmp_path / "stats")
     df = make(spark, 400, seed=2)
     part = df.where("season = '1979_1980'")
-    assert stores.refresh_stats(part, path, 4) is True
-    assert stores.refresh_stats(part, path, 4) is False
-    assert stores.refresh_stats(df, path, 4) is True
+    assert stores.refresh_stats(part, path) is True
+    assert stores.refresh_stats(part, path) is False
+    assert stores.refresh_stats(df, path) is True
     fitted, inputs = stores.load_stats(spark, path)
-    want = by_variable(stats.fit_stats(df, layers=4), "std")
+    want = by_variable(stats.fit_stats(df), "std")
     for v, value in by_variable(fitted, "std").items():
         assert value == pytest.approx(want[v], rel=1e-9)
     assert {r["season"] for r in inputs.collect()} == {"1979_1980", "1980_1981", "1981_1982"}
     # Back to the smaller selection: nothing is scanned, the result shrinks again.
-    assert stores.refresh_stats(part, path, 4) is True
+    assert stores.refresh_stats(part, path) is True
     n = by_variable(stores.load_stats(spark, path)[0], "n")
     assert n["albedo"] == part.count()
 
@@ -196,26 +196,26 @@ def test_refresh_reuses_stored_partials(spark, tmp_path):
 def test_refresh_notices_a_group_that_grew(spark, tmp_path):
     path = str(tmp_path / "stats")
     df = make(spark, 100, seed=3)
-    stores.refresh_stats(df.where("point_id >= 40"), path, 4)
-    assert stores.refresh_stats(df, path, 4) is True
+    stores.refresh_stats(df.where("point_id >= 40"), path)
+    assert stores.refresh_stats(df, path) is True
     assert by_variable(stores.load_stats(spark, path)[0], "n")["albedo"] == 100
 
 
 def test_refresh_notices_new_values_in_as_many_rows(spark, tmp_path):
     path = str(tmp_path / "stats")
     df = make(spark, 100, seed=3)
-    stores.refresh_stats(df, path, 4)
-    assert stores.refresh_stats(df.repartition(7), path, 4) is False
+    stores.refresh_stats(df, path)
+    assert stores.refresh_stats(df.repartition(7), path) is False
     changed = df.withColumn("albedo", F.col("albedo") / 2)
-    assert stores.refresh_stats(changed, path, 4) is True
-    want = by_variable(stats.fit_stats(changed, layers=4), "mean")["albedo"]
+    assert stores.refresh_stats(changed, path) is True
+    want = by_variable(stats.fit_stats(changed), "mean")["albedo"]
     assert by_variable(stores.load_stats(spark, path)[0], "mean")["albedo"] == pytest.approx(want)
 
 
 def test_feature_cache_follows_keys_and_content(spark, tmp_path):
     path = str(tmp_path / "features")
     df = make(spark, 60, seed=5)
-    norm = stats.Norm.from_stats(stats.fit_stats(df, layers=4))
+    norm = stats.Norm.from_stats(stats.fit_stats(df))
     assert "point_id" in stores.cached_features(df, norm, path, ("point_id",), 4).columns
     assert "geo" in stores.cached_features(df, norm, path, ("geo", "point_id"), 4).columns
     halved = df.withColumn("albedo", F.col("albedo") / 2)
@@ -224,7 +224,7 @@ def test_feature_cache_follows_keys_and_content(spark, tmp_path):
 
 
 def test_published_layout_of_statistics(spark):
-    fitted = stats.fit_stats(make(spark, 80, seed=6), layers=4)
+    fitted = stats.fit_stats(make(spark, 80, seed=6))
     wide = stats.stats_to_wide(fitted)
     assert wide.columns == ["statistic", *STAT_VARS] and wide.count() == 2
     assert stats.Norm.from_wide(wide) == stats.Norm.from_stats(stats.stats_from_wide(wide))
@@ -236,7 +236,7 @@ def test_published_layout_of_statistics(spark):
 def test_feature_cache_is_rebuilt_when_its_inputs_change(spark, tmp_path):
     path = str(tmp_path / "features")
     df = make(spark, 120, seed=4)
-    norm = stats.Norm.from_stats(stats.fit_stats(df, layers=4))
+    norm = stats.Norm.from_stats(stats.fit_stats(df))
     keys = ("point_id",)
     assert stores.cached_features(df.where("month <> 8"), norm, path, keys, 4).count() < 120
     assert stores.cached_features(df, norm, path, keys, 4).count() == 120
