@@ -284,6 +284,8 @@ def _met_in_blocks(rows: DataFrame) -> DataFrame:
         .select(
             "hub", F.least("block", "meets").alias("low"), F.greatest("block", "meets").alias("high"), "block", "id", "component", "n", "registers", "hashes"
         )
+        # the joins leave a hub's rows together; each pair of blocks may go anywhere
+        .repartition("hub", "low", "high")
     )
     return blocked.groupBy("hub", "low", "high").applyInArrow(run, "a long, b long").distinct()
 

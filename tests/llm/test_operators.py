@@ -542,6 +542,13 @@ def test_blocks_of_a_crowded_bucket(spark, monkeypatch):
     assert {k: r["component_id"] for k, r in got.items()} == {k: c for k, (_, c) in plain_components(rows, 4).items()}
 
 
+def test_block_pairs_of_a_hub_are_spread(spark):
+    rows = spark.createDataFrame([], "hub long, id long, component long, n long, registers binary, hashes binary")
+    plan = near_dedup._met_in_blocks(rows)._jdf.queryExecution().executedPlan().toString()
+    before = plan[plan.index("FlatMapGroupsInArrow") :]
+    assert "hashpartitioning(hub" in before and "low" in before[before.index("hashpartitioning(hub") :].split(")")[0]
+
+
 def test_sketches_estimate_and_merge():
     rng = np.random.default_rng(4)
     pool = rng.integers(0, 2**63, 3000).astype(np.uint64)
