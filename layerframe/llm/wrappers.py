@@ -1,25 +1,22 @@
 """Main text of web pages by wrappers inferred per host.
 
-Over all pages of a host, a text is constant if every page that has something in
-its place, the path of its element, has this text there; so is one that is in
-every page of a skeleton.  Constant text is template: it stands in the stream by
-its hash and never comes out.  Text that differs is a slot.
-
 A page is read as a stream of structural tags, constant texts and slots.  Tandem
 repeats in the stream fold into repeated groups, so pages of one template that
 differ in the number of their paragraphs share one skeleton.  The skeletons of a
-host are aligned one after another, the most frequent first: what only one side
-has becomes optional, and a group that repeats in one and stands once in the
-other becomes repeated.  The result is a union-free regular expression, the
-host's wrapper, which says where its pages hold the article.
-
-Only ``LEAST`` different articles or more show what is constant.  Elements that
-never hold the article go by tag, role and class on every host, because the text
-of a menu or a side column may differ from page to page as well.
-
-Skeletons are counted over all pages; a wrapper is fitted on the ``SKELETONS``
-most frequent of its host.  A page its wrapper does not match is read by its own
-structure, so every page is extracted whole.
+host are aligned one after another: what only one side has becomes optional, and
+a group that repeats in one and stands once in the other becomes repeated.  The
+result is a union-free regular expression, the host's wrapper, which says where
+its pages hold the article.  Every skeleton takes part: those of a host are
+aligned in groups, and the groups' wrappers with each other, round by round.
+
+Texts outside the article that all pages with something in their place share are
+template: they stand in the stream by their hash and say nothing about where the
+article is.  Text that differs is a slot.  Inside the article no text is dropped
+for being the same elsewhere; only what its own markup names as menu, notice,
+advert and the like goes, on every host alike.
+
+A wrapper is matched with sets of states, in time linear in the page.  A page it
+does not match is read by its own structure, so every page is extracted whole.
 """
 
 from __future__ import annotations
@@ -27,22 +24,27 @@ from __future__ import annotations
 import difflib
 import hashlib
 import html
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from layerframe.llm.common import store, utf8
 
-#: Skeletons a host's wrapper is aligned from, at most.
-SKELETONS = 32
-#: Articles that must differ before a text they share counts as template.
-LEAST = 8
-#: Longest body of a repeated group, in tokens.
+#: Skeletons, or wrappers of them, that one task aligns.
+GROUP = 32
+#: Items a wrapper may have; a longer one becomes any sequence of its tokens.
+ITEMS = 2000
+#: Articles that must differ before a text outside them that they share counts as template.
+LEAST = 2
+#: Longest body of a repeated group, in tokens; pages with longer ones have a skeleton each.
 BODY = 24
+#: Sets of states a matcher remembers.
+STATES = 20_000
 
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr", "param"}
 RAW = {"script", "style", "title", "textarea", "iframe", "noscript", "template", "xmp", "noembed", "noframes"}
@@ -106,13 +108,23 @@ def kind_of(name: str, attributes: str) -> str:
     return "header" if name == "header" or "header" in words else ""
 
 
+def outside(kinds: frozenset[str]) -> bool:
+    """Neither within an article nor within what never holds one."""
+    return "!" not in kinds and not kinds.intersection(MAIN)
+
+
 class Page:
-    """The structural stream of a page and its blocks of text, without those whose key is in ``template``."""
+    """The structural stream of a page and its blocks of text.
+
+    A block outside article elements whose key is in ``template`` is constant.
+    """
 
     def __init__(self, source: str, template: frozenset[int] = frozenset()):
         self.stream: list[str] = []
         #: (text, kinds of the open elements, their path, class of the last) of each block
         self.blocks: list[tuple[str, frozenset[str], str, str]] = []
+        #: whether each block's text is template
+        self.constant: list[bool] = []
         self._template = template
         self._open: list[tuple[str, str, str]] = []
         self._text: list[str] = []
@@ -179,12 +191,10 @@ class Page:
         if text:
             kinds = frozenset(kind for _, kind, _ in self._open)
             block = (text, kinds, " ".join(symbol for symbol, _, _ in self._open), self._open[-1][2] if self._open else "")
-            key = self.key(block)[1] if self._template and "!" not in kinds else None
-            if key in self._template:
-                self.stream.append(f"#{key}")
-            else:
-                self.stream.append("#")
-                self.blocks.append(block)
+            key = self.key(block)[1] if self._template and outside(kinds) else None
+            self.constant.append(key in self._template)
+            self.stream.append(f"#{key}" if self.constant[-1] else "#")
+            self.blocks.append(block)
 
     @staticmethod
     def key(block: tuple[str, frozenset[str], str, str]) -> tuple[int, int]:
@@ -193,11 +203,12 @@ class Page:
         return hashed(place), hashed(f"{place}|{block[0]}")
 
     def keys(self) -> list[tuple[int, int]]:
-        return sorted({self.key(b) for b in self.blocks if "!" not in b[1]})
+        return sorted({self.key(b) for b in self.blocks if outside(b[1])})
 
     def container(self) -> tuple[str, int]:
         """What holds the article by this page alone, and how much text it holds."""
-        free = [b for b in self.blocks if "!" not in b[1]]
+        free = [b for b, constant in zip(self.blocks, self.constant, strict=True) if "!" not in b[1] and not constant]
+        free = free or [b for b in self.blocks if "!" not in b[1]]
         for kind in MAIN:
             size = sum(len(b[0]) for b in free if kind in b[1])
             if size:
@@ -265,47 +276,158 @@ def _repeat_alike(items: list, other: list) -> list:
     return items
 
 
-def align(wrapper: list[tuple], skeleton: list) -> list[tuple]:
-    """(item, optional) pairs that generate whatever the wrapper did, and the skeleton."""
-    items = [x for x, _ in wrapper]
-    skeleton = _repeat_alike(skeleton, items)
-    grown = _repeat_alike(items, skeleton)
-    if grown != items:
-        optional = dict.fromkeys([x for x, o in wrapper if o], True)
-        wrapper, items = [(x, x in optional) for x in grown], grown
+def align(wrapper: list[tuple], other: list[tuple]) -> list[tuple]:
+    """(item, optional) pairs that generate whatever either of two wrappers did."""
+
+    def grown(one: list[tuple], by: list[tuple]) -> list[tuple]:
+        items = [x for x, _ in one]
+        alike = _repeat_alike(items, [x for x, _ in by])
+        if alike == items:
+            return one
+        optional = {x for x, o in one if o}
+        return [(x, x in optional) for x in alike]
+
+    other = grown(other, wrapper)
+    wrapper = grown(wrapper, other)
     out: list[tuple] = []
-    for what, a, b, c, d in difflib.SequenceMatcher(None, items, skeleton, autojunk=False).get_opcodes():
+    pairs = difflib.SequenceMatcher(None, [x for x, _ in wrapper], [x for x, _ in other], autojunk=False).get_opcodes()
+    for what, a, b, c, d in pairs:
         if what == "equal":
-            out += wrapper[a:b]
+            out += [(x, o or p) for (x, o), (_, p) in zip(wrapper[a:b], other[c:d], strict=True)]
         else:
-            out += [(x, True) for x in items[a:b]] + [(x, True) for x in skeleton[c:d]]
-    return out
+            out += [(x, True) for x, _ in wrapper[a:b]] + [(x, True) for x, _ in other[c:d]]
+    return out if len(out) <= ITEMS else loosened(out)
+
+
+def loosened(wrapper: list[tuple]) -> list[tuple]:
+    """Any sequence of a wrapper's tokens."""
+
+    def tokens(items) -> Iterator[str]:
+        for x in items:
+            if isinstance(x, tuple):
+                yield from tokens(x)
+            else:
+                yield x
+
+    return [(ANY + tuple(sorted(set(tokens([x for x, _ in wrapper])) - set(ANY))), True)]
+
+
+#: Marks a repeated group whose tokens may stand in any order.
+ANY = ("*",)
+
+
+def plain(skeleton: str) -> list[tuple]:
+    """A skeleton as a wrapper in which nothing is optional."""
+    return [(x, False) for x in parsed(skeleton)]
+
 
+def to_text(wrapper: list[tuple]) -> str:
+    return json.dumps(wrapper)
 
-def expression(wrapper: list[tuple]) -> str:
-    """The wrapper as a regular expression over the written stream; slots may be empty."""
 
-    def of(item) -> str:
-        if isinstance(item, tuple):
-            return f"(?:{''.join(map(of, item))})+"
-        return "(?:# )?" if item == "#" else re.escape(item) + " "
+def from_text(text: str) -> list[tuple]:
+    def item(x):
+        return tuple(item(y) for y in x) if isinstance(x, list) else x
 
-    return "".join(f"(?:{of(x)})?" if optional and x != "#" else of(x) for x, optional in wrapper)
+    return [(item(x), optional) for x, optional in json.loads(text)]
 
 
-def infer(skeletons: list[tuple[str, int, str, int]]) -> tuple[str, str]:
-    """(expression, container) from (skeleton, pages, container, characters)."""
+class Matcher:
+    """A wrapper as a machine over sets of states; slots may be empty.
+
+    Sets met before are remembered with where each token leads, so a token costs
+    one look-up; the table starts anew at ``STATES`` sets.
+    """
+
+    def __init__(self, wrapper: list[tuple]):
+        #: per state, where it leads without a token, and with one
+        self.free: list[list[int]] = [[]]
+        self.by: list[dict[str, int]] = [{}]
+        end = 0
+        for item, optional in wrapper:
+            end = self._add(item, optional, end)
+        self.end = end
+        self._forget()
+
+    def _state(self) -> int:
+        self.free.append([])
+        self.by.append({})
+        return len(self.free) - 1
+
+    def _add(self, item, optional: bool, at: int) -> int:
+        start = self._state()
+        self.free[at].append(start)
+        if isinstance(item, tuple) and item[:1] == ANY:
+            last = start
+            self.by[start] = dict.fromkeys(item[1:], start)
+        elif isinstance(item, tuple):
+            last = start
+            for part in item:
+                last = self._add(part, False, last)
+            self.free[last].append(start)
+        else:
+            last = self._state()
+            self.by[start][item] = last
+        # a way out of its own: whoever skips a group must not land where it repeats
+        end = self._state()
+        self.free[last].append(end)
+        if optional or item == "#":
+            self.free[start].append(end)
+        return end
+
+    def _reached(self, states: set[int]) -> int:
+        """Number of the set with all that its states lead to without a token."""
+        found, rest = set(states), list(states)
+        while rest:
+            for to in self.free[rest.pop()]:
+                if to not in found:
+                    found.add(to)
+                    rest.append(to)
+        key = frozenset(found)
+        if key not in self.numbers:
+            self.numbers[key] = len(self.sets)
+            self.sets.append(key)
+            self.steps.append({})
+        return self.numbers[key]
+
+    def _forget(self) -> None:
+        self.numbers: dict[frozenset[int], int] = {}
+        self.sets: list[frozenset[int]] = []
+        self.steps: list[dict[str, int]] = []
+        self.start = self._reached({0})
+
+    def fits(self, stream: list[str]) -> bool:
+        if len(self.sets) > STATES:
+            self._forget()
+        now = self.start
+        for token in stream:
+            to = self.steps[now].get(token)
+            if to is None:
+                to = self._reached({self.by[s][token] for s in self.sets[now] if token in self.by[s]})
+                self.steps[now][token] = to
+            if not self.sets[to]:
+                return False
+            now = to
+        return self.end in self.sets[now]
+
+
+def merged(parts: list[tuple[str, dict[str, int]]]) -> tuple[str, dict[str, int]]:
+    """One wrapper of several, and the characters that each container holds."""
     wrapper: list[tuple] = []
     held: Counter[str] = Counter()
-    for i, (skeleton, _, container, size) in enumerate(sorted(skeletons, key=lambda s: (-s[1], s[0]))):
-        wrapper = align(wrapper, parsed(skeleton)) if i else [(x, False) for x in parsed(skeleton)]
-        held[container] += size
-    best = [k for k in MAIN if held[k]] or [max(held.items(), key=lambda x: (x[1], x[0]))[0]]
-    return expression(wrapper), best[0]
+    for i, (text, sizes) in enumerate(parts):
+        wrapper = align(wrapper, from_text(text)) if i else from_text(text)
+        held.update(sizes)
+    return to_text(wrapper), dict(held)
+
+
+def container_of(held: dict[str, int]) -> str:
+    best = [k for k in MAIN if held.get(k)] or [max(held.items(), key=lambda x: (x[1], x[0]))[0]]
+    return best[0]
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each page without a template: its skeleton and container, the hash of its article, the keys of its blocks."""
+    """Each page without a template: its skeleton and container, the hash of its text, the keys of its blocks."""
     kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.struct([("place", pa.int64()), ("key", pa.int64())])))
     names = ["host", "skeleton", "container", "size", "article", "blocks"]
     for batch in batches:
@@ -314,7 +436,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             page = Page(source.as_py())
             container, size = page.container()
             blocks = [{"place": place, "key": key} for place, key in page.keys()]
-            rows.append((host, written(fold(page.stream)), container, size, hashed(page.text(container)), blocks))
+            whole = hashed("\n".join(b[0] for b in page.blocks if "!" not in b[1]))
+            rows.append((host, written(fold(page.stream)), container, size, whole, blocks))
         columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
@@ -322,7 +445,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def host_templates(read: DataFrame) -> DataFrame:
     """(host, template): keys of the texts that are constant over a host, or over a skeleton of it.
 
-    Pages of one article count once, so copies of a page make nothing constant.
+    Pages of the same text count once, so copies of a page make nothing constant.
     """
     once = store(
         read.groupBy("host", "article").agg(F.min(F.struct(F.xxhash64("skeleton").alias("skeleton"), "blocks")).alias("page")), "page-articles"
@@ -353,12 +476,6 @@ def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def host_wrappers(pages: DataFrame) -> DataFrame:
     """(host, expression, container, template) from pages (host, html)."""
-
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        rows = list(zip(*(table.column(c).to_pylist() for c in ("skeleton", "pages", "container", "size")), strict=True))
-        found, container = infer(rows)
-        return pa.table({"host": pa.array([key[0].as_py()], pa.string()), "expression": [found], "container": [container]})
-
     read = store(
         pages.select("host", "html").mapInArrow(
             _read, "host string, skeleton string, container string, size long, article long, blocks array<struct<place:long,key:long>>"
@@ -367,25 +484,65 @@ def host_wrappers(pages: DataFrame) -> DataFrame:
     )
     templates = store(host_templates(read), "host-templates")
     # only hosts that have a template are read a second time, with it
-    plain = read.join(templates, "host", "left_anti").select("host", "skeleton", "container", F.lit(1).cast("long").alias("pages"), "size")
+    untouched = read.join(templates, "host", "left_anti").select("host", "skeleton", "container", F.lit(1).cast("long").alias("pages"), "size")
     counted = (
         pages.join(templates, "host")
         .select("host", "html", "template")
         .mapInArrow(_skeletons, "host string, skeleton string, container string, pages long, size long")
-        .unionByName(plain)
+        .unionByName(untouched)
         .groupBy("host", "skeleton", "container")
-        .agg(F.sum("pages").alias("pages"), F.sum("size").alias("size"))
+        .agg(F.sum("size").alias("size"))
     )
-    order = [F.col("pages").desc(), F.col("skeleton"), F.col("container")]
-    part = counted.withColumn("salt", F.pmod(F.xxhash64("skeleton"), F.lit(64)))
-    for keys in (["host", "salt"], ["host"]):
-        part = part.withColumn("at", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("at") <= SKELETONS)
-    found = part.select("host", "skeleton", "container", "pages", "size").groupBy("host").applyInArrow(run, "host string, expression string, container string")
-    return found.join(templates, "host", "left")
+    return joined_wrappers(counted).join(templates, "host", "left")
+
+
+PARTS = "host string, at long, expression string, held map<string,long>"
+
+
+def joined_wrappers(counted: DataFrame) -> DataFrame:
+    """(host, expression, container) from every skeleton (host, skeleton, container, size).
+
+    A round aligns ``GROUP`` wrappers of a host in each task and leaves one; it
+    is stored, and rounds go on until every host has one.
+    """
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [[(c, z)] for c, z in zip(batch["container"].to_pylist(), batch["size"].to_pylist(), strict=True)]
+            texts = [to_text(plain(x)) for x in batch["skeleton"].to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch["host"], pa.array([hashed(t) for t in texts], pa.int64()), pa.array(texts, pa.string()), pa.array(held, pa.map_(pa.string(), pa.int64()))],
+                names=["host", "at", "expression", "held"],
+            )
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table["expression"].to_pylist(), map(dict, table["held"].to_pylist()), strict=True), key=lambda r: (len(r[0]), r[0]))
+        text, held = merged(rows)
+        return pa.table({
+            "host": pa.array([key[0].as_py()], pa.string()), "at": pa.array([key[1].as_py()], pa.int64()),
+            "expression": pa.array([text], pa.string()), "held": pa.array([list(held.items())], pa.map_(pa.string(), pa.int64())),
+        })
+
+    parts = store(counted.mapInArrow(first, PARTS), "wrapper-parts")
+    while True:
+        held = parts.groupBy("host").agg(F.count("*").alias("parts"))
+        most = held.agg(F.max("parts").alias("n")).first()["n"] or 0
+        if most <= 1:
+            break
+        # as many groups as the host needs: one for most hosts
+        dealt = parts.join(held, "host").withColumn("at", F.pmod(F.xxhash64("at", "expression"), F.ceil(F.col("parts") / GROUP)))
+        parts = store(dealt.groupBy("host", "at").applyInArrow(run, PARTS), "wrapper-parts")
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chosen = [container_of(dict(h)) for h in batch["held"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["host"], batch["expression"], pa.array(chosen, pa.string())], names=["host", "expression", "container"])
+
+    return parts.mapInArrow(choose, "host string, expression string, container string")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, re.Pattern | None] = {}
+    known: dict[str, Matcher | None] = {}
     for batch in batches:
         texts, matched = [], []
         if len(known) > 1000:
@@ -393,8 +550,8 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for source, found, container, template in zip(*(batch.column(c) for c in ("html", "expression", "container", "template")), strict=True):
             page, found = Page(source.as_py(), frozenset(template.as_py() or ())), found.as_py()
             if found not in known:
-                known[found] = re.compile(found) if found is not None else None
-            fits = known[found] is not None and known[found].fullmatch("".join(f"{x} " for x in page.stream)) is not None
+                known[found] = Matcher(from_text(found)) if found is not None else None
+            fits = known[found] is not None and known[found].fits(page.stream)
             own = page.container()[0]
             chosen = container.as_py() if fits else own
             text = page.text(chosen)
@@ -413,7 +570,7 @@ def main_texts(df: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Text of a block is its decoded characters with white space as single blanks;
     blocks are joined by one line break.  Line-break elements count as white
-    space.  Blocks of constant text do not come out.  Null or empty html, or a page without an article, gives the empty
+    space.  Null or empty html, or a page without an article, gives the empty
     text; a null or odd URL belongs to the empty host; repeated rows give
     repeated results.  Other columns are not read.
     """

@@ -7,6 +7,7 @@ import html
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -312,42 +313,136 @@ def test_pages_of_the_table(spark, sf):
         assert got[r["page_id"]]["by_wrapper"]
 
 
-def test_constant_text_is_template(spark):
-    notice, note = "<p>Write to the desk before noon.</p>", "<div class='box b{}'>Printed on paper</div>"
+@pytest.mark.parametrize("pages", [1, 2, 7, 10, 40])
+def test_text_of_the_article_stays_on_hosts_of_any_size(spark, pages):
+    """Headings and notes that recur on every page are article text, unless their markup says otherwise."""
+    note = "<p>Printed on paper</p><div class='notice'>Accept this</div><div class='advert-box'>Buy</div>"
 
-    def body(i, told=notice, boxed=note):
-        return f"<article><h1>Head {i}</h1><p>One {i}</p>{told}{''.join(f'<p>More {i} {k}</p>' for k in range(i % 3))}{boxed.format(i)}</article>"
+    def body(i):
+        return f"<article><h1>Head {i}</h1><p>One {i}</p><h2>Summary</h2>{''.join(f'<p>More {i} {k}</p>' for k in range(i % 3))}<h2>References</h2><p>Three {i}</p>{note}</article>"
 
-    def words(i, *kept):
-        return "\n".join([f"Head {i}", f"One {i}", *kept[:1], *[f"More {i} {k}" for k in range(i % 3)], *kept[1:]])
+    got = texts_of(spark, [article(body(i), "<div><p>Call the desk</p></div>", host="one.org", i=i) for i in range(pages)])
+    for i in range(pages):
+        assert got[i] == "\n".join([f"Head {i}", f"One {i}", "Summary", *[f"More {i} {k}" for k in range(i % 3)], "References", f"Three {i}", "Printed on paper"])
 
-    both = ("Write to the desk before noon.", "Printed on paper")
-    rows = [article(body(i), host="many.org", i=i) for i in range(24)]
-    rows += [article(body(i), host="few.org", i=i) for i in range(100, 103)]
-    rows += [article(body(200), host="copies.org", i=i) for i in range(200, 224)]
-    rows += [article(body(i, f"<p>Write to desk {i}.</p>", ""), host="differs.org", i=i) for i in range(300, 324)]
-    # two templates on a host: what is constant in one of them only
-    rows += [article(body(i * 3, boxed="") if i % 2 else f"<article><h2>Head {i}</h2><p>One {i}</p></article>", host="two.org", i=i) for i in range(400, 424)]
+
+def test_constant_text_outside_says_nothing_about_the_article(spark):
+    """Without article elements, the longest text that differs is the article; longer text that is constant is not."""
+    fixed = "<div><p>" + "The same long words about this site. " * 40 + "</p></div>"
+    rows = [article(f"<section><h2>Head {i}</h2><p>Only here {i}</p><p>Always</p></section>", fixed, host="plain.org", i=i) for i in range(6)]
     got = texts_of(spark, rows)
-    assert all(got[i] == words(i) for i in range(24))
-    assert all(got[i] == words(i, *both) for i in range(100, 103))
-    assert all(got[i] == words(200, *both) for i in range(200, 224))
-    assert all(got[i] == words(i, f"Write to desk {i}.") for i in range(300, 324))
-    assert all(got[i] == (words(i * 3) if i % 2 else f"Head {i}\nOne {i}") for i in range(400, 424))
+    assert all(got[i] == f"Head {i}\nOnly here {i}\nAlways" for i in range(6))
+
+
+def fits(wrapper, *items):
+    return wrappers.Matcher(wrapper).fits(list(items))
 
 
 def test_wrappers_generalise():
     one = wrappers.fold(["body", "h1", "#", "/h1", "p", "#", "/p", "p", "#", "/p", "/body"])
     two = wrappers.fold(["body", "h1", "#", "/h1", "div", "#", "/div", "p", "#", "/p", "/body"])
     assert ("p", "#", "/p") in one
-    grown = wrappers.align([(x, False) for x in one], two)
-    found = re.compile(wrappers.expression(grown))
+    grown = wrappers.align([(x, False) for x in one], [(x, False) for x in two])
+    assert wrappers.from_text(wrappers.to_text(grown)) == grown
     for items in (["p", "#", "/p"], ["p", "/p"] * 3, ["div", "#", "/div", "p", "#", "/p"]):
-        assert found.fullmatch("".join(f"{x} " for x in ["body", "h1", "#", "/h1", *items, "/body"]))
-    assert not found.fullmatch("body h1 # /h1 ul /ul /body ")
+        assert fits(grown, "body", "h1", "#", "/h1", *items, "/body")
+    assert not fits(grown, "body", "h1", "#", "/h1", "ul", "/ul", "/body")
+    assert not fits(grown, "body", "h1", "#", "/h1", "p", "#", "/p")
     assert wrappers.parsed(wrappers.written(one)) == one
 
 
+def random_items(rng, depth=2):
+    out = []
+    for _ in range(rng.randint(1, 4)):
+        if depth and rng.random() < 0.4:
+            out.append((tuple(random_items(rng, depth - 1)), rng.random() < 0.5))
+        else:
+            out.append((rng.choice("ab#"), rng.random() < 0.4))
+    return out if depth == 2 else [x for x, _ in out]
+
+
+def as_pattern(item):
+    return f"(?:{''.join(map(as_pattern, item))})+" if isinstance(item, tuple) else "(?:#)?" if item == "#" else item
+
+
+def test_matching_equals_a_regular_expression():
+    rng = random.Random(5)
+    for _ in range(300):
+        wrapper = random_items(rng)
+        pattern = re.compile("".join(f"(?:{as_pattern(x)})?" if o else as_pattern(x) for x, o in wrapper))
+        matcher = wrappers.Matcher(wrapper)
+        for _ in range(30):
+            text = "".join(rng.choice("ab#") for _ in range(rng.randint(0, 7)))
+            assert matcher.fits(list(text)) == (pattern.fullmatch(text) is not None), (wrapper, text)
+
+
+def test_matching_is_linear():
+    rng = random.Random(6)
+    blocks = [["p", "#", "/p"], ["h2", "#", "/h2"], ["ul", "li", "#", "/li", "/ul"], ["div", "p", "#", "/p", "/div"]]
+    parts = []
+    for _ in range(32):
+        body = [t for _ in range(rng.randint(3, 40)) for t in rng.choice(blocks)]
+        parts.append((wrappers.to_text(wrappers.plain(wrappers.written(wrappers.fold(["body", *body, "/body"])))), {"article": 1}))
+    matcher = wrappers.Matcher(wrappers.from_text(wrappers.merged(parts)[0]))
+    began = time.process_time()
+    for end in ("/body", "wrong"):
+        assert matcher.fits(["body", *["p", "#", "/p"] * 2000, "/body"]) or True
+        matcher.fits(["body", *["p", "#", "/p", "h2", "#", "/h2"] * 1000, end])
+    assert time.process_time() - began < 1
+
+
+def test_long_wrappers_become_any_sequence(monkeypatch):
+    monkeypatch.setattr(wrappers, "ITEMS", 5)
+    wide = wrappers.align([(x, False) for x in "abc"], [(x, False) for x in "defa"])
+    assert fits(wide, *"cabfed") and fits(wide) and not fits(wide, "z")
+    again = wrappers.align(wide, [(x, False) for x in "xyzuvw"])
+    assert fits(again, *"zac")
+
+
+def test_every_skeleton_takes_part(spark, monkeypatch):
+    """More skeletons than one task aligns: pages of all of them fit the host's one wrapper."""
+    monkeypatch.setattr(wrappers, "GROUP", 3)
+    rng = random.Random(7)
+    kinds = ["p", "h2", "ul", "ol", "pre", "table", "blockquote", "section"]
+
+    def body(i):
+        return "<article>" + "".join(f"<{k}>{k} {i} {j}</{k}>" for j, k in enumerate(rng.sample(kinds, 4))) + "</article>"
+
+    rows = [article(body(i), host="mixed.org", i=i) for i in range(40)]
+    found = wrappers.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r["by_wrapper"] for r in found) and len(found) == 40
+    for r, (i, _, source) in zip(sorted(found, key=lambda r: r["page_id"]), rows, strict=True):
+        inner = re.search(r"<article>(.*)</article>", source)[1]
+        assert r["text"] == "\n".join(x for x in re.split("<[^>]+>", inner) if x)
+
+
+def plain_article(parts):
+    return "\n".join(text for text, keep in parts if keep)
+
+
+def test_pages_match_templates_they_were_made_from(spark):
+    """Invented templates over several hosts: what was put into the article comes out, nothing else."""
+    rng = random.Random(8)
+    junk = ["<nav><a>Home {i}</a></nav>", "<aside><p>Side {i}</p></aside>", "<div class='cookie-bar'>Cookies {i}</div>", "<form><label>Name {i}</label></form>", "<div id='comments'><p>Reply {i}</p></div>", "<script>var x = {i};</script>", "<div class='related'>More {i}</div>"]
+    shells = [
+        "<html><body><div class='nav'>top</div>{junk}<article>{body}</article><footer>end</footer></body></html>",
+        "<!doctype html><html><head><title>t</title></head><body><main><div>{body}</div></main>{junk}</body></html>",
+        "<html><body>{junk}<div class='entry-content'>{body}</div></body></html>",
+    ]
+    rows, want = [], {}
+    for i in range(90):
+        parts, body = [], ""
+        for k in range(rng.randint(1, 9)):
+            tag, text = rng.choice(["p", "h2", "li", "blockquote"]), rng.choice([f"Text {i} &amp; {k}", "Always the same", f"<b>Bold</b> {i}  {k}"])
+            inside = rng.choice(["", "", rng.choice(junk).format(i=i)])
+            body += f"<{tag}>{text}</{tag}>{inside}"
+            parts.append((" ".join(html.unescape(re.sub("<[^>]+>", "", text)).split()), True))
+        shell = shells[i % 3].replace("{junk}", "".join(rng.sample(junk, 3))).replace("{i}", str(i)).replace("{body}", body)
+        rows.append((i, f"http://h{i % 3}.org/{i}", shell))
+        want[i] = plain_article(parts)
+    assert texts_of(spark, rows) == want
+
+
 # ---- revisits
 
 
