@@ -83,3 +83,45 @@ def test_tokens_decode_to_the_texts(stages):
 def test_pipeline_runs_on_an_empty_table(spark, sf, tmp_path):
     spark.read.parquet(f"{sf}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+CLASHING = "_row long, kept_id long, reading int, readings int, at_id long, at_source string, at_size long, removed_chunks int, n_lines int, id long, text2 string"
+
+
+def edge_documents(spark):
+    """Nulls, empty and long texts, repeated rows and ids, copies, and columns with clashing names."""
+    words = [f"wort{i} lang{i * 7 % 31}" for i in range(300)]
+    text, other = " ".join(words), " ".join(words[::-1])
+    long = " ".join(f"only{i}" for i in range(50_000))
+    lines = "\n".join(f"line {i} of the common passage" for i in range(12))
+    rows = [
+        (5, text, "en", "a"), (None, text, "en", "a"), (None, other, "en", None), (None, other + " more", "en", None), (6, text + " end", None, "b"),
+        (7, None, "en", "a"), (8, "", "en", "a"), (9, long, "en", "a"), (9, long, "en", "a"), (10, f"{lines}\nfirst tail", "en", "a"),
+        (11, f"{lines}\nsecond tail", "en", "b"), (12, text + " x", "en", "a"), (12, "another text under the same id", "en", "a"),
+    ]
+    own = (1, 2, 3, 4, 5, "s", 6, 77, 88, 9, "t")
+    df = spark.createDataFrame([(*r, len(r[1] or ""), *own) for r in rows], f"doc_id long, text string, lang string, source string, n_chars long, {CLASHING}")
+    return df, own
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES[:-1]])
+def test_stages_pass_clashing_columns_through(spark, sf, name):
+    docs, own = edge_documents(spark)
+    out = dict(corpus_pipeline.STAGES)[name](spark, docs, sf)
+    assert out.columns == docs.columns
+    found = out.collect()
+    assert found and {tuple(r)[5:] for r in found} == {own}
+
+
+def test_near_duplicates_of_null_and_repeated_ids(spark, sf):
+    docs, _ = edge_documents(spark)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, sf).collect()
+    assert sorted((r["doc_id"] or 0, (r["text"] or "")[:12]) for r in kept) == sorted([
+        (5, "wort0 lang0 "), (0, "wort299 lang"), (7, ""), (8, ""), (9, "only0 only1 "), (10, "line 0 of th"), (12, "another text"),
+    ])
+
+
+def test_every_stage_on_an_empty_table_with_extra_columns(spark, sf):
+    docs = edge_documents(spark)[0].limit(0)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, sf).count() == 0
