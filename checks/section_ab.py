@@ -280,14 +280,17 @@ def _(spark, sf):
 _NO = "CAST(NULL AS DOUBLE)"
 
 
-@query("a15_read_logs", sql(f"""
+_LOGS = sql(f"""
 SELECT epoch, {_LOG}, {_NO} AS loss, {_NO} AS metric, 'current' AS log_shape FROM fx_log
 UNION ALL
 SELECT epoch, {_NO}, {rd('train_loss', 8)}, {rd('train_metric', 8)}, {rd('test_loss', 8)},
   {rd('test_metric', 8)}, {_NO}, {_NO}, 'four_metrics' FROM fx_log
 UNION ALL
 SELECT epoch, {_NO}, {_NO}, {_NO}, {_NO}, {_NO}, {rd('test_loss', 8)}, {rd('test_metric', 8)}, 'short'
-FROM fx_log"""), digits=8)
+FROM fx_log""")
+
+
+@query("a15_read_logs", _LOGS, digits=8)
 def _(spark, sf):
     log = views.training_log(spark, sf)
     short = log.select("epoch", F.col("test_loss").alias("loss"), F.col("test_metric").alias("metric"))
@@ -298,6 +301,18 @@ def _(spark, sf):
     return A_logs.read_logs(spark, paths)
 
 
+@query("a15_log_folder", _LOGS, digits=8)
+def _(spark, sf):
+    """Three shapes below one folder, read in one call."""
+    log, root = views.training_log(spark, sf), scratch_path(spark, "logs")
+    short = log.select("epoch", F.col("test_loss").alias("loss"), F.col("test_metric").alias("metric"))
+    A_logs.append_log(log.where("epoch <= 20"), f"{root}/a", fresh=True)
+    A_logs.append_log(log.where("epoch > 20"), f"{root}/a")
+    A_logs.append_log(log.select(*LOG_FOUR_METRICS.names), f"{root}/b", fresh=True)
+    A_logs.append_log(short.select(*LOG_SHORT.names), f"{root}/c/d", fresh=True)
+    return A_logs.read_log_folder(spark, root).drop("log")
+
+
 # --- filters and projections ---
 
 _AT = f"SELECT {big('sample_id')} AS sample_id, {ts('time')} AS time, {rd('albedo', 9)} AS albedo FROM fx_at"

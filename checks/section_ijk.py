@@ -17,7 +17,7 @@ from layerframe.operators import scoring as K_scoring
 from layerframe.operators.metrics import best_trial, evaluate
 from layerframe.operators.joins import assign_split
 from layerframe.operators.profiles import layer_scale
-from layerframe.plans.evaluation import fit_norm, report, score_samples
+from layerframe.plans.evaluation import fit_norm, report, report_models, score_samples
 from layerframe.schema import LAYER_VARS
 
 from . import views
@@ -563,3 +563,45 @@ def _(spark, sf):
         rows.where("split = 'train'"), rows.where("split = 'val'"), ["direct_sw"],
         {"regParam": [0.0, 0.01, 0.1]},
     )
+
+
+# Half the train seasons for all four settings, then all of them for the better two.
+_REGS = [0.0, 0.01, 0.1, 1.0]
+_HALVING = [f"""
+season_order AS (SELECT geo, season, row_number() OVER (ORDER BY md5('{views.SEED}' || geo || season), geo, season) AS place,
+    count(*) OVER () AS total FROM (SELECT DISTINCT geo, season FROM fx_labelled WHERE split = 'train'))""", """
+rung_rows AS (SELECT rung, ceil(total / pow(2, 1 - rung)) AS n_groups, albedo, direct_sw
+  FROM fx_labelled JOIN season_order USING (geo, season), (SELECT unnest([0, 1]) AS rung)
+  WHERE split = 'train' AND place <= ceil(total / pow(2, 1 - rung)))""", f"""
+rung_fits AS (SELECT rung, n_groups, trial, reg, x0, y0, slope / (1 + reg / y_std) AS b FROM
+    (SELECT rung, n_groups, regr_slope(albedo, direct_sw) AS slope, avg(direct_sw) AS x0, avg(albedo) AS y0, stddev_pop(albedo) AS y_std
+     FROM rung_rows GROUP BY ALL), (SELECT unnest([0, 1, 2, 3]) AS trial, unnest({_REGS})::DOUBLE AS reg))""", """
+rung_trials AS (SELECT rung, n_groups, trial, reg, avg(pow(albedo - (y0 + b * (direct_sw - x0)), 2)) AS value
+  FROM rung_fits, (SELECT albedo, direct_sw FROM fx_labelled WHERE split = 'val') GROUP BY ALL)"""]
+
+
+@query("k4_halving", sql(f"""
+SELECT {big('rung')} AS rung, {big('n_groups')} AS n_groups, {big('trial')} AS trial, {rd('reg')} AS "regParam", {rd('value')} AS value
+FROM rung_trials WHERE rung = 0 OR trial IN (SELECT trial FROM rung_trials WHERE rung = 0 ORDER BY value, trial LIMIT 2)""", *_HALVING))
+def _(spark, sf):
+    columns = ["geo", "season", "split", "direct_sw", "albedo"]
+    rows = assign_split(views.samples(spark, sf), views.plan(spark, sf)).select(*columns)
+    return K_learning.halving(
+        rows.where("split = 'train'"), rows.where("split = 'val'"), ["direct_sw"], {"regParam": _REGS}, 2, seed=views.SEED
+    )
+
+
+@query("k2_model_table", sql(f"""
+SELECT 'narrow' AS model, split, count(*) AS n, {rd('avg(pow(albedo - yhat, 2))', 4)} AS mse, {rd('avg(abs(albedo - yhat))', 4)} AS mae,
+  {rd('sqrt(avg(pow(albedo - yhat, 2)))', 4)} AS rmse
+FROM (SELECT s.split, s.albedo, p.yhat FROM fx_labelled s JOIN scored p USING (sample_id)) GROUP BY split
+UNION ALL
+SELECT 'logit', split, count(*), {rd('avg(pow(albedo - logit, 2))', 4)}, {rd('avg(abs(albedo - logit))', 4)}, {rd('sqrt(avg(pow(albedo - logit, 2)))', 4)}
+FROM (SELECT s.split, s.albedo, ln(p.yhat / (1 - p.yhat)) AS logit FROM fx_labelled s JOIN scored p USING (sample_id)) GROUP BY split""",
+*net_steps(NARROW_NET)), digits=4)
+def _(spark, sf):
+    """Two stored models over the same rows: with the sigmoid at the end, and without."""
+    linear = _NARROW["k1_score_narrow_linear_net"]
+    weights = nets.waves(NARROW_NET, L)
+    models = {"narrow": (NARROW_NET, weights), "logit": (linear, weights)}
+    return report_models(views.samples(spark, sf), views.plan(spark, sf), train_norm(spark, sf), models, L)

@@ -19,52 +19,93 @@ SURE = 0.5
 WORDS = 5
 
 
+#: Columns that line_dedup adds; a table's own of these names are set aside meanwhile.
+LINE_COUNTS = ("n_lines", "n_chunks", "removed_lines", "removed_chunks")
+
+
+def free_prefix(docs: DataFrame) -> str:
+    """Underscores that no column of ``docs`` begins with."""
+    prefix = "_"
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    return prefix
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language the model is sure of; fills in a null lang."""
+    """Drops documents without a language the model is sure of; fills in a null lang.
+
+    Null and empty texts, and texts without a letter, have no language and go.
+    Repeated rows and null ids are judged each by its own text; long texts are
+    read whole; other columns pass through.
+    """
     return language.keep_identified(docs, language.train(docs), SURE)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts repeated passages; drops documents of which nothing is left."""
-    cut = line_dedup.remove_repeated_chunks(docs)
+    """Cuts repeated passages; drops documents of which nothing is left.
+
+    Null and empty texts have no passage and stay as they are; of repeated rows
+    the first keeps its passages; other columns pass through, whatever their names.
+    """
+    own = free_prefix(docs)
+    aside = {c: f"{own}{c}" for c in LINE_COUNTS if c in docs.columns}
+    cut = line_dedup.remove_repeated_chunks(docs.withColumnsRenamed(aside))
     left = cut.filter((F.col("removed_chunks") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    left = left.drop(*LINE_COUNTS).withColumnsRenamed({held: c for c, held in aside.items()})
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return left.select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group, the one with the smallest id."""
-    kept = near_dedup.near_duplicates(docs, words=WORDS).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(docs.columns)
+    """Keeps one document of each group, the one with the smallest id.
+
+    Rows are told apart by a number of their own, so repeated ids, repeated rows
+    and null ids are compared by their texts like any others; a null id stays
+    only where its group has no other.  Texts without words are in no group and
+    stay.  Other columns pass through, whatever their names.
+    """
+    own = free_prefix(docs)
+    row, group = f"{own}row", f"{own}group"
+    numbered = store(docs.withColumn(row, F.monotonically_increasing_id()), "corpus-rows")
+    groups = near_dedup.near_duplicates(numbered, id_col=row, words=WORDS).select(
+        F.col("doc_id").alias(row), F.col("component_id").alias(group)
+    )
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col(row).alias("row")))
+    kept = numbered.select(row, "doc_id").join(groups, row).groupBy(group).agg(first.alias("first"))
+    return numbered.join(kept.select(F.col("first.row").alias(row)), row, "left_semi").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix reads it, to the nearest whole reading.
 
     A reading counts if it takes half of the document's words or more, so a
-    source's words come within one document of what the mix takes.
+    source's words come within one document of what the mix takes.  Documents
+    without words are never read and go; a null source is a source; rows that
+    repeat id, source and size share their readings.  Other columns pass
+    through, whatever their names.
     """
+    own = free_prefix(docs)
     documents, _ = mixing.mix(docs)
     readings = (
         documents.groupBy("doc_id", "source", "size")
-        .agg((F.sum("taken") / (F.first("size") * F.count("*"))).alias("share"))
-        .select(
-            F.col("doc_id").alias("at_id"), F.col("source").alias("at_source"), F.col("size").alias("at_size"),
-            F.floor(F.col("share") + 0.5).cast("int").alias("readings"),
-        )
-        .filter("readings > 0")
-    ).withColumn("reading", F.explode(F.sequence(F.lit(1), F.col("readings"))))
+        .agg(F.try_divide(F.sum("taken"), F.first("size") * F.count("*")).alias("share"))
+        .select(*[F.col(c).alias(own + c) for c in ("doc_id", "source", "size")], F.floor(F.col("share") + 0.5).cast("int").alias(f"{own}n"))
+        .filter(F.col(f"{own}n") > 0)
+    ).withColumn(f"{own}reading", F.explode(F.sequence(F.lit(1), F.col(f"{own}n"))))
     met = (
-        F.col("doc_id").eqNullSafe(F.col("at_id"))
-        & F.col("source").eqNullSafe(F.col("at_source"))
-        & (mixing.word_count(F.col("text")) == F.col("at_size"))
+        F.col("doc_id").eqNullSafe(F.col(f"{own}doc_id"))
+        & F.col("source").eqNullSafe(F.col(f"{own}source"))
+        & (mixing.word_count(F.col("text")) == F.col(f"{own}size"))
     )
     return docs.join(readings, met).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids (four little-endian bytes each), and the text they decode to."""
+    """doc_id, n_tokens, ids (four little-endian bytes each), and the text they decode to.
+
+    A null text counts as empty; a null id stays null; repeated rows give repeated rows.
+    """
     coded = bpe.encode_texts(docs, bpe.read_model(tokenizer_path()))
     return coded.select(
         "doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), "ids", F.col("decoded").alias("text")

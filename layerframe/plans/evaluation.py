@@ -51,3 +51,21 @@ def report(
     norm = fit_norm(samples, plan)
     labelled = assign_split(samples, plan)
     return evaluate(score_samples(labelled, norm, parameters, net, ("split",), layers))
+
+
+def report_models(
+    samples: DataFrame,
+    plan: DataFrame,
+    norm: Norm,
+    models: dict[str, tuple[Net, list]],
+    layers: int = DEFAULT_LAYERS,
+) -> DataFrame:
+    """``model, split, n, mse, mae, rmse``: every model over the same rows, read once.
+
+    The models' predictions stand side by side, so no two of them see other rows.
+    """
+    scored = assign_split(samples, plan).select("split", TARGET, *[c for c in (*LAYER_VARS, *SUN_VARS)])
+    for name, (net, parameters) in models.items():
+        scored = score_profiles(scored, norm, net, parameters, layers, f"_{name}")
+    pairs = F.array(*[F.struct(F.lit(n).alias("model"), F.col(f"_{n}").alias("yhat")) for n in models])
+    return evaluate(scored.select("split", TARGET, F.inline(pairs)), by=("model", "split"))

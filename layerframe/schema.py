@@ -5,7 +5,7 @@ columns; its stacked layers are one ``array<double>`` per variable, index 0
 being the surface.  Arrays keep the row narrow (whole-stage code generation is
 switched off above ``spark.sql.codegen.maxFields`` columns); the published wide
 layout with one column per layer is produced only at the boundary by
-:func:`layerframe.operators.layers.to_wide`.
+:func:`layerframe.operators.features.to_wide`.
 """
 
 from __future__ import annotations
@@ -108,7 +108,7 @@ SAMPLE_SCHEMA = T.StructType([
     _field("month", T.IntegerType()),
 ])
 
-# The three header shapes training logs come in.
+# The three header shapes training logs come in.
 LOG_CURRENT = T.StructType([
     _field("epoch", T.LongType()),
     _field("learning_rate", T.DoubleType()),

@@ -20,6 +20,7 @@ SETTINGS = {
 }
 
 _local_root: str | None = None
+_scopes: list[list[str]] = []
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -65,7 +66,27 @@ def scratch_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A path below the scratch folder that nothing has used yet."""
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Empty, at the end of the block, every scratch table that was written inside it.
+
+    For work whose results have been stored elsewhere or collected by then.
+    Yields the list of paths; one taken off it is kept.
+    """
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield paths
+    finally:
+        _scopes.pop()
+        for path in paths:
+            spark.createDataFrame([], "nothing int").write.mode("overwrite").parquet(path)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

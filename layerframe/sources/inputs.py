@@ -59,8 +59,8 @@ def write_bucketed_inputs(
 
     The join of the ingest plan then reads matching buckets side by side and
     shuffles neither input.  Joining on more columns than the buckets use needs
-    ``spark.sql.requireAllClusterKeysForCoPartition`` off, as in
-    :data:`layerframe.session.SETTINGS`.
+    ``spark.sql.requireAllClusterKeysForCoPartition`` off, as inside
+    :func:`layerframe.session.co_partitioned`.
     """
     for name, df in zip(tables, (forcing, profile)):
         (

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.clustering import site_order
 from ..functions.names import is_season
 from ..functions.times import micros, season_order
 from ..schema import (
@@ -18,8 +19,8 @@ from ..schema import (
 )
 from .ledger import append, commit_folder, new_commit, next_version, read_current, summarise, units
 
-# Rows inside a unit are sorted by site, so row groups can be skipped on look-ups.
-SITE_SORT = ["massif_number", "zs", "slope", "aspect", "time"]
+# What a look-up names besides the unit.
+SITE_COLS = ["massif_number", "zs", "slope", "aspect"]
 
 
 def read_samples(
@@ -32,10 +33,14 @@ def read_samples(
     return read_current(spark, root, schema)
 
 
-def write_samples(df: DataFrame, root: str) -> None:
+def write_samples(df: DataFrame, root: str, clustering: str = "site") -> None:
     """One folder per region, season and month, replacing those seasons.
 
-    The rebalance hint sizes the output files: small units are merged, and a
+    Rows inside a unit are sorted by site, the first column first, which reads
+    least where look-ups name the massif; ``interleaved`` sorts by the bits of all
+    four in turn, which reads less where they name only an altitude or an aspect.
+    A Bloom filter per row group lets look-ups of a point skip.  The rebalance
+    hint sizes the output files: small units are merged, and a
     unit that holds much of the data is split over several tasks.  What is known
     of each unit is taken from the files written, and appended to the ledger
     last: until then nothing is visible, and a month that an earlier commit
@@ -44,12 +49,17 @@ def write_samples(df: DataFrame, root: str) -> None:
     """
     spark = df.sparkSession
     commit, version = new_commit(), next_version(spark, root)
-    sort = [c for c in SITE_SORT if c in df.columns]
+    if clustering not in ("site", "interleaved"):
+        raise ValueError("clustering must be site or interleaved")
+    sort = [F.col(c) for c in (*SITE_COLS, "time") if c in df.columns]
+    if clustering == "interleaved":
+        sort.insert(0, site_order())
     folder = commit_folder(root, commit)
     (
         df.hint("rebalance", *UNIT_COLS)
         .sortWithinPartitions(*UNIT_COLS, *sort)
         .write.partitionBy(*UNIT_COLS)
+        .option("parquet.bloom.filter.enabled#point_id", "true")
         .parquet(folder)
     )
     # sort order of the columns, types and labels as written

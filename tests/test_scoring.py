@@ -7,10 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from layerframe.operators import features, learning, nets
-from layerframe.operators.metrics import mse
+from layerframe.operators.metrics import evaluate, mse
 from layerframe.operators.scoring import load_parameters, save_parameters, score, score_dense, score_profiles
 from layerframe.operators.stats import Norm
-from layerframe.plans.evaluation import score_samples
+from layerframe.plans.evaluation import report_models, score_samples
 from layerframe.schema import LAYER_VARS, STAT_VARS
 from tests.conftest import plan_of
 
@@ -209,3 +209,36 @@ def test_scoring_stored_profiles_builds_no_features_in_the_jvm(spark):
     norm = Norm({v: 0.0 for v in STAT_VARS}, {v: 1.0 for v in STAT_VARS})
     plan = plan_of(score_samples(df, norm, nets.waves(nets.CONV_NET, LAYERS), nets.CONV_NET))
     assert "ArrowEvalPython" in plan and "lambda" not in plan and "array_repeat" not in plan
+
+
+def test_halving_keeps_the_better_half_on_more_seasons(spark):
+    df = spark.range(800).select(
+        F.lit("Alpes").alias("geo"), F.concat(F.lit("s"), F.col("id") % 8).alias("season"), F.rand(1).alias("a"),
+    ).withColumn("albedo", F.col("a") * 0.5)
+    grid = {"regParam": [5.0, 0.0, 0.1, 1.0], "elasticNetParam": [0.0]}
+    trials = learning.halving(df, df, ["a"], grid, 3).collect()
+    assert [(r["rung"], r["n_groups"]) for r in sorted(trials)] == [(0, 2)] * 4 + [(1, 4)] * 2 + [(2, 8)]
+    by_rung = {k: {r["trial"] for r in trials if r["rung"] == k} for k in range(3)}
+    assert by_rung[1] == {1, 2} and by_rung[2] == {1}
+    last = [r for r in trials if r["rung"] == 2][0]
+    assert (last["regParam"], last["value"]) == (0.0, pytest.approx(0.0, abs=1e-12))
+    full = {r["trial"]: r["value"] for r in learning.sweep(df, df, ["a"], grid).collect()}
+    assert last["value"] == pytest.approx(full[1], abs=1e-12)
+    with pytest.raises(ValueError):
+        learning.halving(df, df, ["a"], grid, 0)
+
+
+def test_models_are_reported_over_the_same_rows(spark):
+    rng = np.random.default_rng(9)
+    rows = [("g", f"s{i % 3}", *[[float(x) for x in rng.random(i % 5)] for _ in LAYER_VARS], *[float(x) for x in rng.random(4)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "geo string, season string, " + ", ".join(f"{v} array<double>" for v in LAYER_VARS) + ", direct_sw double, diffuse_sw double, cos_sza double, albedo double")
+    plan = spark.createDataFrame([("g", "s0", "train"), ("g", "s1", "test")], "geo string, season string, split string")
+    norm = Norm({v: 0.5 for v in STAT_VARS}, {v: 0.3 for v in STAT_VARS})
+    models = {n: (narrow(NETS[n]), nets.waves(narrow(NETS[n]), LAYERS)) for n in ("conv", "flat", "max")}
+    table = {(r["model"], r["split"]): r for r in report_models(df, plan, norm, models).collect()}
+    assert len(table) == 6
+    for name, (net, weights) in models.items():
+        alone = evaluate(score_samples(df.join(plan, ["geo", "season"]), norm, weights, net, ("split",)))
+        for r in alone.collect():
+            mine = table[name, r["split"]]
+            assert mine["n"] == r["n"] and [mine["mse"], mine["mae"]] == pytest.approx([r["mse"], r["mae"]])

@@ -3,10 +3,11 @@ from __future__ import annotations
 from datetime import datetime
 
 import pytest
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from layerframe.functions import names
+from layerframe.functions import clustering, names
 from layerframe.operators import joins, ordering, splits
 from layerframe.operators.aggregates import check_complete, time_coverage, value_range
 from layerframe.operators.features import build_features
@@ -16,7 +17,7 @@ from layerframe.operators.stats import Norm, fit_stats
 from layerframe.plans.evaluation import fit_stored_norm
 from layerframe.plans.ingest import STORED_KEY, build_samples, ingest, to_sample_table
 from layerframe.schema import LAYER_VARS, LOG_CURRENT, LOG_FOUR_METRICS, LOG_SHORT, STAT_VARS, UNIT_COLS
-from layerframe.session import co_partitioned, scratch_path
+from layerframe.session import co_partitioned, materialise, scratch, scratch_path
 from layerframe.sources import inputs, ledger, logs, samples, stores
 from tests.conftest import plan_of
 
@@ -320,6 +321,23 @@ def test_log_shapes(spark, tmp_path):
         logs.read_log(spark, bad)
 
 
+def test_a_folder_of_logs_in_any_shape(spark, tmp_path):
+    root = tmp_path / "all logs"
+    (root / "deep").mkdir(parents=True)
+    (root / "one.csv").write_text("epoch,loss,metric\r\n1,0.5,0.25\r\n2,,0.125\r\n")
+    (root / "deep" / "two.csv").write_text("epoch,learning_rate,train_loss,train_metric,test_loss,test_metric\n7,0.1,1,2,3,4")
+    (root / "empty.csv").write_text("")
+    (root / "header.csv").write_text("epoch,loss,metric\n")
+    got = logs.read_log_folder(spark, str(root)).collect()
+    assert {(r["log"], r["epoch"], r["loss"], r["test_metric"]) for r in got} == {
+        ("one.csv", 1, 0.5, None), ("one.csv", 2, None, None), ("deep/two.csv", 7, None, 4.0),
+    }
+    assert {r["log_shape"] for r in got} == {"short", "current"}
+    (root / "bad.csv").write_text("epoch,metric,loss\n1,2,3\n")
+    with pytest.raises(Exception, match="unknown log header"):
+        logs.read_log_folder(spark, str(root)).collect()
+
+
 def test_a_log_with_columns_in_another_order_is_an_error(spark, tmp_path):
     path = str(tmp_path / "log")
     logs.append_log(spark.createDataFrame([(1, 0.8, 0.9)], "epoch long, loss double, metric double"), path, fresh=True)
@@ -459,6 +477,71 @@ def test_scratch_is_the_shared_folder(spark):
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
 
 
+def test_scratch_tables_are_emptied_at_the_end_of_a_block(spark):
+    df = spark.range(1000).withColumn("time", F.lit(datetime(1980, 1, 1)).cast("timestamp_ntz"))
+    with scratch(spark) as paths:
+        assert joins.sync_times(df, df).count() == 1000
+        with scratch(spark) as inner:
+            assert ordering.number_rows(df, [F.col("id")]).count() == 1000
+        kept = materialise(df, "kept")
+        written = list(paths)
+        paths.pop()
+    assert len(written) == 2 and len(inner) == 1 and not set(written) & set(inner)
+    left = [spark.read.schema("id long").parquet(p).count() for p in (*paths, *inner)]
+    assert left == [0, 0] and kept.count() == 1000
+
+
 def test_clean_missing_leaves_other_types(spark):
     df = spark.createDataFrame([(1, "a", NAN, [1, 2])], "i int, s string, x double, a array<int>")
     assert tuple(clean_missing(df).first()) == (1, "a", None, [1, 2])
+
+
+def rows_scanned(df) -> int:
+    """Rows that left the Parquet readers, after row groups and pages were skipped."""
+    df.collect()
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+
+def test_interleaved_bits():
+    """Each number's bits, the highest first, in turn."""
+    spark = SparkSession.getActiveSession()
+    df = spark.createDataFrame([(0b101, 0b11), (0b010, 0b00), (0b111, 0b01)], "a long, b long")
+    got = df.select(clustering.interleaved([(F.col("a"), 3), (F.col("b"), 2)]).alias("z")).collect()
+    assert [r["z"] for r in got] == [0b1_01_11, 0b0_10_00, 0b1_10_11]
+
+
+@pytest.fixture(scope="module")
+def clustered(spark, tmp_path_factory):
+    """The same rows in both orders, in small row groups and pages."""
+    pick = lambda k, n: F.pmod(F.xxhash64(F.col("id"), F.lit(k)), F.lit(n))
+    df = spark.range(100_000, numPartitions=1).select(
+        F.lit("Alpes").alias("geo"), F.lit("1979_1980").alias("season"), F.lit(8).alias("month"), pick(5, 50_000).alias("point_id"),
+        pick(1, 30).cast("int").alias("massif_number"), (pick(2, 13) * 300).cast("double").alias("zs"),
+        (pick(3, 8) * 45).cast("double").alias("aspect"), (pick(4, 3) * 20).cast("double").alias("slope"), F.rand(1).alias("albedo"),
+    )
+    small = {"parquet.block.size": "524288", "parquet.page.row.count.limit": "1000"}
+    hadoop, roots = spark.sparkContext._jsc.hadoopConfiguration(), {}
+    try:
+        for key, value in small.items():
+            hadoop.set(key, value)
+        for order in ("site", "interleaved"):
+            roots[order] = str(tmp_path_factory.mktemp(order) / "samples")
+            samples.write_samples(df, roots[order], order)
+    finally:
+        for key in small:
+            hadoop.unset(key)
+    return {k: samples.read_samples(spark, root, df.schema) for k, root in roots.items()}
+
+
+@pytest.mark.parametrize("lookup,share", [("zs = 2100", 0.6), ("aspect = 90", 0.8)])
+def test_interleaved_rows_are_skipped_by_altitude_and_aspect(clustered, lookup, share):
+    site, bits = (clustered[k].where(lookup).select("albedo", "zs", "aspect") for k in ("site", "interleaved"))
+    assert site.count() == bits.count() > 0
+    assert rows_scanned(bits) < share * rows_scanned(site)
+
+
+@pytest.mark.parametrize("lookup", ["massif_number = 7", "massif_number = 7 and zs = 2100", "point_id = -5"])
+def test_lookups_by_massif_and_point_skip_in_both_orders(clustered, lookup):
+    for df in clustered.values():
+        assert rows_scanned(df.where(lookup).select("albedo", "massif_number", "zs", "point_id")) < 50_000
