@@ -44,7 +44,30 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-@query("op1_secret_scan")
+@query(
+    "op1_secret_scan",
+    r"""
+    WITH RECURSIVE d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents),
+    k(kind, pattern) AS (VALUES
+        (0, '(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+'),
+        (1, 'AKIA[A-Z0-9]+'), (2, '[0-9a-f]{16,}'), (3, '(?:gh[opsur]|npm)_[0-9A-Za-z]+')),
+    m AS (SELECT row, kind, pattern, t AS rest, 0 AS base, regexp_extract(t, pattern) AS hit FROM d, k WHERE regexp_matches(t, pattern)
+        UNION ALL SELECT row, kind, pattern, after, upto, regexp_extract(after, pattern)
+        FROM (SELECT *, substr(rest, strpos(rest, hit) + length(hit)) AS after, base + strpos(rest, hit) - 1 + length(hit) AS upto FROM m)
+        WHERE regexp_matches(after, pattern)),
+    h AS (SELECT row, kind, hit, base + strpos(rest, hit) - 1 AS start, base + strpos(rest, hit) - 1 + length(hit) AS stop FROM m),
+    c AS (SELECT *, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(substr(hit, 5, 30), ''), lambda a: ascii(a)::BIGINT)),
+            lambda x, b: list_reduce(list_prepend(xor(x, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))) AS crc FROM h),
+    g AS (SELECT * FROM c WHERE CASE kind WHEN 0 THEN length(regexp_extract(hit, '[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1)) >= 12 WHEN 1 THEN length(hit) >= 18 WHEN 2 THEN true
+            ELSE length(hit) = 40 AND substr(hit, 35) = array_to_string(list_transform([916132832::BIGINT, 14776336, 238328, 3844, 62, 1],
+                lambda p: substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', ((xor(crc, 4294967295) // p) % 62 + 1)::INT, 1)), '') END),
+    s AS (SELECT row, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS b, count(*) FILTER (kind = 2) AS e, count(*) FILTER (kind = 3) AS f,
+            string_agg(['assign', 'access', 'hex', 'checked'][kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind) AS spans,
+            string_agg(['assign', 'access', 'hex'][kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind) FILTER (kind < 3) AS base FROM g GROUP BY row)
+    SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(e, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+        coalesce(spans, '') AS spans, coalesce(f, 0) AS n_checked FROM d LEFT JOIN s USING (row)
+    """,
+)
 def secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf, "documents"))
 
