@@ -6,10 +6,10 @@ whose validators agree.  The response's headers are merged with those that a
 304 may update.
 
 The as-of join works in two levels, so a URL with a third of all captures is in
-no single task: each URL's captures are cut into cells of time; inside a cell a
-window carries the last full response along; the last one of each cell is
-carried over the cells, of which a URL has at most ``CELLS``.  Payloads stay out
-of it, only ids, validators and headers move.
+no single task: captures are cut into cells of equal size by URL and time;
+inside a cell a window carries the last full response along; the last one of
+each cell is carried over the cells, which are as few as the partitions.
+Payloads stay out of it, only ids, validators and headers move.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Cells of time of a URL.
-CELLS = 1024
+from layerframe.llm.common import store
+
 #: Headers of a 304 that replace those of the stored response (fixed values, RFC 9110 15.4.5).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 #: Query parameters that do not name another document.
@@ -37,6 +37,18 @@ def canonical_url(url: Column) -> Column:
     return F.concat(host, path, F.when(asked != "", F.concat(F.lit("?"), asked)).otherwise(""))
 
 
+def in_cells(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``cell``: the part of a range partition on URL and time that they lie in.
+
+    Parts hold as many rows each, so a URL with very many captures has many
+    cells wherever in time they lie; a later cell of a URL holds its later
+    captures.  Rows equal in URL, time and id share a cell.  Stored once, so
+    that a task run again sees the same parts.
+    """
+    ranged = rows.repartitionByRange("url_key", "time", "record_id")
+    return store(ranged.withColumn("cell", F.spark_partition_id().cast("long")), "captures")
+
+
 def resolve_revisits(captures: DataFrame) -> DataFrame:
     """One row per capture of (record_id, url, time, status, etag, modified, digest, headers).
 
@@ -51,7 +63,8 @@ def resolve_revisits(captures: DataFrame) -> DataFrame:
     prefixes aside, or, where either has no tag, the modification dates are; a
     304 with neither agrees with anything.  A null URL has no history, so its
     304s stay unresolved.  Repeated rows give repeated results, and none is
-    earlier than its copy.  Other columns are dropped.
+    earlier than its copy.  A permitted header of the 304 replaces the stored one
+    of its name whatever the case of either.  Other columns are dropped.
     """
     rows = captures.select(
         F.col("record_id").cast("long").alias("record_id"),
@@ -63,10 +76,7 @@ def resolve_revisits(captures: DataFrame) -> DataFrame:
         F.col("digest"),
         F.col("headers"),
     )
-    span = rows.agg(F.min("time").alias("low"), F.max("time").alias("high")).first()
-    low, high = span["low"] or 0, span["high"] or 0
-    width = (high - low) // CELLS + 1
-    celled = rows.withColumn("cell", F.coalesce(F.expr(f"(time - {low}L) div {width}L"), F.lit(-1).cast("long")))
+    celled = in_cells(rows)
     full = F.when(
         F.col("status") == 200, F.struct("time", "record_id", "etag", "modified", "digest", "headers")
     )
@@ -100,7 +110,8 @@ def resolve_revisits(captures: DataFrame) -> DataFrame:
     )
     none = F.create_map().cast("map<string,string>")
     mine = F.map_filter(F.coalesce("headers", none), lambda k, _: F.lower(k).isin(*PERMITTED))
-    theirs = F.map_filter(F.coalesce("from.headers", none), lambda k, _: ~F.array_contains(F.map_keys(mine), k))
+    named = F.transform(F.map_keys(mine), F.lower)
+    theirs = F.map_filter(F.coalesce("from.headers", none), lambda k, _: ~F.array_contains(named, F.lower(k)))
     return met.withColumn("outcome", outcome).select(
         "record_id",
         "url_key",

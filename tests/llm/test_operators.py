@@ -480,6 +480,31 @@ def test_revisits(spark):
     assert revisits.resolve_revisits(captures(spark, [])).count() == 0
 
 
+def test_permitted_headers_replace_whatever_their_case(spark):
+    rows = [
+        (1, "http://a.org/x", 10, 200, "t", None, "d1", {"Date": "1", "etag": "t", "X-Own": "k"}),
+        (2, "http://a.org/x", 20, 304, "t", None, None, {"date": "2", "ETag": "t2", "x-own": "no"}),
+    ]
+    got = by_id(revisits.resolve_revisits(captures(spark, rows)), "record_id")
+    assert got[2]["headers"] == {"date": "2", "ETag": "t2", "X-Own": "k"}
+
+
+def test_a_hot_url_has_many_cells_wherever_its_times_lie(spark):
+    rows = spark.range(4000).select(
+        F.lit("a.org/x").alias("url_key"), F.when(F.col("id") == 0, 1 << 60).when(F.col("id") % 3 > 0, F.col("id") % 50).alias("time"),
+        F.col("id").alias("record_id"), F.rand(1).cast("string").alias("headers"),
+    )
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        cells = revisits.in_cells(rows).groupBy("cell").agg(F.count("*").alias("n"), F.min(F.struct("time", "record_id")).alias("first")).orderBy("cell").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert len(cells) >= 6 and max(r["n"] for r in cells) < 4000 / 3
+    firsts = [(r["first"]["time"] is not None, r["first"]["time"] or 0, r["first"]["record_id"]) for r in cells]
+    assert firsts == sorted(firsts)
+
+
 def test_revisits_match_brute_force(spark):
     random.seed(5)
     rows = []
