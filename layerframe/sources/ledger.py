@@ -74,11 +74,15 @@ def has_ledger(spark: SparkSession, root: str) -> bool:
     return True
 
 
+def _latest(scope: Sequence[str]) -> Column:
+    """Whether a ledger row belongs to its scope's latest commit."""
+    at = F.struct("version", "commit")
+    return at == F.max(at).over(W.partitionBy(*scope))
+
+
 def current(rows: DataFrame, scope: Sequence[str] = GROUP_COLS) -> DataFrame:
     """The rows of each scope's latest commit; a row without ``n`` marks a removal."""
-    at = F.struct("version", "commit")
-    latest = F.max(at).over(W.partitionBy(*scope))
-    return rows.withColumn("_latest", latest).where((at == F.col("_latest")) & F.col("n").isNotNull()).drop("_latest")
+    return rows.withColumn("_latest", _latest(scope)).where(F.col("_latest") & F.col("n").isNotNull()).drop("_latest")
 
 
 def units(spark: SparkSession, root: str, scope: Sequence[str] = GROUP_COLS) -> DataFrame:
@@ -206,6 +210,15 @@ def folders(root: str, rows: Iterable, scope: Sequence[str]) -> list[str]:
     ]
 
 
+def current_folders(spark: SparkSession, root: str, scope: Sequence[str]) -> list[str]:
+    """A commit's own folder where all it wrote is current, else those of its current scopes."""
+    marked = ledger(spark, root).withColumn("_latest", _latest(scope))
+    rows = marked.where("n IS NOT NULL").select("commit", *scope, "_latest").distinct().collect()
+    partly = {r["commit"] for r in rows if not r["_latest"]}
+    whole = sorted({r["commit"] for r in rows} - partly)
+    return [commit_folder(root, c) for c in whole] + folders(root, [r for r in rows if r["_latest"] and r["commit"] in partly], scope)
+
+
 def read_current(
     spark: SparkSession, root: str, schema: T.StructType, chosen: DataFrame | None = None, scope: Sequence[str] = GROUP_COLS
 ) -> DataFrame:
@@ -214,8 +227,10 @@ def read_current(
     Only their folders are listed: one row per season (or unit) reaches the
     driver, as many as the catalog has.
     """
-    stored = units(spark, root, scope) if chosen is None else chosen
-    paths = folders(root, stored.select("commit", *scope).distinct().collect(), scope)
+    if chosen is None:
+        paths = current_folders(spark, root, scope)
+    else:
+        paths = folders(root, chosen.select("commit", *scope).distinct().collect(), scope)
     if not paths:
         return spark.createDataFrame([], schema)
     table = spark.read.schema(schema).option("basePath", f"{root}/{DATA}").parquet(*paths)
