@@ -96,6 +96,45 @@ def test_forward_pass_equals_the_loop(spark, name):
     assert found == pytest.approx(want, rel=1e-9)
 
 
+def shallow(rng, depths):
+    """Stacks with that many layers and zeros behind; one has a gap at its top."""
+    snow = np.zeros((len(depths), 6, LAYERS))
+    for row, deep in enumerate(depths):
+        snow[row, :, :deep] = rng.normal(size=(6, deep))
+    snow[-1, :, 0] = 0.0
+    return snow
+
+
+@pytest.mark.parametrize("name", ["conv", "linear", "max", "initial"])
+def test_shallow_and_deep_profiles_in_one_batch_equal_the_loop(name):
+    net, rng = narrow(NETS[name]), np.random.default_rng(5)
+    parameters = [
+        (rng.normal(size=w) / np.sqrt(np.prod(w[1:])), rng.normal(size=b))
+        for w, b in nets.parameter_shapes(net, LAYERS)
+    ]
+    depths = [50, 0, 3, 49, 1, 20, 48, 2, 7, 12, 0, 30, 4]
+    snow, sun = shallow(rng, depths), rng.normal(size=(len(depths), net.scalars))
+    snow[5, 2] = np.nan  # a variable without deviation is missing in every layer
+    for rows in (1, 4, 128):
+        slices, nets.SLICE_ROWS = nets.SLICE_ROWS, rows
+        try:
+            found = nets.predict(net, parameters, snow, sun)
+        finally:
+            nets.SLICE_ROWS = slices
+        whole = [i for i in range(len(depths)) if i != 5]
+        want = [by_hand(net, parameters, snow[i], sun[i]) for i in whole]
+        assert found[whole] == pytest.approx(want, rel=1e-9) and np.isnan(found[5])
+
+
+def test_positions_behind_a_profile_are_computed_once(monkeypatch):
+    net, rng = narrow(nets.MAX_POOL_NET), np.random.default_rng(6)
+    computed, inner = [], nets._convolve
+    monkeypatch.setattr(nets, "_convolve", lambda *a: computed.append(out := inner(*a)) or out)
+    nets.predict(net, nets.waves(net, LAYERS), shallow(rng, [4] * 200), rng.normal(size=(200, 4)))
+    # six convolutions of profiles with 4 layers reach 5 to 10 positions
+    assert sum(x.shape[0] * x.shape[1] for x in computed if len(x) > 1) == 200 * (5 + 6 + 7 + 8 + 9 + 10)
+
+
 @pytest.mark.parametrize("name,inputs", [("conv", 64 * 7 + 4), ("max", 256 + 4), ("initial", 256 + 3), ("flat", 303)])
 def test_published_sizes(name, inputs):
     net = NETS[name]
