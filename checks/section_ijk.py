@@ -44,18 +44,24 @@ def _opened(df, *arrays):
 
 # --- layers and features ---
 
+# What is left of a long above these is exact as a double.
+_LOW_BITS = 30
+
+
 @query("i1_to_wide", sql(
     f"SELECT {big('sample_id')} AS sample_id, "
     + ", ".join(f"{rd(f'{v}[{i}]')} AS {v}{i}" for v in LAYER_VARS for i in range(1, L + 1))
     + " FROM fx_sample"))
 def _(spark, sf):
     table = views.samples(spark, sf)
-    # ``time`` carries the key through the published layout, which has no other id.
-    keyed = table.withColumn("time", F.lit("1970-01-01").cast("timestamp_ntz")
-                             + F.make_dt_interval(F.col("sample_id").cast("int")))
+    # The published layout has no other id: ``ZS`` carries the key's upper bits and ``massif_number`` the lower ones.
+    keyed = table.withColumns({
+        "zs": F.shiftright("sample_id", _LOW_BITS).cast("double"),
+        "massif_number": F.col("sample_id").bitwiseAND((1 << _LOW_BITS) - 1).cast("int"),
+    })
     wide = I_features.to_wide(keyed, L)
-    day = F.unix_date(F.substring("time", 1, 10).cast("date"))
-    return wide.select(day.alias("sample_id"),
+    key = F.shiftleft(F.col("ZS").cast("long"), _LOW_BITS).bitwiseOR(F.col("massif_number").cast("long"))
+    return wide.select(key.alias("sample_id"),
                        *[f"{v}{i}" for v in LAYER_VARS for i in range(1, L + 1)])
 
 
