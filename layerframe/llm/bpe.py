@@ -66,88 +66,104 @@ class MergeAutomaton:
         self.made: dict[int, tuple[int, int, int]] = {}
         for time, (u, v) in enumerate(merges):
             self._gadget(time, vocab[u], vocab[v], vocab[u + v])
-        self.before = {
-            i: [(self.removed[t], until) for t, until in self._spine(i, 2) if t in self.removed]
-            for i in self.labels
-        }
-        self.ahead = {i: self._spine(i, 1) for i in self.labels}
-        self.nodes = self._grow()
-        self.lengths = {i: len(label) for i, label in self.labels.items()}
+        self._grow()
+        self.lengths = array("I", bytes(4 * (max(self.labels, default=0) + 1)))
+        for i, label in self.labels.items():
+            self.lengths[i] = len(label)
         self.most = most
-        self._forget()
+        self.forget()
 
     def _gadget(self, time: int, u: int, v: int, uv: int) -> None:
         """Copy the state behind u without arc v; add arc uv where u may be read."""
         self.removed.setdefault(u, {}).setdefault(v, time)
         self.made.setdefault(uv, (time, u, v))
 
-    def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
-        """The token and its outermost parts, each with the merge that covered it."""
-        out, until = [(token, NEVER)], NEVER
-        while token in self.made:
-            until, token = self.made[token][0], self.made[token][side]
-            out.append((token, until))
-        return out
-
-    def _grow(self) -> list[tuple[dict[int, int], int | None]]:
-        """Byte transitions over the labels: (next node by byte, token that ends here)."""
-        nodes: list[list] = [[{}, None]]
+    def _grow(self) -> None:
+        """Byte transitions over the labels, one node per prefix of a label.
+
+        ``child`` leads from node and byte to the next node, ``ends`` has the
+        token that ends at a node or NONE, ``inner`` tells nodes that lead on.
+        """
+        self.child: dict[int, int] = {}
+        self.ends, self.inner = array("q", [NONE]), bytearray(1)
         for label, token in self.ids.items():
             at = 0
             for byte in label:
-                if byte not in nodes[at][0]:
-                    nodes[at][0][byte] = len(nodes)
-                    nodes.append([{}, None])
-                at = nodes[at][0][byte]
-            nodes[at][1] = token
-        return [tuple(node) for node in nodes]
+                to = self.child.get(at << 8 | byte)
+                if to is None:
+                    to = self.child[at << 8 | byte] = len(self.ends)
+                    self.ends.append(NONE)
+                    self.inner.append(0)
+                    self.inner[at] = 1
+                at = to
+            self.ends[at] = token
 
     def arc(self, token: int, following: int) -> bool:
-        """May ``following`` be read in the state behind ``token``?"""
-        ahead = self.ahead[following]
-        for gone, left_until in self.before[token]:
-            for right, right_until in ahead:
-                if right in gone and gone[right] < left_until and gone[right] <= right_until:
-                    return False
-        return True
-
-    def _forget(self) -> None:
+        """May ``following`` be read in the state behind ``token``?
+
+        Walks from each of the two tokens to its outermost parts, together with
+        the merge that covered the part; spines are not stored.
+        """
+        left, left_until = token, NEVER
+        while True:
+            gone = self.removed.get(left)
+            if gone is not None:
+                right, right_until = following, NEVER
+                while True:
+                    time = gone.get(right, NEVER)
+                    if time < left_until and time <= right_until:
+                        return False
+                    made = self.made.get(right)
+                    if made is None:
+                        break
+                    right_until, right = made[0], made[1]
+            made = self.made.get(left)
+            if made is None:
+                return True
+            left_until, left = made[0], made[2]
+
+    def forget(self) -> None:
         """Start the transition table anew, with the configuration before a word."""
         self.steps: dict[int, int] = {}
-        self.numbers: dict[tuple, int] = {}
-        self.open: list[tuple[tuple[int, int], ...]] = [()]
-        self.token: list[int] = [NONE]
+        self.numbers: dict[bytes, int] = {}
+        self.keys: list[bytes] = [bytes(8)]
+        self.token = array("q", [NONE])
 
     def _step(self, at: int, byte: int) -> int:
         """Extend every token under way, and one that starts here, by ``byte``.
 
         A configuration is the token that ends here, and for each token under
-        way its node in the byte tree and the token behind its start.
+        way its node in the byte tree and the token behind its start.  It is
+        kept as bytes, eight per number, a node and a token in one number.
         """
-        nodes, under_way, token = self.nodes, [], None
-        for node, behind in (*self.open[at], (0, self.token[at])):
-            node = nodes[node][0].get(byte)
+        under_way, token = array("Q", self.keys[at]), NONE
+        under_way.append(self.token[at] + 1)
+        after = array("Q", [0])
+        for pair in under_way[1:]:
+            node, behind = self.child.get(pair >> 32 << 8 | byte), (pair & 0xFFFFFFFF) - 1
             if node is None:
                 continue
-            under_way.append((node, behind))
-            label = nodes[node][1]
-            if token is None and label is not None and (behind == NONE or self.arc(behind, label)):
+            if self.inner[node]:
+                after.append(node << 32 | behind + 1)
+            label = self.ends[node]
+            if token == NONE and label != NONE and (behind == NONE or self.arc(behind, label)):
                 token = label
-        if token is None:
+        if token == NONE:
             raise ValueError("the vocabulary lacks a byte of this word")
-        key = (token, *(x for x in under_way if nodes[x[0]][0]))
+        after[0] = token
+        key = after.tobytes()
         number = self.numbers.get(key)
         if number is None:
             number = self.numbers[key] = len(self.token)
             self.token.append(token)
-            self.open.append(key[1:])
+            self.keys.append(key)
         self.steps[at << 8 | byte] = number
         return number
 
     def encode(self, word: bytes) -> list[int]:
         """The labels along the path that spells ``word``."""
         if len(self.steps) > self.most:
-            self._forget()
+            self.forget()
         steps, token, at, ends = self.steps, self.token, 0, []
         for byte in word:
             to = steps.get(at << 8 | byte)
@@ -163,10 +179,12 @@ class MergeAutomaton:
 class Encoder(dict):
     """Words already encoded, as little-endian ids; others are encoded on demand.
 
-    Emptied when it holds ``most`` words, so its memory is bounded.
+    Holds at most about ``most`` words, half of them set aside: when the newer
+    half is full the older one goes, and a word found there counts as new again,
+    so frequent words stay and memory is bounded.
     """
 
-    def __init__(self, model: str, most: int = 250_000):
+    def __init__(self, model: str, most: int = 100_000):
         spec = json.loads(model)
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
         added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
@@ -179,18 +197,28 @@ class Encoder(dict):
         longest_first = sorted(added, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if added else None
         self.most = most
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = array("I", self.automaton.encode(utf8(word))).tobytes()
+        ids = self.older.get(word)
+        if ids is None:
+            ids = array("I", self.automaton.encode(utf8(word))).tobytes()
         self[word] = ids
         return ids
 
+    def forget(self) -> None:
+        """Drop the words and transitions met so far; the compiled vocabulary stays."""
+        self.clear()
+        self.older = {}
+        self.automaton.forget()
+
     def split(self, text: str) -> list[str]:
         return (self.ascii_words if text.isascii() else self.words).findall(text)
 
     def encode(self, text: str) -> bytes:
         """Ids of a text, four little-endian bytes each."""
-        if len(self) > self.most:
+        if 2 * len(self) > self.most:
+            self.older = dict(self)
             self.clear()
         if self.special is None or not any(w in text for w in self.added):
             return b"".join(map(self.__getitem__, self.split(text)))
@@ -274,9 +302,13 @@ def _coded(df: DataFrame, model: str, id_col: str, text_col: str, schema: str, o
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(shared.value)
-        for batch in batches:
-            for start in range(0, len(batch), ROWS):
-                part = batch.slice(start, ROWS)
-                yield of(encoder, part[0].to_pylist(), part[1])
+        try:
+            for batch in batches:
+                for start in range(0, len(batch), ROWS):
+                    part = batch.slice(start, ROWS)
+                    yield of(encoder, part[0].to_pylist(), part[1])
+        finally:
+            # The worker outlives its task, beside whatever its executor does next.
+            encoder.forget()
 
     return ids_and_texts(df, id_col, text_col).mapInArrow(run, schema)

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import html
 import itertools
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -211,6 +214,38 @@ def test_bpe_tables_start_anew(model):
         assert small.encode(text) == large.encode(text)
 
 
+def test_bpe_compiled_vocabulary_is_small(model):
+    tracemalloc.start()
+    try:
+        encoder = bpe.Encoder(model)
+        gc.collect()
+        assert tracemalloc.get_traced_memory()[0] < 60_000_000
+    finally:
+        tracemalloc.stop()
+    assert encoder.decode(encoder.encode("the quick brown fox")) == b"the quick brown fox"
+
+
+def test_bpe_words_in_use_stay(model):
+    small = bpe.Encoder(model, most=8)
+    for k in range(200):
+        small.encode(f"often w{k}")
+        assert len(small) + len(small.older) <= 8 + 3
+        assert "often" in small or "often" in small.older
+
+
+def test_bpe_worker_keeps_no_words_after_its_task(spark, model):
+    bpe.encode_texts(documents(spark, [(i, f"word{i} and another") for i in range(50)]), model).collect()
+
+    def held(batches):
+        for _ in batches:
+            pass
+        kept = [len(e) + len(e.automaton.steps) for e in bpe._encoders.values()]
+        yield pa.RecordBatch.from_pydict({"n": pa.array([sum(kept)], pa.int64())})
+
+    left = spark.range(16, numPartitions=16).mapInArrow(held, "n long").collect()
+    assert {r["n"] for r in left} == {0}
+
+
 # ---- top inner products
 
 
