@@ -135,6 +135,25 @@ def test_positions_behind_a_profile_are_computed_once(monkeypatch):
     assert sum(x.shape[0] * x.shape[1] for x in computed if len(x) > 1) == 200 * (5 + 6 + 7 + 8 + 9 + 10)
 
 
+def test_flat_network_skips_layers_no_profile_has(monkeypatch):
+    net = nets.Net((), (8, 4), "relu")
+    parameters = nets.waves(net, LAYERS, "float64")
+    stack = np.zeros((2500, 6, LAYERS))
+    stack[:, :, :7] = np.random.default_rng(5).normal(size=(2500, 6, 7))
+    stack[2400, 3, 40] = np.nan
+    x = np.concatenate([stack.reshape(2500, -1), np.ones((2500, 3))], axis=1)
+    widths, plain = [], nets.forward
+    monkeypatch.setattr(nets, "forward", lambda net, dense, x: widths.append(x.shape) or plain(net, dense, x))
+    found = nets.predict(net, parameters, None, x)
+    assert widths == [(1024, 45), (1024, 45), (452, 46)]
+    assert np.isnan(found[2400]) and np.isnan(found).sum() == 1
+    for row in (0, 1023, 1024, 2399, 2499):
+        assert found[row] == pytest.approx(by_hand(net, parameters, None, x[row]), abs=1e-12)
+    parameters[0][0][2, 49] = np.inf
+    assert np.isnan(nets.predict(net, parameters, None, x)).all()
+    assert len(nets.predict(net, parameters, None, x[:0])) == 0
+
+
 @pytest.mark.parametrize("name,inputs", [("conv", 64 * 7 + 4), ("max", 256 + 4), ("initial", 256 + 3), ("flat", 303)])
 def test_published_sizes(name, inputs):
     net = NETS[name]
